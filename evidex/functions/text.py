@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -136,17 +136,26 @@ def is_unsafe(col: Column, markers: Sequence[str] = UNSAFE_MARKERS) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(m.lower())) for m in markers])
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once per row, for use inside other lambda functions."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def phrases(col: Column, longest: int = 3) -> Column:
     """Distinct 1..n-word phrases of a normalised text (Q2)."""
-    words = split_words(col)
 
-    def of_size(n: int) -> Column:
+    def of_size(words: Column, n: int) -> Column:
         starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
         return F.when(
             F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
         ).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(*[of_size(n) for n in range(1, longest + 1)]))
+    return bind(
+        split_words(col),
+        lambda words: F.array_distinct(
+            F.concat(*[of_size(words, n) for n in range(1, longest + 1)])
+        ),
+    )
 
 
 def contains_term(words: Column, term: str) -> Column:
@@ -169,16 +178,20 @@ def contains_term(words: Column, term: str) -> Column:
 
     if len(parts) == 1:
         return F.exists(words, lambda w: agree(w, parts[0]))
-    starts = F.when(
-        F.size(words) >= len(parts), F.sequence(F.lit(1), F.size(words) - (len(parts) - 1))
-    ).otherwise(F.array().cast("array<int>"))
-    return F.exists(
-        starts,
-        lambda i: reduce(
-            lambda a, b: a & b,
-            [agree(F.element_at(words, i + j), part) for j, part in enumerate(parts)],
-        ),
-    )
+
+    def in_sequence(spoken: Column) -> Column:
+        starts = F.when(
+            F.size(spoken) >= len(parts), F.sequence(F.lit(1), F.size(spoken) - (len(parts) - 1))
+        ).otherwise(F.array().cast("array<int>"))
+        return F.exists(
+            starts,
+            lambda i: reduce(
+                lambda a, b: a & b,
+                [agree(F.element_at(spoken, i + j), part) for j, part in enumerate(parts)],
+            ),
+        )
+
+    return bind(words, in_sequence)
 
 
 def stem(col: Column) -> Column:

@@ -15,6 +15,7 @@ from evidex.corpus import Corpus
 from evidex.functions.constants import GRAPH_RELATIONS
 from evidex.functions.text import normalize_name, row_id
 from evidex.operators.structured import substring_pairs
+from evidex.session import cut_lineage
 
 _EDGE = ("edge_id", "src_type", "src", "rel", "dst_type", "dst", "evidence_person")
 
@@ -333,16 +334,16 @@ def relevant_paths(
     kept has a continuation, so the caps are exact.
     """
     check_hops(max_hops)
+    pair = ["query_id", "person_id"]
     steps = adjacency(edges, nodes)
-    marked = matching_nodes(terms, nodes)
-    open_pairs = pool.select("query_id", "person_id").distinct()
-    named = open_pairs.join(
-        marked.withColumnRenamed("node", "person_id"), ["query_id", "person_id"], "left_semi"
-    )
+    marked = cut_lineage(matching_nodes(terms, nodes))
+    open_pairs = pool.select(*pair).distinct()
+    named = open_pairs.join(marked.withColumnRenamed("node", "person_id"), pair, "left_semi")
     own = steps.withColumnRenamed("node", "person_id")
     # A person whose own name matches has any edge as a relevant path.
-    found = [named.join(own, "person_id").select("query_id", "person_id", F.array("step").alias("path"))]
-    rest = open_pairs.join(named, ["query_id", "person_id"], "left_anti")
+    first_edges = named.join(own, "person_id").select(*pair, F.array("step").alias("path"))
+    found = [_first(first_edges, pair, "path", per_person)]
+    rest = cut_lineage(open_pairs.join(named, pair, "left_anti"))
     # Ways from a node to the nearest requested node, grown by one hop per round.
     ways = marked.select("query_id", "node", F.array().cast(_steps_type(steps)).alias("tail"))
     for hop in range(1, max_hops + 1):
@@ -350,12 +351,14 @@ def relevant_paths(
         reached = (
             rest.join(own, "person_id")
             .join(ways_to, ["query_id", "nbr"])
-            .select("query_id", "person_id", F.concat(F.array("step"), "tail").alias("path"))
+            .select(*pair, F.concat(F.array("step"), "tail").alias("path"))
         )
-        found.append(_first(reached, ["query_id", "person_id"], "path", per_person))
+        found.append(cut_lineage(_first(reached, pair, "path", per_person)))
         if hop == max_hops:
             break
-        rest = rest.join(reached, ["query_id", "person_id"], "left_anti")
+        rest = cut_lineage(rest.join(found[-1], pair, "left_anti"))
+        if rest.isEmpty():
+            break
         still = rest.select("query_id").distinct()
         grown = (
             ways_to.join(still, "query_id", "left_semi")
@@ -363,9 +366,9 @@ def relevant_paths(
             .join(marked, ["query_id", "node"], "left_anti")
             .select("query_id", "node", F.concat(F.array("step"), "tail").alias("tail"))
         )
-        ways = _first(grown, ["query_id", "node"], "tail", per_person)
+        ways = cut_lineage(_first(grown, ["query_id", "node"], "tail", per_person))
     paths = reduce(DataFrame.unionByName, found)
-    return number_paths(paths, nodes, ["query_id", "person_id"], per_person)
+    return number_paths(paths, nodes, pair, per_person)
 
 
 def _steps_type(steps: DataFrame) -> str:

@@ -179,8 +179,13 @@ def term_hits(terms: DataFrame, entity_rows: DataFrame, member_rows: DataFrame)
         ]
     )
     wanted = terms.withColumn("kind", F.explode(F.element_at(kinds, F.col("slot"))))
-    targets = wanted.join(entity_rows.select("kind", "entity_id", "term"), ["kind", "term"])
-    matched = member_rows.join(
+    # The few kinds asked for prune the other bridges out of the plan.
+    used = [row.kind for row in wanted.select("kind").distinct().collect()]
+    asked_for = F.col("kind").isin(used)
+    targets = wanted.join(
+        entity_rows.filter(asked_for).select("kind", "entity_id", "term"), ["kind", "term"]
+    )
+    matched = member_rows.filter(asked_for).join(
         targets.select("kind", "entity_id", "query_id", "slot", "term_no", "weight"),
         ["kind", "entity_id"],
     )
@@ -299,65 +304,74 @@ def structured_pairs(
 
     ``queries`` come from ``complete_queries`` joined with ``query_needs``. Every query
     reaches its candidates through one equi-join (terms, country, city, age or years) and
-    the other predicates are verified on them. A query without any filter takes the
-    ``open_limit`` lowest ids. ``limit`` caps every pool at its lowest ids; ``None`` keeps all.
+    the other predicates are verified on them. Which of these joins the batch needs is asked
+    of the query table first, so a plan holds no idle branches. A query without any filter
+    takes the ``open_limit`` lowest ids. ``limit`` caps every pool at its lowest ids;
+    ``None`` keeps all.
     """
     side = _query_side(queries, unicode)
+    used = {row.path for row in side.select("path").distinct().collect()}
     persons = people.select("person_id", "location", "country", "years_experience", "age")
 
     def of(path: str) -> DataFrame:
         return side.filter(F.col("path") == path)
 
-    by_terms = (
-        hits.select("query_id", "person_id", "hard_hits")
-        .join(of("terms"), "query_id")
-        .filter(F.col("hard_hits") == F.col("n_hard"))
-        .join(persons, "person_id")
-    )
-    by_country = persons.withColumn("place", F.lower("country")).join(
-        of("country").withColumn("place", F.lower("q_country")), "place"
-    )
-    asked = of("city").select("query_id", F.explode("q_city_terms").alias("city_term"))
+    found: dict[str, DataFrame] = {}
+    if "terms" in used:
+        found["terms"] = (
+            hits.select("query_id", "person_id", "hard_hits")
+            .join(of("terms"), "query_id")
+            .filter(F.col("hard_hits") == F.col("n_hard"))
+            .join(persons, "person_id")
+        )
+    if "country" in used:
+        found["country"] = persons.withColumn("place", F.lower("country")).join(
+            of("country").withColumn("place", F.lower("q_country")), "place"
+        )
+    if "city" in used:
+        found["city"] = _by_city(persons, of("city"))
+    if "age" in used:
+        youngest = F.greatest(F.coalesce("q_min_age", F.lit(14)), F.lit(14))
+        oldest = F.least(F.coalesce("q_max_age", F.lit(100)), F.lit(100))
+        ages = of("age").filter(youngest <= oldest)
+        found["age"] = persons.withColumn("age_key", F.col("age")).join(
+            ages.withColumn("age_key", F.explode(F.sequence(youngest, oldest))), "age_key"
+        )
+    if "years" in used:
+        found["years"] = persons.withColumn("bucket", _years_bucket("years_experience")).join(
+            of("years").withColumn(
+                "bucket", F.explode(F.sequence(_years_bucket("q_min_years"), F.lit(_TOP_YEARS)))
+            ),
+            "bucket",
+        )
+    parts = [df.filter(scalar_match()).select("query_id", "person_id") for df in found.values()]
+    if "open" in used or not parts:
+        lowest = people.select("person_id").orderBy("person_id").limit(open_limit)
+        parts.append(
+            of("open").select("query_id", F.lit(0).alias("_one"))
+            .join(lowest.withColumn("_one", F.lit(0)), "_one")
+            .select("query_id", "person_id")
+        )
+    pairs = reduce(DataFrame.unionByName, parts)
+    if limit is None:
+        return pairs
+    order = Window.partitionBy("query_id").orderBy("person_id")
+    return pairs.withColumn("_n", F.row_number().over(order)).filter(f"_n <= {limit}").drop("_n")
+
+
+def _years_bucket(years: str) -> Column:
+    return F.greatest(F.lit(0), F.least(F.floor(years), F.lit(_TOP_YEARS))).cast("int")
+
+
+def _by_city(persons: DataFrame, queries: DataFrame) -> DataFrame:
+    asked = queries.select("query_id", F.explode("q_city_terms").alias("city_term"))
     located = (
         substring_pairs(persons.filter("location is not null"), asked, "location", "city_term")
         .join(asked, "city_term")
         .select("location", "query_id")
         .distinct()
     )
-    by_city = persons.join(located, "location").join(of("city"), "query_id")
-    ages = F.sequence(
-        F.greatest(F.coalesce("q_min_age", F.lit(14)), F.lit(14)),
-        F.least(F.coalesce("q_max_age", F.lit(100)), F.lit(100)),
-    )
-    bounded = F.coalesce("q_min_age", F.lit(14)) <= F.coalesce("q_max_age", F.lit(100))
-    by_age = persons.join(
-        of("age").filter(bounded).withColumn("age_key", F.explode(ages)),
-        F.col("age") == F.col("age_key"),
-    )
-    bucket = F.greatest(F.lit(0), F.least(F.floor("years_experience"), F.lit(_TOP_YEARS)))
-    first = F.greatest(F.lit(0), F.least(F.floor("q_min_years"), F.lit(_TOP_YEARS)))
-    by_years = persons.withColumn("bucket", bucket.cast("int")).join(
-        of("years").withColumn(
-            "bucket", F.explode(F.sequence(first.cast("int"), F.lit(_TOP_YEARS)))
-        ),
-        "bucket",
-    )
-    lowest = people.select("person_id").orderBy("person_id").limit(open_limit)
-    by_none = of("open").select("query_id", F.lit(0).alias("_one")).join(
-        lowest.withColumn("_one", F.lit(0)), "_one"
-    )
-    pairs = reduce(
-        DataFrame.unionByName,
-        [
-            found.filter(scalar_match()).select("query_id", "person_id")
-            for found in (by_terms, by_country, by_city, by_age, by_years)
-        ]
-        + [by_none.select("query_id", "person_id")],
-    )
-    if limit is None:
-        return pairs
-    order = Window.partitionBy("query_id").orderBy("person_id")
-    return pairs.withColumn("_n", F.row_number().over(order)).filter(f"_n <= {limit}").drop("_n")
+    return persons.join(located, "location").join(queries, "query_id")
 
 
 def profile_terms(

@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from evidex.functions import constants as K
 from evidex.functions.text import (
+    bind,
     comparison_forms,
     contains_term,
     normalize_name,
@@ -86,24 +87,63 @@ def _sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     )
 
 
-def _char_tokens(form: Column) -> Column:
-    """Characters numbered by occurrence, in one fixed order."""
-    chars = F.filter(F.split(form, ""), lambda c: c != "")
-    numbered = F.transform(
-        chars,
-        lambda c, i: F.concat(
-            c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda d: d == c)).cast("string")
-        ),
-    )
-    return F.array_sort(numbered)
+def _gram_tokens(form: Column) -> Column:
+    """Letter pairs numbered by occurrence, sorted; a single letter stands for itself."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(form) - 1, F.lit(1)))
+
+    def numbered(grams: Column) -> Column:
+        return F.transform(
+            grams,
+            lambda g, i: F.concat(
+                g, F.size(F.filter(F.slice(grams, 1, i + 1), lambda h: h == g)).cast("string")
+            ),
+        )
+
+    return F.array_sort(bind(F.transform(starts, lambda i: F.substr(form, i, F.lit(2))), numbered))
+
+
+def _common_grams(a: Column, b: Column, threshold: float) -> Column:
+    """Fewest letter pairs two similar forms of lengths ``a`` and ``b`` share.
+
+    At most ``(1 - threshold) * (a + b)`` letters are unmatched in both together, and each
+    breaks at most two pairs.
+    """
+    unmatched = F.floor((a + b) * (1 - threshold) + 1e-9)
+    return F.greatest(F.greatest(a, b) - 1 - unmatched * 2, F.lit(1)).cast("int")
+
 
+def _gram_rows(df: DataFrame, form: str, side: str, threshold: float) -> DataFrame:
+    """Each form's tokens that can be the first one shared with a similar form.
 
-def _prefixes(df: DataFrame, form: str, out: str, threshold: float) -> DataFrame:
-    """Prefix tokens of each form: two forms similar enough share one of them."""
+    The signature has a bit per token, so tokens missing on the other side can be counted
+    from below without touching the arrays.
+    """
     share = threshold / (2 - threshold)
-    tokens = _char_tokens(F.col(form))
-    keep = F.size(tokens) - F.ceil(F.size(tokens) * share - 1e-9).cast("int") + 1
-    return df.select(form, F.explode(F.slice(tokens, 1, keep)).alias(out))
+    size = F.length(form)
+    lengths = F.sequence(
+        F.ceil(size * share - 1e-9).cast("int"), F.floor(size / share + 1e-9).cast("int")
+    )
+    least = F.array_min(F.transform(lengths, lambda n: _common_grams(size, n, threshold)))
+    bit = F.lit(1).cast("long")
+    grams = (
+        df.select(form)
+        .filter(F.length(form) > 0)
+        .distinct()
+        .select(form, size.alias(f"{side}_len"), _gram_tokens(F.col(form)).alias("tokens"), least.alias("least"))
+        .withColumn(
+            f"{side}_sig",
+            F.aggregate(
+                "tokens", F.lit(0).cast("long"),
+                lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", bit, F.pmod(F.hash(t), F.lit(64)))),
+            ),
+        )
+    )
+    return grams.select(
+        form, f"{side}_len", f"{side}_sig", F.col("tokens").alias(f"{side}_grams"),
+        F.posexplode(F.slice("tokens", 1, F.size("tokens") - F.col("least") + 1)).alias(
+            f"{side}_pos", "gram"
+        ),
+    )
 
 
 def similar_forms(
@@ -111,20 +151,29 @@ def similar_forms(
 ) -> DataFrame:
     """Pairs (left_form, right_form, ratio) with sequence similarity at the threshold (Q4).
 
-    Matched characters are at most the common characters, so a prefix filter on character
-    tokens and a length bound select the pairs; only those are compared in Python.
+    Similar forms share letter pairs, so pairs meet on their first common one, are bounded
+    by length and by the number of pairs shared, and only the rest is compared in Python.
     """
     share = threshold / (2 - threshold)
-    a = _prefixes(left.select("left_form").distinct(), "left_form", "token", threshold)
-    b = _prefixes(right.select("right_form").distinct(), "right_form", "token", threshold)
-    la, lb = F.length("left_form"), F.length("right_form")
+    a = _gram_rows(left, "left_form", "left", threshold)
+    b = _gram_rows(right, "right_form", "right", threshold)
+    la, lb = F.col("left_len"), F.col("right_len")
     near = (la >= lb * share - 1e-9) & (lb >= la * share - 1e-9)
-    pairs = a.join(b, "token").filter(near).select("left_form", "right_form").distinct()
-    both = F.size(
-        F.array_intersect(_char_tokens(F.col("left_form")), _char_tokens(F.col("right_form")))
+    common = _common_grams(la, lb, threshold)
+    ours, theirs = F.col("left_sig"), F.col("right_sig")
+    missing = (F.bit_count(ours.bitwiseAND(F.bitwise_not(theirs))) <= la - common) & (
+        F.bit_count(theirs.bitwiseAND(F.bitwise_not(ours))) <= lb - common
+    )
+    first_common = ~F.arrays_overlap(
+        F.slice("left_grams", 1, F.col("left_pos")), F.slice("right_grams", 1, F.col("right_pos"))
+    )
+    enough = F.size(F.array_intersect("left_grams", "right_grams")) >= common
+    candidates = (
+        a.join(b, "gram").filter(near & missing).filter(enough).filter(first_common)
+    )
+    scored = candidates.select("left_form", "right_form").withColumn(
+        "ratio", _sequence_ratio("left_form", "right_form")
     )
-    candidates = pairs.filter(both * 2 >= (la + lb) * threshold - 1e-9)
-    scored = candidates.withColumn("ratio", _sequence_ratio("left_form", "right_form"))
     return scored.filter(F.col("ratio") >= threshold)
 
 

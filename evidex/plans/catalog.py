@@ -45,6 +45,7 @@ from evidex.operators.understand import (
     plain_intents,
 )
 from evidex.operators.vector import cosine_topk, cosine_topk_within, lsh_topk
+from evidex.session import cut_lineage
 from evidex.sources.files import jsonl_documents, text_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,13 +197,13 @@ def _skilled(spark: SparkSession, sf: str) -> DataFrame:
 
 def _prepared(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     full = S.complete_queries(queries)
-    terms = S.query_terms(full, unicode=False)
-    return full.join(S.query_needs(terms), "query_id", "left"), terms
+    terms = cut_lineage(S.query_terms(full, unicode=False))
+    return cut_lineage(full.join(S.query_needs(terms), "query_id", "left")), terms
 
 
 def _structured(spark: SparkSession, sf: str, queries: DataFrame, limit: int | None = None):
     prepared, terms = _prepared(queries)
-    hits = S.term_hits(terms, entity_rows(spark, sf), member_rows(spark, sf))
+    hits = cut_lineage(S.term_hits(terms, entity_rows(spark, sf), member_rows(spark, sf)))
     pairs = S.structured_pairs(prepared, people(spark, sf), hits, limit, unicode=False)
     return prepared, hits, pairs
 
@@ -725,8 +726,10 @@ def cosine_top(spark: SparkSession, sf: str) -> DataFrame:
 def cosine_filtered(spark: SparkSession, sf: str) -> DataFrame:
     """Exact cosine top-20 among allowed persons (F2)."""
     labels = table(spark, sf, "embeddings").select("label").distinct()
-    allowed = labels.select(F.col("label").cast("string").alias("query_id"), F.explode(
-        F.array("label", F.col("label") + 1, F.col("label") + 4)).cast("string").alias("person_id"))
+    others = F.array(*[(F.col("label") + n).cast("string") for n in (0, 1, 4)])
+    allowed = labels.select(
+        F.col("label").cast("string").alias("query_id"), F.explode(others).alias("person_id")
+    )
     best = cosine_topk_within(
         _centroids(spark, sf), _vectors(spark, sf), allowed.filter("query_id <> '7'"), 20
     )
@@ -889,6 +892,7 @@ def hybrid_pool(spark: SparkSession, sf: str) -> DataFrame:
 def _ranked(spark: SparkSession, sf: str, limit: int) -> DataFrame:
     queries = _skilled(spark, sf)
     prepared, hits, pairs = _structured(spark, sf, queries)
+    pairs = cut_lineage(pairs)
     spent = table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("person_id")).agg(
         F.count("*").alias("n")
     )
@@ -1022,10 +1026,17 @@ def best_vocab(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def detect_values(spark: SparkSession, sf: str) -> DataFrame:
     """Vocabulary values named in free text: substring, alias or similar phrase (Q2, Q3, Q7)."""
-    words = table(spark, sf, "benchmark").select(
-        F.explode(T.split_words(T.normalize_name(F.col("text"), unicode=False))).alias("value")
-    ).filter(F.length("value") > 7).distinct()
-    known = words.select(F.lit("skill").alias("kind"), "value")
+    part = table(spark, sf, "part")
+    known = reduce(
+        DataFrame.unionByName,
+        [
+            part.select(F.lit("technology").alias("kind"), F.col("p_name").alias("value")),
+            part.select(F.lit("skill").alias("kind"), F.col("p_type").alias("value")),
+            table(spark, sf, "customer").select(
+                F.lit("domain").alias("kind"), F.col("c_mktsegment").alias("value")
+            ),
+        ],
+    ).distinct()
     return detect_vocabulary(_utterances(spark, sf), known, unicode=False)
 
 

@@ -238,7 +238,7 @@ UNION ALL SELECT DISTINCT replace(lower(country), '_', ' '), 'company_domain', l
 SELECT person_id AS document_id, 0 AS ordinal, 'summary' AS section,
   'SUMMARY' || chr(10) || chr(10) || 'Candidate: ' || full_name || chr(10) || chr(10) ||
   'Current title: ' || current_title || chr(10) || chr(10) || 'Country: ' || country || chr(10) ||
-  chr(10) || 'Years of experience: ' || years || chr(10) || chr(10) || 'Age: ' || age AS content
+  chr(10) || 'Years of experience: ' || CAST(CAST(years AS DECIMAL(10,5)) AS DOUBLE) || chr(10) || chr(10) || 'Age: ' || age AS content
 FROM good
 UNION ALL SELECT person_id, 1, 'experience',
   'EXPERIENCE: ' || country || chr(10) || chr(10) || 'Domains: ' || current_title FROM good
@@ -376,7 +376,7 @@ FROM f""",
          row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents QUALIFY n <= 5),
 w AS (SELECT unnest(['the', 'der', 'les', 'que']) AS domain)
 SELECT source AS person_id, 'Likely has sustained expertise in ' || domain AS claim,
-       round(least(0.55 + count(*) * 0.08, 0.87), 6) AS confidence,
+       CAST(round(least(0.55 + count(*) * 0.08, 0.87), 6) AS DOUBLE) AS confidence,
        string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS evidence, 'unverified' AS status
 FROM d, w WHERE contains(t, domain) GROUP BY source, domain HAVING count(*) >= 2""",
     "jaccard_pairs": f"""WITH {_WORDS},
@@ -391,7 +391,7 @@ SELECT CAST(doc_id AS VARCHAR) AS person_id, set_id, count(*) OVER (PARTITION BY
   SELECT company, person_id, count(*) OVER (PARTITION BY company) - 1 AS n_peers FROM worked)
 SELECT * FROM s WHERE n_peers > 0""",
     "inference_sync": f"""WITH {_INFERRED}
-SELECT person_id, claim, CASE WHEN st.status IN ('rejected', 'reviewed') THEN 0.5 ELSE 0.8 END AS confidence,
+SELECT person_id, claim, CAST(CASE WHEN st.status IN ('rejected', 'reviewed') THEN 0.5 ELSE 0.8 END AS DOUBLE) AS confidence,
        CASE WHEN st.status IN ('rejected', 'reviewed') THEN st.status ELSE 'unverified' END AS status
 FROM st FULL JOIN pr USING (person_id, claim)
 WHERE st.status IN ('rejected', 'reviewed') OR (person_id, claim) IN (SELECT (person_id, claim) FROM pr)""",

@@ -72,9 +72,9 @@ def search(
     once and cut from their lineage, as ranking, evidence and reasons all read them.
     """
     full = S.complete_queries(queries)
-    terms = S.query_terms(full, config.aliases, config.unicode)
-    prepared = full.join(S.query_needs(terms), "query_id", "left")
-    hits = S.term_hits(terms, S.entities(corpus), S.memberships(corpus))
+    terms = cut_lineage(S.query_terms(full, config.aliases, config.unicode))
+    prepared = cut_lineage(full.join(S.query_needs(terms), "query_id", "left"))
+    hits = cut_lineage(S.term_hits(terms, S.entities(corpus), S.memberships(corpus)))
     structured = cut_lineage(
         S.structured_pairs(
             prepared, corpus.people, hits, config.pool_limit, config.open_limit, config.unicode

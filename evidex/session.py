@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,12 +26,17 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> Spar
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the session names; a temporary one only without it."""
+    """Write a frame once and go on from the written table.
+
+    The table lies in the shared folder named by ``spark.checkpoint.dir``, so it outlives
+    executors; a temporary folder serves only where the setting is missing, as in tests.
+    Unlike an RDD checkpoint the table has columns and a size the planner can use.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None)
-            or tempfile.mkdtemp(prefix="evidex-checkpoint-")
-        )
-    return df.checkpoint()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="evidex-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/evidex/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
