@@ -44,7 +44,7 @@ def split_words(col: Column) -> Column:
 def normalize_raw_text(col: Column) -> Column:
     """Line ends to LF, trailing blanks of every line and outer blanks removed."""
     unix = F.replace(col, F.lit("\r\n"), F.lit("\n"))
-    return strip(F.regexp_replace(unix, _WS_NOT_NEWLINE + "+(\\n|\\z)", "$1"))
+    return strip(F.regexp_replace(unix, _WS_NOT_NEWLINE + "++(\\n|\\z)", "$1"))
 
 
 def checksum(col: Column) -> Column:
@@ -80,7 +80,7 @@ def _normalize_jvm(col: Column) -> Column:
     for special, plain in SPECIAL_NAMES:
         folded = F.replace(folded, F.lit(special), F.lit(plain))
     spelled = F.replace(folded, F.lit("&"), F.lit(" and "))
-    spaced = F.regexp_replace(spelled, "(?:[\\p{P}\\p{S}]|" + _WS_CLASS + ")+", " ")
+    spaced = F.regexp_replace(spelled, "[\\p{P}\\p{S}" + _WS_CLASS[1:] + "+", " ")
     return F.btrim(spaced)
 
 

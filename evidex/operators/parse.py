@@ -162,12 +162,13 @@ def range_error(years: Column, age: Column) -> Column:
 
 
 def parse_records(
-    documents: DataFrame, mapping: Mapping[str, str] | None = None
+    documents: DataFrame, mapping: Mapping[str, str] | None = None, write_once: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Structured documents -> (documents with ``resume``, quarantine).
 
     ``mapping`` replaces the dotted path of any of the 13 fields. No record raises: a
-    failing one lands in quarantine with the first error of its checks.
+    failing one lands in quarantine with the first error of its checks. ``write_once``
+    parses into a written table, for callers that read both results.
     """
     at = {name: name for name in FIELDS} | dict(mapping or {})
     unknown = set(at) - set(FIELDS)
@@ -222,7 +223,7 @@ def parse_records(
         .withColumns({"resume": resume, "error": error})
         .drop("_v")
     )
-    return split_errors(parsed)
+    return split_errors(cut_lineage(parsed) if write_once else parsed)
 
 
 def split_errors(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

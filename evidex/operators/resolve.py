@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evidex.corpus import Corpus
 from evidex.functions.text import alias_table, checksum, identity_key, normalize_name, normalize_text
 from evidex.functions.text import row_id, strip
+from evidex.session import cut_lineage
 
 _SCALARS = ("location", "country", "current_title", "years_experience", "age", "summary")
 
@@ -41,12 +42,15 @@ def classify(documents: DataFrame, stored: DataFrame) -> DataFrame:
 
     The owner of a checksum is the stored document with it, else the first one in the
     batch; another document with that checksum is a duplicate. A version equal to the
-    previous accepted version of its document is unchanged.
+    previous accepted version of its document is unchanged. Texts are read once; from
+    their checksums on only narrow rows move.
     """
-    events = documents.select(
-        row_id("document", F.col("source"), F.col("external_id")).alias("document_id"),
-        "seq",
-        checksum(F.col("raw_text")).alias("checksum"),
+    events = cut_lineage(
+        documents.select(
+            row_id("document", F.col("source"), F.col("external_id")).alias("document_id"),
+            "seq",
+            checksum(F.col("raw_text")).alias("checksum"),
+        )
     )
     first = events.groupBy("checksum").agg(F.min_by("document_id", "seq").alias("first_owner"))
     kept = stored.select("checksum", F.col("document_id").alias("stored_owner"))

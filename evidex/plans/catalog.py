@@ -416,7 +416,7 @@ def _customer_documents(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def parse_customers(spark: SparkSession, sf: str) -> DataFrame:
     """Record parsing with synonyms, list forms and quarantine."""
-    good, bad = parse_records(_customer_documents(spark, sf))
+    good, bad = parse_records(_customer_documents(spark, sf), write_once=True)
     shown = good.select(
         "external_id",
         F.lit("ok").alias("outcome"),
@@ -596,7 +596,7 @@ def entity_first_wins(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def entity_bridges(spark: SparkSession, sf: str) -> DataFrame:
     """Entities and links collected from parsed records."""
-    good, _ = parse_records(_customer_documents(spark, sf))
+    good, _ = parse_records(_customer_documents(spark, sf), write_once=True)
     changes = good.withColumn("person_id", F.col("external_id"))
     found = collect_mentions(changes, EntityNames(unicode=False))
     links = empty_corpus(spark)
@@ -996,11 +996,15 @@ def enrich_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _misspelt(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    part = table(spark, sf, "part").select("p_name").distinct()
-    supplier = table(spark, sf, "supplier").select(F.col("s_name").alias("value"))
-    known = part.select(F.col("p_name").alias("value")).unionByName(supplier)
-    typed = part.select(F.concat(F.substring("p_name", 1, 4), F.substring("p_name", 6, 99)).alias("value"))
-    return typed.unionByName(supplier.select(F.reverse("value").alias("value"))), known
+    part = table(spark, sf, "part")
+    names = part.select("p_name").distinct()
+    known = names.select(F.col("p_name").alias("value")).unionByName(
+        part.select(F.col("p_type").alias("value")).distinct()
+    )
+    typed = names.select(
+        F.concat(F.substring("p_name", 1, 4), F.substring("p_name", 6, 99)).alias("value")
+    )
+    return typed.unionByName(names.select(F.reverse("p_name").alias("value"))), known
 
 
 @query
@@ -1026,17 +1030,10 @@ def best_vocab(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def detect_values(spark: SparkSession, sf: str) -> DataFrame:
     """Vocabulary values named in free text: substring, alias or similar phrase (Q2, Q3, Q7)."""
-    part = table(spark, sf, "part")
-    known = reduce(
-        DataFrame.unionByName,
-        [
-            part.select(F.lit("technology").alias("kind"), F.col("p_name").alias("value")),
-            part.select(F.lit("skill").alias("kind"), F.col("p_type").alias("value")),
-            table(spark, sf, "customer").select(
-                F.lit("domain").alias("kind"), F.col("c_mktsegment").alias("value")
-            ),
-        ],
-    ).distinct()
+    words = table(spark, sf, "benchmark").select(
+        F.explode(T.split_words(T.normalize_name(F.col("text"), unicode=False))).alias("value")
+    ).filter(F.length("value") > 12).distinct()
+    known = words.select(F.lit("skill").alias("kind"), "value")
     return detect_vocabulary(_utterances(spark, sf), known, unicode=False)
 
 

@@ -97,8 +97,7 @@ def ingest_structured(
     max_characters: int = 2_000,
 ) -> IngestResult:
     """CSV/JSON documents into the corpus; ``provider=None`` leaves chunks alone."""
-    parsed, failed = parse_records(documents, mapping)
-    records = cut_lineage(parsed)
+    records, failed = parse_records(documents, mapping, write_once=True)
     outcomes = cut_lineage(classify(records, corpus.raw_documents))
     merged, _ = persist_records(corpus, records, outcomes, aliases, unicode)
     report = ingestion_report(outcomes, failed)
