@@ -211,10 +211,13 @@ def graph_paths(
     def first_neighbours(rows: DataFrame) -> DataFrame:
         return rows.withColumn("_n", F.row_number().over(by_name)).filter(f"_n <= {cap}").drop("_n")
 
-    ends = first_neighbours(steps)
+    # Both neighbour tables are bounded per node and read by every hop, so each is written once.
+    ends = cut_lineage(first_neighbours(steps))
     # A neighbour continues a path when it has an edge besides the one leading to it.
-    through = first_neighbours(
-        steps.join(degree.withColumnRenamed("node", "nbr"), "nbr").filter("degree >= 2")
+    through = cut_lineage(
+        first_neighbours(
+            steps.join(degree.withColumnRenamed("node", "nbr"), "nbr").filter("degree >= 2")
+        )
     )
     per_person = Window.partitionBy("person_id").orderBy("order_key")
 
@@ -242,7 +245,7 @@ def graph_paths(
 
     levels = [keep_first(first_steps(ends))]
     if max_hops >= 2:
-        one = keep_first(first_steps(through))
+        one = cut_lineage(keep_first(first_steps(through)))
         levels.append(keep_first(extend(one, ends)))
     if max_hops == 3:
         # Back at the start, the node needs an edge besides the two already used.

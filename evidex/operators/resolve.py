@@ -126,13 +126,16 @@ def resolve_people(changes: DataFrame, corpus: Corpus, unicode: bool = True) ->
     )
     by_identity = (
         corpus.people.filter("normalized_identity is not null")
-        .groupBy(F.col("normalized_identity").alias("identity"))
+        .groupBy(F.col("normalized_identity").alias("identity_key"))
         .agg(F.count("*").alias("holders"), F.min("person_id").alias("holder"))
     )
+    # Documents without an identity get a key of their own, so they spread over the tasks.
+    spread_key = F.coalesce("identity", F.concat(F.lit("\x1f"), "document_id"))
     found = (
-        documents.join(by_document, "document_id", "left")
+        documents.withColumn("identity_key", spread_key)
+        .join(by_document, "document_id", "left")
         .join(by_source, ["source", "external_id"], "left")
-        .join(by_identity, "identity", "left")
+        .join(by_identity, "identity_key", "left")
         .withColumn(
             "known_person",
             F.coalesce(
@@ -143,10 +146,10 @@ def resolve_people(changes: DataFrame, corpus: Corpus, unicode: bool = True) ->
     )
     founders = (
         found.filter("known_person is null and holders is null and identity is not null")
-        .groupBy("identity")
+        .groupBy("identity_key")
         .agg(F.min_by("own_person", "seq").alias("founder"))
     )
-    return found.join(founders, "identity", "left").select(
+    return found.join(founders, "identity_key", "left").select(
         "document_id",
         F.when(F.col("known_person").isNotNull(), F.col("known_person"))
         .when(F.col("holders").isNull(), F.coalesce("founder", "own_person"))

@@ -212,13 +212,13 @@ def substring_pairs(texts: DataFrame, terms: DataFrame, text: str, term: str) ->
     """Distinct (text, term) with the term inside the text, as an equi-join.
 
     Each term is looked up by one gram of up to three characters, its middle one, among the
-    grams of the distinct texts; the hit is then verified.
+    grams of the distinct texts. Grams carry a digest of their text, not the text, so long
+    texts are not multiplied; the hits are then verified on the texts themselves.
     """
     words = terms.select(term).filter(F.length(term) > 0).distinct()
     width = F.least(F.length(term), F.lit(3))
-    keyed = words.withColumn(
-        "_gram", F.substr(F.col(term), F.floor((F.length(term) - width) / 2).cast("int") + 1, width)
-    )
+    middle = F.floor((F.length(term) - width) / 2).cast("int") + 1
+    keyed = words.withColumn("_gram", F.substr(F.col(term), middle, width))
 
     def grams(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
@@ -227,13 +227,15 @@ def substring_pairs(texts: DataFrame, terms: DataFrame, text: str, term: str) ->
             F.transform(starts, lambda i: F.substr(F.col(text), i, F.lit(n))),
         ).otherwise(F.array().cast("array<string>"))
 
-    spread = (
-        texts.select(text)
-        .distinct()
-        .select(text, F.explode(F.array_distinct(F.concat(*map(grams, (1, 2, 3))))).alias("_gram"))
+    whole = texts.select(text).distinct().withColumn("_digest", F.sha2(text, 256))
+    spread = whole.select(
+        "_digest", F.explode(F.array_distinct(F.concat(*map(grams, (1, 2, 3))))).alias("_gram")
     )
+    met = spread.join(keyed, "_gram").select("_digest", term)
     return (
-        spread.join(keyed, "_gram").filter(F.contains(F.col(text), F.col(term))).select(text, term)
+        met.join(whole, "_digest")
+        .filter(F.contains(F.col(text), F.col(term)))
+        .select(text, term)
     )
 
 

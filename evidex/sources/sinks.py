@@ -15,44 +15,64 @@ from pyspark.sql import functions as F
 from evidex.corpus import Corpus, empty_corpus
 from evidex.schemas import TABLES
 
-_MARK = "version long"
+_MARK = "version long, tables map<string,long>"
 
 
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """Published versions under a root, oldest first."""
+def _published(spark: SparkSession, root: str) -> dict[int, dict[str, int]]:
+    """Published versions: where each of their tables lies."""
     try:
-        rows = spark.read.schema(_MARK).json(f"{root}/_published").distinct().collect()
+        rows = spark.read.schema(_MARK).json(f"{root}/_published").collect()
     except Exception as error:  # noqa: BLE001 - a missing path means no version yet
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return []
-    return sorted(r.version for r in rows)
+        return {}
+    return {r.version: dict(r.tables or {}) for r in rows}
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """Published versions under a root, oldest first."""
+    return sorted(_published(spark, root))
 
 
-def _write_version(frames: Mapping[str, DataFrame], spark: SparkSession, root: str) -> int:
-    known = versions(spark, root)
-    version = known[-1] + 1 if known else 1
-    for name, df in frames.items():
-        df.write.mode("overwrite").parquet(f"{root}/v={version}/{name}")
-    mark = spark.range(1).select(F.lit(version).cast("long").alias("version"))
+def _publish(spark: SparkSession, root: str, version: int, tables: Mapping[str, int]) -> None:
+    pairs = [F.lit(x) for name, at in tables.items() for x in (name, at)]
+    mark = spark.range(1).select(
+        F.lit(version).cast("long").alias("version"),
+        F.create_map(*pairs).cast("map<string,long>").alias("tables"),
+    )
     mark.coalesce(1).write.mode("append").json(f"{root}/_published")
-    return version
 
 
-def write_corpus(corpus: Corpus, spark: SparkSession, root: str) -> int:
-    """All tables as the next version."""
-    return _write_version(corpus.tables(), spark, root)
+def write_corpus(
+    corpus: Corpus, spark: SparkSession, root: str, previous: Corpus | None = None
+) -> int:
+    """The tables as the next version.
+
+    ``previous`` is the corpus the new one grew out of, as read from the same root: a table
+    taken over from it unchanged is not written again but referred to where it lies.
+    """
+    known = _published(spark, root)
+    latest = max(known, default=0)
+    places = dict(known.get(latest, {}))
+    old = previous.tables() if previous is not None else {}
+    for name, df in corpus.tables().items():
+        if name in places and old.get(name) is df:
+            continue
+        df.write.mode("overwrite").parquet(f"{root}/v={latest + 1}/{name}")
+        places[name] = latest + 1
+    _publish(spark, root, latest + 1, places)
+    return latest + 1
 
 
 def read_corpus(spark: SparkSession, root: str, version: int | None = None) -> Corpus:
     """The given or latest version; an empty corpus when nothing is published."""
-    known = versions(spark, root)
+    known = _published(spark, root)
     if not known:
         return empty_corpus(spark)
-    chosen = known[-1] if version is None else version
+    places = known[max(known) if version is None else version]
     return Corpus(
         **{
-            name: spark.read.schema(ddl).parquet(f"{root}/v={chosen}/{name}")
+            name: spark.read.schema(ddl).parquet(f"{root}/v={places[name]}/{name}")
             for name, ddl in TABLES.items()
         }
     )
@@ -60,12 +80,10 @@ def read_corpus(spark: SparkSession, root: str, version: int | None = None) -> C
 
 def write_graph(nodes: DataFrame, edges: DataFrame, spark: SparkSession, root: str) -> int:
     """Nodes and edges as the next version, edges partitioned by relation."""
-    known = versions(spark, root)
-    version = known[-1] + 1 if known else 1
+    version = max(_published(spark, root), default=0) + 1
     nodes.write.mode("overwrite").partitionBy("node_type").parquet(f"{root}/v={version}/nodes")
     edges.write.mode("overwrite").partitionBy("rel").parquet(f"{root}/v={version}/edges")
-    mark = spark.range(1).select(F.lit(version).cast("long").alias("version"))
-    mark.coalesce(1).write.mode("append").json(f"{root}/_published")
+    _publish(spark, root, version, {"nodes": version, "edges": version})
     return version
 
 

@@ -48,7 +48,7 @@ def ingest_stream(
             result.report, f"batch-{batch_id}", "succeeded", datetime.now(timezone.utc)
         )
         runs = before.ingest_runs.filter(F.col("run_id") != f"batch-{batch_id}").unionByName(row)
-        write_corpus(result.corpus.with_tables(ingest_runs=runs), session, root)
+        write_corpus(result.corpus.with_tables(ingest_runs=runs), session, root, before)
 
     return (
         lines.writeStream.foreachBatch(apply)

@@ -340,7 +340,13 @@ def test_versions_and_runs(spark, tmp_path):
     assert write_corpus(corpus.with_tables(ingest_runs=runs), spark, root) == 1
     assert write_corpus(read_corpus(spark, root), spark, root) == 2
     assert versions(spark, root) == [1, 2]
-    assert latest_runs(read_corpus(spark, root).ingest_runs).first().status == "succeeded"
+    before = read_corpus(spark, root)
+    grown = before.with_tables(ingest_runs=before.ingest_runs.limit(1))
+    assert write_corpus(grown, spark, root, before) == 3
+    assert sorted(p.name for p in (tmp_path / "corpus" / "v=3").iterdir()) == ["ingest_runs"]
+    assert read_corpus(spark, root).ingest_runs.count() == 1
+    assert read_corpus(spark, root, 2).ingest_runs.count() == 2
+    assert latest_runs(read_corpus(spark, root, 2).ingest_runs).first().status == "succeeded"
     with pytest.raises(ValueError):
         run_record(report, "r", "lost", datetime(2026, 1, 1))
     nodes = spark.createDataFrame([("n", "Person", "N", "n")], "node_id string, node_type string, name string, key string")
