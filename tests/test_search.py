@@ -18,7 +18,7 @@ from evidex.session import cut_lineage
 from evidex.sources.demo import demo_documents, demo_records
 from tests.test_ingest_chunk import documents
 
-PROVIDER = HashEmbedder(16)
+PROVIDER = HashEmbedder(256)
 
 
 def settled(corpus):
