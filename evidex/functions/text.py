@@ -20,7 +20,6 @@ from evidex.functions.constants import (
 )
 
 _WS_CLASS = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in WHITESPACE) + "]"
-_WS_NOT_NEWLINE = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in WHITESPACE if c != "\n") + "]"
 
 # Characters for which JVM lower-casing equals case folding and NFKC changes nothing.
 _JVM_SAFE = "^[\\x00-\\x7FÀ-ÖØ-Þà-öø-ÿА-Яа-яЁё«»–—“”„’‘]*$"
@@ -43,8 +42,9 @@ def split_words(col: Column) -> Column:
 
 def normalize_raw_text(col: Column) -> Column:
     """Line ends to LF, trailing blanks of every line and outer blanks removed."""
-    unix = F.replace(col, F.lit("\r\n"), F.lit("\n"))
-    return strip(F.regexp_replace(unix, _WS_NOT_NEWLINE + "++(\\n|\\z)", "$1"))
+    lines = F.split(F.replace(col, F.lit("\r\n"), F.lit("\n")), "\n")
+    ended = F.transform(lines, lambda line: F.rtrim(line, F.lit(WHITESPACE)))
+    return strip(F.array_join(ended, "\n"))
 
 
 def checksum(col: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evidex.functions.text import normalize_name
 from evidex.operators.rank import supporting_chunks
+from evidex.session import cut_lineage
 
 KEY = ("person_id", "inference_type", "claim", "peer_id")
 
@@ -59,11 +60,12 @@ def term_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Group persons by equal term sets: members (person_id, set_id), sets (set_id, terms, n_members).
 
     ``rows``: person_id, term. Copies of one set are compared once, whatever their number.
+    Both results are read several times later on, so the sets are built and written once.
     """
     own = rows.groupBy("person_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    keyed = own.withColumn("set_id", F.sha2(F.array_join("terms", "\x1f"), 256))
-    sets = keyed.groupBy("set_id").agg(
-        F.first("terms").alias("terms"), F.count("*").alias("n_members")
+    keyed = cut_lineage(own.withColumn("set_id", F.sha2(F.array_join("terms", "\x1f"), 256)))
+    sets = cut_lineage(
+        keyed.groupBy("set_id").agg(F.first("terms").alias("terms"), F.count("*").alias("n_members"))
     )
     return keyed.select("person_id", "set_id"), sets
 

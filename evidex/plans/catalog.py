@@ -475,10 +475,13 @@ def _snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs = _documents(spark, sf)
     labels = table(spark, sf, "labels")
     labelled = docs.join(labels, "doc_id").withColumn("checksum", T.checksum(F.col("text")))
-    stored = labelled.groupBy("checksum").agg(F.min("doc_id").alias("doc_id")).select(
-        T.row_id("document", F.lit("docs"), F.col("doc_id").cast("string")).alias("document_id"),
-        "checksum",
-        F.lit("someone").alias("person_id"),
+    first = labelled.groupBy("checksum").agg(F.min("doc_id").alias("doc_id"))
+    stored = cut_lineage(
+        first.select(
+            T.row_id("document", F.lit("docs"), F.col("doc_id").cast("string")).alias("document_id"),
+            "checksum",
+            F.lit("someone").alias("person_id"),
+        )
     )
     batch = docs.join(labels, "doc_id", "left").select(
         F.lit("docs").alias("source"),
