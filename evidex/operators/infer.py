@@ -57,7 +57,8 @@ def infer_expertise(
 
 
 def term_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Group persons by equal term sets: members (person_id, set_id), sets (set_id, terms, n_members).
+    """Group persons by equal term sets: members (person_id, set_id) and sets (set_id, terms,
+    n_members, set_no).
 
     ``rows``: person_id, term. Copies of one set are compared once, whatever their number.
     Both results are read several times later on, so the sets are built and written once.
@@ -65,7 +66,9 @@ def term_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = rows.groupBy("person_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
     keyed = cut_lineage(own.withColumn("set_id", F.sha2(F.array_join("terms", "\x1f"), 256)))
     sets = cut_lineage(
-        keyed.groupBy("set_id").agg(F.first("terms").alias("terms"), F.count("*").alias("n_members"))
+        keyed.groupBy("set_id")
+        .agg(F.first("terms").alias("terms"), F.count("*").alias("n_members"))
+        .withColumn("set_no", F.monotonically_increasing_id())
     )
     return keyed.select("person_id", "set_id"), sets
 
@@ -77,23 +80,31 @@ def similar_sets(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     that term and a size class, are bounded by size and by the terms still to come, and are
     verified exactly. Result: set_a < set_b, similarity.
     """
-    spread = sets.select("set_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    spread = sets.select("set_no", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     rarity = spread.groupBy("term").agg(F.count("*").alias("df"))
+    # A term of one set alone brings no pair together.
     ordered = (
         spread.join(rarity, "term")
-        .groupBy("set_id", "n")
+        .groupBy("set_no", "n")
         .agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("by_rarity"))
     )
     keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    prefix = ordered.select(
-        "set_id", "n", F.posexplode(F.slice("by_rarity", 1, keep)).alias("pos", "entry")
-    ).select("set_id", "n", "pos", "entry.term", _size_class(F.col("n"), threshold).alias("cls"))
+    prefix = (
+        ordered.select(
+            "set_no", "n", F.posexplode(F.slice("by_rarity", 1, keep)).alias("pos", "entry")
+        )
+        .filter("entry.df > 1")
+        .select(
+            "set_no", "n", "pos", F.xxhash64("entry.term").alias("term"),
+            _size_class(F.col("n"), threshold).alias("cls"),
+        )
+    )
     left = prefix.select(
-        F.col("set_id").alias("small"), F.col("n").alias("n_small"), F.col("pos").alias("p_small"),
+        F.col("set_no").alias("small"), F.col("n").alias("n_small"), F.col("pos").alias("p_small"),
         "term", F.explode(F.array("cls", F.col("cls") + 1)).alias("cls"),
     )
     right = prefix.select(
-        F.col("set_id").alias("large"), F.col("n").alias("n_large"), F.col("pos").alias("p_large"),
+        F.col("set_no").alias("large"), F.col("n").alias("n_large"), F.col("pos").alias("p_large"),
         "term", "cls",
     )
     ordered_pair = (F.col("n_small") < F.col("n_large")) | (
@@ -115,14 +126,19 @@ def similar_sets(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
         .select("small", "large")
         .distinct()
     )
-    verified = met.join(
-        sets.select(F.col("set_id").alias("small"), F.col("terms").alias("a")), "small"
-    ).join(sets.select(F.col("set_id").alias("large"), F.col("terms").alias("b")), "large")
+    def side(number: str, name: str, terms: str) -> DataFrame:
+        return sets.select(
+            F.col("set_no").alias(number), F.col("set_id").alias(name), F.col("terms").alias(terms)
+        )
+
+    verified = met.join(side("small", "a_id", "a"), "small").join(
+        side("large", "b_id", "b"), "large"
+    )
     common = F.size(F.array_intersect("a", "b"))
     similarity = common / (F.size("a") + F.size("b") - common)
     return verified.select(
-        F.least("small", "large").alias("set_a"),
-        F.greatest("small", "large").alias("set_b"),
+        F.least("a_id", "b_id").alias("set_a"),
+        F.greatest("a_id", "b_id").alias("set_b"),
         similarity.alias("similarity"),
     ).filter(F.col("similarity") >= threshold)
 
