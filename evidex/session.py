@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,18 +26,32 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> Spar
     return spark
 
 
+_local_folder: list[str] = []
+
+
+def work_folder(spark: SparkSession) -> str:
+    """Where written intermediate tables go: the shared folder in ``spark.checkpoint.dir``.
+
+    Without the setting a local master uses one temporary folder per process, as in tests; on a
+    cluster that would be a different folder on each machine, so there it is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _local_folder:
+            _local_folder.append(tempfile.mkdtemp(prefix="evidex-"))
+        root = _local_folder[0]
+    return f"{root.rstrip('/')}/evidex"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a frame once and go on from the written table.
 
-    The table lies in the shared folder named by ``spark.checkpoint.dir``, so it outlives
-    executors; a temporary folder serves only where the setting is missing, as in tests.
-    Unlike an RDD checkpoint the table has columns and a size the planner can use.
+    The table lies in the shared folder of ``work_folder``, so it outlives executors. Unlike an
+    RDD checkpoint the table has columns and a size the planner can use.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="evidex-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/evidex/{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
