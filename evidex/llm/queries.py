@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidex.llm import shard, simhash
+from evidex.llm import caps, shard, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,14 +17,56 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return shard.place(docs.select("doc_id"))
 
 
+def op9_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op5_warc": op5_warc,
     "op6_shards": op6_shards,
+    "op9_caps": op9_caps,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages
+        ), d AS (SELECT page_id, n, sha1(html) AS digest FROM p),
+        o AS (SELECT digest, max(page_id) AS owner FROM d WHERE n >= 1000 GROUP BY digest)
+        SELECT d.page_id, CAST(d.n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+            CASE WHEN o.owner IS NULL OR o.owner = d.page_id THEN 'response' ELSE 'revisit' END
+                AS record_type,
+            CASE WHEN o.owner <> d.page_id THEN o.owner END AS refers_to
+        FROM d LEFT JOIN o ON d.digest = o.digest AND d.n >= 1000
+    """,
+    "op9_caps": """
+        WITH RECURSIVE good AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+                ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+        ), reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM embeddings
+            UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        ), c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+        n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT c.a AS vec_id, coalesce(n.n, 0) AS n_links, c.component_id,
+            c.a = c.component_id AS kept
+        FROM c LEFT JOIN n ON n.a = c.a
+    """,
+}
