@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidex.llm import caps, shard, simhash, warc
+from evidex.llm import caps, decontaminate, shard, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.place(docs.select("doc_id"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -34,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op5_warc": op5_warc,
     "op6_shards": op6_shards,
+    "op8_decontaminate": op8_decontaminate,
     "op9_caps": op9_caps,
 }
 
