@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidex.llm import caps, decontaminate, shard, simhash, warc
+from evidex.llm import caps, decontaminate, shard, simhash, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.place(docs.select("doc_id"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op5_warc": op5_warc,
     "op6_shards": op6_shards,
+    "op7_substrings": op7_substrings,
     "op8_decontaminate": op8_decontaminate,
     "op9_caps": op9_caps,
 }
@@ -54,6 +59,27 @@ ORACLES: dict[str, str] = {
             CASE WHEN o.owner <> d.page_id THEN o.owner END AS refers_to
         FROM d LEFT JOIN o ON d.digest = o.digest AND d.n >= 1000
     """,
+    "op7_substrings": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+            FROM documents
+        ), s AS (
+            SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) > 12
+        ), g AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS t FROM s),
+        m AS (SELECT t, min(doc_id) AS least FROM g GROUP BY t),
+        hit AS (SELECT g.doc_id, g.i FROM g JOIN m USING (t) WHERE m.least < g.doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM hit),
+        k AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS j FROM w WHERE len(words) > 0),
+        r AS (
+            SELECT k.doc_id, count(*) AS n_words, count(gone.j) AS n_removed,
+                coalesce(string_agg(k.words[k.j], ' ' ORDER BY k.j) FILTER (WHERE gone.j IS NULL), '') AS kept
+            FROM k LEFT JOIN gone ON k.doc_id = gone.doc_id AND k.j = gone.j GROUP BY k.doc_id
+        )
+        SELECT w.doc_id, CAST(coalesce(r.n_words, 0) AS BIGINT) AS n_words,
+            CAST(coalesce(r.n_removed, 0) AS BIGINT) AS n_removed,
+            sha256(coalesce(r.kept, '')) AS kept_sha256
+        FROM w LEFT JOIN r ON w.doc_id = r.doc_id
+    """,
     "op9_caps": """
         WITH RECURSIVE good AS (
             SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e
