@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidex.llm import caps, decontaminate, shard, simhash, substring, warc
+from evidex.llm import caps, decontaminate, quality, shard, simhash, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op9_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op5_warc": op5_warc,
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substrings": op7_substrings,
     "op8_decontaminate": op8_decontaminate,
     "op9_caps": op9_caps,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
