@@ -215,13 +215,10 @@ class _Adam:
             p[k] -= (rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
 
 
-def _log_odds(seen: np.ndarray, labels: np.ndarray, rows: int, owner: np.ndarray) -> np.ndarray:
-    """Smoothed log ratio of the shares of toxic and other texts that have each row."""
-    pairs = np.unique(owner * rows + seen)
-    toxic = labels[pairs // rows]
-    has = [np.bincount(pairs[toxic == y] % rows, minlength=rows) for y in (0, 1)]
-    share = [(has[y] + 2) / ((labels == y).sum() + 2) for y in (0, 1)]
-    return np.log(share[1] / share[0]) - np.log(((labels == 0).sum() + 2) / ((labels == 1).sum() + 2))
+def _log_odds(has: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Smoothed log ratio of the shares of toxic and other texts; ``has`` counts texts by class and row."""
+    share = (has + 2) / (sizes[:, None] + 2)
+    return np.log(share[1] / share[0]) - np.log((sizes[0] + 2) / (sizes[1] + 2))
 
 
 def train(texts: list[str], labels: np.ndarray, prior: float, steps: int = STEPS, seed: int = SEED) -> Network:
@@ -232,22 +229,26 @@ def train(texts: list[str], labels: np.ndarray, prior: float, steps: int = STEPS
     """
     rng = np.random.default_rng(seed)
     net = Network(rng)
-    words = [_WORD.findall(t.lower())[:SAMPLE_WORDS] for t in texts]
-    sizes = np.array([len(w) for w in words], dtype=np.int64)
-    codes, distinct = pd.factorize(np.array([w for own in words for w in own] + [" "], dtype=object))
-    del words
-    distinct = list(distinct)
+    numbers: dict[str, int] = {" ": 0}
+    own_codes = []
+    for text in texts:
+        words = _WORD.findall(text.lower())[:SAMPLE_WORDS]
+        own_codes.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words)))
+    distinct = list(numbers)
+    del numbers
     whole, pieces, begin = inputs(distinct)
     ends = np.r_[begin[1:], len(pieces)]
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    used = np.unique(owner * len(distinct) + codes[:-1])
-    text_of, word_of = used // len(distinct), used % len(distinct)
-    net.p["word"][:, 0] = _log_odds(whole[word_of], labels, WORD_ROWS, text_of)
-    lengths = (ends - begin)[word_of]
-    offset = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    flat = pieces[np.repeat(begin[word_of], lengths) + offset]
-    net.p["piece"][:, 0] = _log_odds(flat, labels, PIECE_ROWS, np.repeat(text_of, lengths))
-    del used, text_of, word_of, lengths, offset, flat
+    has_word, has_piece = np.zeros((2, WORD_ROWS)), np.zeros((2, PIECE_ROWS))
+    for own, label in zip(own_codes, labels, strict=True):
+        used = np.unique(own)
+        has_word[label, whole[used]] += 1
+        if len(used):
+            has_piece[label, np.concatenate([pieces[begin[i] : ends[i]] for i in used])] += 1
+    by_class = np.bincount(labels, minlength=2)
+    net.p["word"][:, 0] = _log_odds(has_word, by_class)
+    net.p["piece"][:, 0] = _log_odds(has_piece, by_class)
+    sizes = np.array([len(c) for c in own_codes], dtype=np.int64)
+    codes = np.concatenate([*own_codes, np.zeros(1, dtype=np.int64)])
     first = np.cumsum(sizes) - sizes
     classes = [np.flatnonzero(labels == y) for y in (0, 1)]
     adam = _Adam(RATE)
