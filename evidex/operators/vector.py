@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidex.functions.vectors import similarity_score
 
-# Largest query matrix shipped to the tasks, in numbers (8 bytes each).
-MAX_SHIPPED_NUMBERS = 4_000_000
+# Numbers (8 bytes each) of the query matrix that one scan ships to the tasks; more queries
+# are answered in as many scans, so neither plan nor answer depends on their number.
+BLOCK_NUMBERS = 4_000_000
 _HITS = "query_id string, vector_id string, person_id string, cosine double"
 
 
@@ -60,40 +63,55 @@ def top_per_query(hits: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _typed(df: DataFrame, *ids: str) -> DataFrame:
+    return df.select(
+        *[F.col(i).cast("string").alias(i) for i in ids],
+        F.col("embedding").cast("array<double>").alias("embedding"),
+    )
+
+
+def _query_blocks(
+    queries: DataFrame, block_numbers: int
+) -> Iterator[tuple[Column, int, list[str], np.ndarray]]:
+    """Blocks of the query table: condition on query_id, dimension, ids and unit vectors.
+
+    The block of a query is the class of its id's hash, and classes hold half the given size
+    in the mean, so that each stays well within the size.
+    """
+    asked = _typed(queries.filter(F.size("embedding") > 0), "query_id")
+    sizes = asked.groupBy(F.size("embedding").alias("dimension")).count().collect()
+    for dimension, count in sorted(sizes):
+        n = max(1, -(-2 * count * dimension // block_numbers)) if count * dimension > block_numbers else 1
+        for number in range(n):
+            chosen = F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(n)) == number
+            sent = asked.filter(chosen & (F.size("embedding") == dimension)).toArrow()
+            if sent.num_rows:
+                matrix = _matrix(sent.column("embedding").combine_chunks())
+                yield chosen, dimension, sent.column("query_id").to_pylist(), matrix
+
+
+def _all_hits(found: list[DataFrame], spark: SparkSession) -> DataFrame:
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _HITS)
+
+
 def cosine_topk(
-    queries: DataFrame,
-    vectors: DataFrame,
-    k: int = 100,
-    max_shipped: int = MAX_SHIPPED_NUMBERS,
-    block_rows: int = 4096,
+    queries: DataFrame, vectors: DataFrame, k: int = 100, block_numbers: int = BLOCK_NUMBERS
 ) -> DataFrame:
     """Best k vectors per query over the whole corpus.
 
-    ``queries``: query_id, embedding. ``vectors``: vector_id, person_id, embedding. The query
-    matrix is shipped to the tasks when its measured size allows; each task then keeps k
-    rows per query. Larger query tables go through a blocked join.
+    ``queries``: query_id, embedding. ``vectors``: vector_id, person_id, embedding. Each block
+    of queries is shipped and run over one scan; a task keeps k rows per query.
     """
-    dimension_row = queries.select(F.size("embedding").alias("n")).limit(1).collect()
-    if not dimension_row:
-        return queries.sparkSession.createDataFrame([], _HITS).transform(top_per_query, k)
-    dimension = dimension_row[0].n
-    usable = vectors.filter(F.size("embedding") == dimension).select(
-        F.col("vector_id").cast("string").alias("vector_id"),
-        F.col("person_id").cast("string").alias("person_id"),
-        F.col("embedding").cast("array<double>").alias("embedding"),
-    )
-    asked = queries.filter(F.size("embedding") == dimension).select(
-        F.col("query_id").cast("string").alias("query_id"),
-        F.col("embedding").cast("array<double>").alias("embedding"),
-    )
-    most = max(1, max_shipped // dimension)
-    shipped = asked.limit(most + 1).toArrow()
-    if shipped.num_rows > most:
-        return _blocked_topk(asked, usable, k, block_rows)
-    names = shipped.column("query_id").to_pylist()
-    matrix = _matrix(shipped.column("embedding").combine_chunks())
-    sent = queries.sparkSession.sparkContext.broadcast((names, matrix))
+    stored = _typed(vectors, "vector_id", "person_id")
+    found = []
+    for _, dimension, names, matrix in _query_blocks(queries, block_numbers):
+        sent = queries.sparkSession.sparkContext.broadcast((names, matrix))
+        usable = stored.filter(F.size("embedding") == dimension)
+        found.append(usable.mapInArrow(_searcher(sent, k), _HITS))
+    return _all_hits(found, queries.sparkSession).transform(top_per_query, k)
 
+
+def _searcher(sent: Broadcast, k: int) -> Callable:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, query_matrix = sent.value
         best = [_Best(k) for _ in query_ids]
@@ -102,7 +120,7 @@ def cosine_topk(
                 _score(batch, query_matrix, best)
         yield from _emit(query_ids, best)
 
-    return usable.mapInArrow(search, _HITS).transform(top_per_query, k)
+    return search
 
 
 def _score(batch: pa.RecordBatch, query_matrix: np.ndarray, best: list[_Best]) -> None:
@@ -127,83 +145,63 @@ def _emit(query_ids: list[str], best: list[_Best]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _blocked_topk(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int) -> DataFrame:
-    """Both sides large: hash blocks of bounded size meet pairwise, each pair in its own group."""
-    n_queries = max(1, -(-queries.count() // block_rows))
-    n_vectors = max(1, -(-vectors.count() // (block_rows * 4)))
+def cosine_within(
+    queries: DataFrame, vectors: DataFrame, allowed: DataFrame, block_numbers: int = BLOCK_NUMBERS
+) -> DataFrame:
+    """Cosine of every allowed (query, vector): query_id, vector_id, person_id, cosine.
 
-    left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_queries))).withColumn(
-        "vb", F.explode(F.sequence(F.lit(0), F.lit(n_vectors - 1)))
-    )
-    right = vectors.withColumn("vb", F.pmod(F.xxhash64("vector_id"), F.lit(n_vectors))).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))
+    ``allowed``: query_id, person_id. A person carries the list of the block's queries that may
+    see them, so a stored vector is read once per block and a query vector is never shuffled.
+    """
+    stored = _typed(vectors, "vector_id", "person_id")
+    pairs = allowed.select(
+        F.col("query_id").cast("string").alias("query_id"),
+        F.col("person_id").cast("string").alias("person_id"),
     )
-    keys = [F.col("qb").cast("long"), F.col("vb").cast("long")]
-
-    def search(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        query_ids = asked.column("query_id").to_pylist()
-        best = [_Best(k) for _ in query_ids]
-        if query_ids:
-            matrix = _matrix(asked.column("embedding").combine_chunks())
-            for batch in stored.to_batches():
-                if batch.num_rows:
-                    _score(batch, matrix, best)
-        batches = list(_emit(query_ids, best))
-        schema = pa.schema(
-            [("query_id", pa.string()), ("vector_id", pa.string()),
-             ("person_id", pa.string()), ("cosine", pa.float64())]
-        )
-        return pa.Table.from_batches(batches, schema)
-
-    grouped = left.groupBy(*keys).cogroup(right.groupBy(*keys))
-    return grouped.applyInArrow(search, _HITS).transform(top_per_query, k)
+    found = []
+    for chosen, dimension, names, matrix in _query_blocks(queries, block_numbers):
+        sent = queries.sparkSession.sparkContext.broadcast((names, matrix))
+        lists = pairs.filter(chosen).groupBy("person_id").agg(F.collect_set("query_id").alias("asked"))
+        usable = stored.filter(F.size("embedding") == dimension).join(lists, "person_id")
+        found.append(usable.mapInArrow(_pair_scorer(sent), _HITS))
+    return _all_hits(found, queries.sparkSession)
 
 
 def cosine_topk_within(
-    queries: DataFrame, vectors: DataFrame, allowed: DataFrame, k: int = 100
+    queries: DataFrame,
+    vectors: DataFrame,
+    allowed: DataFrame,
+    k: int = 100,
+    block_numbers: int = BLOCK_NUMBERS,
 ) -> DataFrame:
-    """Best k vectors per query among its allowed persons (F2).
+    """Best k vectors per query among its allowed persons (F2); none for a query without any."""
+    return cosine_within(queries, vectors, allowed, block_numbers).transform(top_per_query, k)
 
-    ``allowed``: query_id, person_id; a query without rows there gets no result. The pairs
-    are joined before scoring, so only allowed vectors are scored.
-    """
-    rows = (
-        vectors.select(
-            F.col("vector_id").cast("string").alias("vector_id"),
-            F.col("person_id").cast("string").alias("person_id"),
-            F.col("embedding").cast("array<double>").alias("embedding"),
-        )
-        .join(
-            allowed.select(
-                F.col("query_id").cast("string").alias("query_id"),
-                F.col("person_id").cast("string").alias("person_id"),
-            ).distinct(),
-            "person_id",
-        )
-        .join(
-            queries.select(
-                F.col("query_id").cast("string").alias("query_id"),
-                F.col("embedding").cast("array<double>").alias("asked"),
-            ),
-            "query_id",
-        )
-        .filter(F.size("embedding") == F.size("asked"))
-        .select("query_id", "vector_id", "person_id", "embedding", "asked")
-    )
-    return rows.mapInArrow(_pair_cosine, _HITS).transform(top_per_query, k)
 
+def _pair_scorer(sent: Broadcast) -> Callable:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = sent.value
+        number = {name: i for i, name in enumerate(names)}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            asked = batch.column("asked")
+            query = [number.get(q, -1) for q in asked.flatten().to_pylist()]
+            row = np.repeat(np.arange(len(asked)), asked.value_lengths().to_numpy(zero_copy_only=False))
+            query = np.array(query, dtype=np.int64)
+            row, query = row[query >= 0], query[query >= 0]
+            cosine = np.einsum("ij,ij->i", _matrix(batch.column("embedding"))[row], matrix[query])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([names[i] for i in query], pa.string()),
+                    batch.column("vector_id").take(pa.array(row)),
+                    batch.column("person_id").take(pa.array(row)),
+                    pa.array(cosine, pa.float64()),
+                ],
+                names=["query_id", "vector_id", "person_id", "cosine"],
+            )
 
-def _pair_cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        stored, asked = _matrix(batch.column("embedding")), _matrix(batch.column("asked"))
-        cosine = np.einsum("ij,ij->i", stored, asked)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(n) for n in ("query_id", "vector_id", "person_id")]
-            + [pa.array(cosine, pa.float64())],
-            names=["query_id", "vector_id", "person_id", "cosine"],
-        )
+    return score
 
 
 def lsh_topk(
@@ -213,35 +211,36 @@ def lsh_topk(
     tables: int = 8,
     bits: int = 12,
     seed: int = 17,
-    max_shipped: int = MAX_SHIPPED_NUMBERS,
+    block_numbers: int = BLOCK_NUMBERS,
 ) -> DataFrame:
     """Approximate top-k (F4): only vectors sharing a random-hyperplane bucket are scored.
 
     Takes the place of a stored index. Nothing is shuffled but the k rows per query and
-    task, whatever the size of a bucket. A query table too large to ship is answered exactly.
+    task, whatever the size of a bucket, and the answer is the same for any block size.
     """
-    first = queries.select(F.size("embedding").alias("n")).limit(1).collect()
-    if not first:
-        return cosine_topk(queries, vectors, k)
-    dimension = first[0].n
-    most = max(1, max_shipped // (dimension + tables))
-    asked = queries.filter(F.size("embedding") == dimension).select(
-        F.col("query_id").cast("string").alias("query_id"),
-        F.col("embedding").cast("array<double>").alias("embedding"),
-    )
-    shipped = asked.limit(most + 1).toArrow()
-    if shipped.num_rows > most:
-        return cosine_topk(queries, vectors, k, max_shipped)
-    planes = np.random.default_rng(seed).standard_normal((tables * bits, dimension))
-    weights = 1 << np.arange(bits)
+    stored = _typed(vectors, "vector_id", "person_id")
+    found = []
+    for _, dimension, names, matrix in _query_blocks(queries, block_numbers):
+        buckets = _Buckets(dimension, tables, bits, seed)
+        sent = queries.sparkSession.sparkContext.broadcast((names, matrix, buckets(matrix)))
+        usable = stored.filter(F.size("embedding") == dimension)
+        found.append(usable.mapInArrow(_bucket_searcher(sent, buckets, k), _HITS))
+    return _all_hits(found, queries.sparkSession).transform(top_per_query, k)
 
-    def buckets(rows: np.ndarray) -> np.ndarray:
-        return ((rows @ planes.T) > 0).reshape(len(rows), tables, bits) @ weights
 
-    names = shipped.column("query_id").to_pylist()
-    matrix = _matrix(shipped.column("embedding").combine_chunks())
-    sent = queries.sparkSession.sparkContext.broadcast((names, matrix, buckets(matrix)))
+class _Buckets:
+    """Bucket numbers of unit vectors, one per hash table."""
 
+    def __init__(self, dimension: int, tables: int, bits: int, seed: int) -> None:
+        self.shape = (tables, bits)
+        self.planes = np.random.default_rng(seed).standard_normal((tables * bits, dimension))
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        above = ((rows @ self.planes.T) > 0).reshape(len(rows), *self.shape)
+        return above @ (1 << np.arange(self.shape[1]))
+
+
+def _bucket_searcher(sent: Broadcast, buckets: _Buckets, k: int) -> Callable:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, query_matrix, query_buckets = sent.value
         best = [_Best(k) for _ in query_ids]
@@ -257,9 +256,4 @@ def lsh_topk(
                 kept.add(rows[met] @ query, ids[met], persons[met])
         yield from _emit(query_ids, best)
 
-    usable = vectors.filter(F.size("embedding") == dimension).select(
-        F.col("vector_id").cast("string").alias("vector_id"),
-        F.col("person_id").cast("string").alias("person_id"),
-        F.col("embedding").cast("array<double>").alias("embedding"),
-    )
-    return usable.mapInArrow(search, _HITS).transform(top_per_query, k)
+    return search

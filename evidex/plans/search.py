@@ -24,7 +24,8 @@ from evidex.operators.team import (
     team_roles,
 )
 from evidex.operators.understand import understand
-from evidex.operators.vector import cosine_topk, cosine_topk_within
+from evidex.functions.vectors import similarity_score
+from evidex.operators.vector import cosine_topk, cosine_within, top_per_query
 from evidex.session import cut_lineage
 
 PAIR = ["query_id", "person_id"]
@@ -80,7 +81,7 @@ def search(
             prepared, corpus.people, hits, config.pool_limit, config.open_limit, config.unicode
         )
     )
-    vector = cut_lineage(_vector_hits(full, corpus, provider, structured, config))
+    vector, semantic = _vector_hits(full, corpus, provider, structured, config)
     flags = full.select("query_id", "has_hard_filters", "use_graph")
     if graph is None:
         pool = cut_lineage(R.candidate_pool(flags, structured, vector, None))
@@ -101,7 +102,7 @@ def search(
         prepared,
         corpus.people,
         hits,
-        vector.select(*PAIR, F.col("score").alias("value")),
+        semantic,
         None if paths is None else paths.select(*PAIR, F.col("score").alias("value")),
         config.weights,
     )
@@ -133,8 +134,13 @@ def _vector_hits(
     provider: EmbeddingProvider,
     structured: DataFrame,
     config: SearchConfig,
-) -> DataFrame:
-    """Vector evidence per query: within the structured matches when there are hard filters."""
+) -> tuple[DataFrame, DataFrame]:
+    """Vector evidence per query, and (query_id, person_id, value) of the semantic feature.
+
+    With hard filters every structured match is scored: the feature covers the whole pool, and
+    ``vector_limit`` only cuts the evidence. Without, the best ``vector_limit`` chunks are the
+    pool (H3) and their scores the feature.
+    """
     vectors = corpus.document_chunks.select(
         F.col("chunk_id").alias("vector_id"), "person_id", "embedding"
     )
@@ -144,9 +150,13 @@ def _vector_hits(
     allowed = structured.join(
         asked.filter("has_hard_filters").select("query_id"), "query_id", "left_semi"
     )
-    whole = cosine_topk(open_queries, vectors, config.vector_limit)
-    within = cosine_topk_within(hard_queries, vectors, allowed, config.vector_limit)
-    return whole.unionByName(within).withColumnRenamed("vector_id", "chunk_id")
+    whole = cut_lineage(cosine_topk(open_queries, vectors, config.vector_limit))
+    scored = cut_lineage(cosine_within(hard_queries, vectors, allowed))
+    within = top_per_query(scored, config.vector_limit)
+    evidence = cut_lineage(whole.unionByName(within).withColumnRenamed("vector_id", "chunk_id"))
+    best = scored.groupBy(*PAIR).agg(F.max(similarity_score(F.col("cosine"))).alias("value"))
+    semantic = whole.select(*PAIR, F.col("score").alias("value")).unionByName(best)
+    return evidence, semantic
 
 
 def _evidence(
