@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,6 +76,23 @@ def _json_documents(
     )
 
 
+def _headers(
+    spark: SparkSession, paths: str | Sequence[str], encoding: str, options: Mapping[str, object]
+) -> dict[str, list[str]]:
+    """First line of each CSV file: header -> its files. One light scan, whatever the files' number."""
+    lines = spark.read.options(**options).option("encoding", encoding).text(paths)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    first = (
+        lines.select(F.col("_metadata.file_path").alias("path"), "value", place.alias("place"))
+        .groupBy("path")
+        .agg(F.min_by("value", "place").alias("header"))
+    )
+    out: dict[str, list[str]] = {}
+    for row in first.orderBy("path").collect():
+        out.setdefault(row.header, []).append(unquote(row.path))
+    return out
+
+
 def read_csv(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -82,17 +100,39 @@ def read_csv(
     id_fields: Sequence[str] = ID_FIELDS,
     multi_line: bool = True,
     row_numbers: bool = False,
+    encoding: str = "UTF-8",
+    options: Mapping[str, object] | None = None,
 ) -> DataFrame:
-    """CSV with a header (A1). Files read together share one header.
+    """CSV with a header (A1). Each file has its own; files with equal headers are read together.
 
     ``multi_line=False`` lets Spark split big files, for cells without line breaks.
     ``row_numbers`` adds the reference numbering (first record is row 2) from the smallest
     record position per file: an aggregate and a join, not a sort of the whole file.
     """
+    groups = _headers(spark, paths, encoding, options or {})
+    parts = [
+        _read_one_header(spark, files, source_name, id_fields, multi_line, row_numbers, encoding)
+        for _, files in sorted(groups.items())
+    ]
+    if not parts:
+        raise ValueError(f"No CSV file with a header below {paths}")
+    return parts[0] if len(parts) == 1 else merge_documents(parts)
+
+
+def _read_one_header(
+    spark: SparkSession,
+    paths: Sequence[str],
+    source_name: str | None,
+    id_fields: Sequence[str],
+    multi_line: bool,
+    row_numbers: bool,
+    encoding: str,
+) -> DataFrame:
     raw = (
         spark.read.option("header", True)
         .option("multiLine", multi_line)
         .option("escape", '"')
+        .option("encoding", encoding)
         .csv(paths)
     )
     cells = [c for c in raw.columns if c.strip(_BOM)]
@@ -238,13 +278,17 @@ def merge_documents(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def read_directory(
-    spark: SparkSession, path: str, source_name: str | None = None, recursive: bool = True
+    spark: SparkSession,
+    path: str,
+    source_name: str | None = None,
+    recursive: bool = True,
+    csv_multi_line: bool = True,
+    csv_encoding: str = "UTF-8",
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Read every supported file below a directory by its suffix (A5).
 
     Returns documents, quarantine, and the skipped files with an unsupported suffix. The
-    file listing is read without file content. CSV files below one directory must share
-    their header.
+    file listing is read without file content. Every CSV file is read by its own header.
     """
     listing = (
         spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
@@ -258,7 +302,12 @@ def read_directory(
     rejected: list[DataFrame] = []
     reader = spark.read
     if ".csv" in present:
-        documents.append(_read_csv_options(spark, path, source_name, paths_of(".csv")))
+        documents.append(
+            read_csv(
+                spark, path, source_name, multi_line=csv_multi_line, encoding=csv_encoding,
+                options=paths_of(".csv"),
+            )
+        )
     if ".json" in present:
         files = reader.text(path, wholetext=True, **paths_of(".json"))
         records, bad = json_records(files.select(_file_name().alias("file"), "value"))
@@ -290,15 +339,6 @@ def _any_case(suffix: str) -> str:
     return "." + "".join(f"[{c.lower()}{c.upper()}]" for c in suffix[1:])
 
 
-def _read_csv_options(
-    spark: SparkSession, path: str, source_name: str | None, options: dict[str, object]
-) -> DataFrame:
-    for_csv = spark.read.options(**options).option("header", True)
-    first = for_csv.option("multiLine", True).option("escape", '"').csv(path)
-    files = sorted(first.inputFiles())
-    return read_csv(spark, files, source_name)
-
-
 def read_archives(
     spark: SparkSession,
     paths: str | Sequence[str],

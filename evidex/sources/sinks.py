@@ -67,9 +67,9 @@ def write_corpus(
 def read_corpus(spark: SparkSession, root: str, version: int | None = None) -> Corpus:
     """The given or latest version; an empty corpus when nothing is published."""
     known = _published(spark, root)
-    if not known:
+    places = known[max(known) if version is None else version] if known else {}
+    if not set(TABLES) <= set(places):  # nothing published yet, or only a graph
         return empty_corpus(spark)
-    places = known[max(known) if version is None else version]
     return Corpus(
         **{
             name: spark.read.schema(ddl).parquet(f"{root}/v={places[name]}/{name}")
@@ -79,18 +79,25 @@ def read_corpus(spark: SparkSession, root: str, version: int | None = None) -> C
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, spark: SparkSession, root: str) -> int:
-    """Nodes and edges as the next version, edges partitioned by relation."""
-    version = max(_published(spark, root), default=0) + 1
+    """Nodes and edges as the next version, edges partitioned by relation.
+
+    The other tables of the latest version stay part of the new one, so a root may hold a
+    corpus and its graph.
+    """
+    known = _published(spark, root)
+    latest = max(known, default=0)
+    version = latest + 1
     nodes.write.mode("overwrite").partitionBy("node_type").parquet(f"{root}/v={version}/nodes")
     edges.write.mode("overwrite").partitionBy("rel").parquet(f"{root}/v={version}/edges")
-    _publish(spark, root, version, {"nodes": version, "edges": version})
+    _publish(spark, root, version, known.get(latest, {}) | {"nodes": version, "edges": version})
     return version
 
 
 def read_graph(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    version = versions(spark, root)[-1]
-    base = f"{root}/v={version}"
-    return spark.read.parquet(f"{base}/nodes"), spark.read.parquet(f"{base}/edges")
+    """Nodes and edges of the latest version that has them."""
+    known = _published(spark, root)
+    places = known[max(v for v, tables in known.items() if "nodes" in tables)]
+    return tuple(spark.read.parquet(f"{root}/v={places[name]}/{name}") for name in ("nodes", "edges"))
 
 
 def run_record(

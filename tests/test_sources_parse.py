@@ -223,3 +223,20 @@ def test_directory_and_archive(spark, tmp_path):
     assert {r.file for r in rows} == {"a.json", "b.JSONL", "c.txt", "d.csv"}
     few, refused = read_archives(spark, str(tmp_path / "z" / "ok.zip"), max_members=2)
     assert few.count() == 0 and refused.count() == 1
+
+
+def test_csv_files_keep_their_own_headers(spark, tmp_path):
+    from evidex.sources.files import read_csv, read_directory
+
+    (tmp_path / "a.csv").write_text("id,name,country\n1,Ann,France\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("name,id,country\nBob,2,Spain\n", encoding="utf-8")
+    (tmp_path / "c d.csv").write_text("id,name,country\n3,Cid,Peru\n", encoding="utf-8")
+    documents, _, _ = read_directory(spark, str(tmp_path))
+    got = {r.external_id: json.loads(r.raw_text) for r in documents.collect()}
+    assert {k: v["name"] for k, v in got.items()} == {"1": "Ann", "2": "Bob", "3": "Cid"}
+    assert {k: v["country"] for k, v in got.items()} == {"1": "France", "2": "Spain", "3": "Peru"}
+    latin = tmp_path / "latin"
+    latin.mkdir()
+    (latin / "x.csv").write_bytes("id,name\n9,Zoë\n".encode("latin-1"))
+    row = read_csv(spark, str(latin), encoding="ISO-8859-1").first()
+    assert json.loads(row.raw_text)["name"] == "Zoë"

@@ -13,6 +13,7 @@ from evidex.operators.embed import HashEmbedder
 from evidex.operators.export import profile_sections, write_profiles
 from evidex.operators.team import REQUEST, aggregate_score, check_requests, select_team
 from evidex.operators.understand import (
+    understand,
     best_match,
     detect_vocabulary,
     enrich_intents,
@@ -181,16 +182,16 @@ def test_similarity_against_brute_force(spark):
 
 def test_relationship(spark):
     links = spark.createDataFrame(
-        [("a", "acme"), ("b", "acme"), ("b", "navy"), ("a", "navy"), ("c", "solo")],
+        [("a", "norvik"), ("b", "norvik"), ("b", "navy"), ("a", "navy"), ("c", "solo")],
         "person_id string, company string",
     )
     people = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "person_id string, full_name string")
     evidence = spark.createDataFrame([("a", "c1", 1)], "person_id string, chunk_id string, position int")
     rows = N.infer_relationship(people.select("person_id"), links, people, evidence).collect()
     assert {(r.person_id, r.peer_id) for r in rows} == {("a", "b"), ("b", "a")}
-    assert all("not verified" in r.reason and "(acme, navy)" in r.reason for r in rows)
+    assert all("not verified" in r.reason and "(navy, norvik)" in r.reason for r in rows)
     shared = {(r.company, r.person_id, r.n_peers) for r in N.shared_companies(links).collect()}
-    assert shared == {("acme", "a", 1), ("acme", "b", 1), ("navy", "a", 1), ("navy", "b", 1)}
+    assert shared == {("norvik", "a", 1), ("norvik", "b", 1), ("navy", "a", 1), ("navy", "b", 1)}
 
 
 def proposals(spark, *rows):
@@ -376,3 +377,44 @@ def test_stream(spark, tmp_path, ada):
     reports = {r.run_id: r.report for r in second.ingest_runs.collect()}
     assert reports["batch-0"]["created"] == 1
     assert (reports["batch-1"]["created"], reports["batch-1"]["unchanged"]) == (1, 1)
+
+
+def test_roles_beyond_the_limits_are_reported(spark):
+    roles = spark.createDataFrame(
+        [("r", 0, "r|0", "dev", 11, 20, 0.1), ("r", 1, "r|1", "ops", 1, 20, 0.1)],
+        "request_id string, role_no int, query_id string, role string, count int, candidates_per_role int, diversity_weight double",
+    )
+    people = spark.createDataFrame(
+        [("r|0", "a", 0.9, ["x"]), ("r|1", "b", 0.8, ["y"])],
+        "query_id string, person_id string, score double, terms array<string>",
+    )
+    rows = {r.role: r for r in select_team(roles, people).collect()}
+    assert rows["ops"].person_id == "b"
+    assert rows["dev"].person_id is None and "limits" in rows["dev"].reason
+
+
+def test_failed_intents_become_plain_ones(spark):
+    texts = spark.createDataFrame([("q0", "python in berlin"), ("q1", "broken")], "query_id string, text string")
+
+    def provider(prompts):
+        return ['{"role": "dev"}' if "python" in p else "no json" for p in prompts]
+
+    rows = {r.query_id: r for r in understand(texts, None, provider).collect()}
+    assert rows["q0"].role == "dev" and rows["q1"].text == "broken" and rows["q1"].role is None
+
+
+def test_graph_and_corpus_share_a_root(spark, tmp_path):
+    from evidex import empty_corpus
+    from evidex.sources.sinks import read_corpus, read_graph, write_corpus, write_graph
+
+    root = str(tmp_path / "root")
+    nodes = spark.createDataFrame([("n", "person")], "node_id string, node_type string")
+    edges = spark.createDataFrame([("n", "m", "knows")], "src string, dst string, rel string")
+    write_graph(nodes, edges, spark, root)
+    assert read_corpus(spark, root).people.count() == 0
+    write_corpus(empty_corpus(spark), spark, root)
+    write_graph(nodes, edges, spark, root)
+    assert read_corpus(spark, root).people.count() == 0
+    assert read_graph(spark, root)[0].count() == 1
+    write_corpus(empty_corpus(spark), spark, root)
+    assert read_graph(spark, root)[1].first().rel == "knows"
