@@ -31,6 +31,7 @@ _SLOT_FIELDS = {
     "preference": ("preferred_skills", "preferred_technologies", "preferred_domains"),
 }
 _TOP_YEARS = 60
+_AGES = (13, 101)
 
 
 def memberships(corpus: Corpus) -> DataFrame:
@@ -308,7 +309,8 @@ def structured_pairs(
     reaches its candidates through one equi-join (terms, country, city, age or years) and
     the other predicates are verified on them. Which of these joins the batch needs is asked
     of the query table first, so a plan holds no idle branches. A query without any filter
-    takes the ``open_limit`` lowest ids. ``limit`` caps every pool at its lowest ids;
+    takes the ``open_limit`` lowest ids: this is the pool cap of E9, met only where neither
+    filters nor vectors nor the graph say anything about persons. ``limit`` caps every pool at its lowest ids;
     ``None`` keeps all.
     """
     side = _query_side(queries, unicode)
@@ -333,10 +335,10 @@ def structured_pairs(
     if "city" in used:
         found["city"] = _by_city(persons, of("city"))
     if "age" in used:
-        youngest = F.greatest(F.coalesce("q_min_age", F.lit(14)), F.lit(14))
-        oldest = F.least(F.coalesce("q_max_age", F.lit(100)), F.lit(100))
+        youngest = _age_key(F.coalesce("q_min_age", F.lit(_AGES[0])))
+        oldest = _age_key(F.coalesce("q_max_age", F.lit(_AGES[1])))
         ages = of("age").filter(youngest <= oldest)
-        found["age"] = persons.withColumn("age_key", F.col("age")).join(
+        found["age"] = persons.withColumn("age_key", _age_key(F.col("age"))).join(
             ages.withColumn("age_key", F.explode(F.sequence(youngest, oldest))), "age_key"
         )
     if "years" in used:
@@ -348,12 +350,9 @@ def structured_pairs(
         )
     parts = [df.filter(scalar_match()).select("query_id", "person_id") for df in found.values()]
     if "open" in used or not parts:
-        lowest = people.select("person_id").orderBy("person_id").limit(open_limit)
-        parts.append(
-            of("open").select("query_id", F.lit(0).alias("_one"))
-            .join(lowest.withColumn("_one", F.lit(0)), "_one")
-            .select("query_id", "person_id")
-        )
+        lowest = people.select("person_id").orderBy("person_id").limit(open_limit).collect()
+        ids = F.array(*[F.lit(r.person_id) for r in lowest]).cast("array<string>")
+        parts.append(of("open").select("query_id", F.explode(ids).alias("person_id")))
     pairs = reduce(DataFrame.unionByName, parts)
     if limit is None:
         return pairs
@@ -361,6 +360,11 @@ def structured_pairs(
     return pairs.withColumn("_n", F.row_number().over(order)).filter(f"_n <= {limit}").drop("_n")
 
 
+def _age_key(age: Column) -> Column:
+    """The age, with one key for all ages below and one for all above the usual range."""
+    return F.greatest(F.lit(_AGES[0]), F.least(age, F.lit(_AGES[1]))).cast("int")
+
+
 def _years_bucket(years: str) -> Column:
     return F.greatest(F.lit(0), F.least(F.floor(years), F.lit(_TOP_YEARS))).cast("int")
 
@@ -423,27 +427,24 @@ def first_evidence(
     )
 
 
-VOCABULARY_LIMITS = {
-    "city": 200, "country": 200, "company": 200, "skill": 300, "technology": 300, "domain": 200,
-}
+VOCABULARY_KINDS = ("city", "country", "company", "skill", "technology", "domain")
 
 
 def vocabulary(columns: Mapping[str, DataFrame], limits: Mapping[str, int] | None = None) -> DataFrame:
-    """Distinct values per kind, the first of each in order (E12): kind, value.
+    """Distinct values per kind (E12): kind, value; with ``limits`` the first of each kind in order.
 
     ``columns``: kind -> one-column frame.
     """
-    caps = limits or VOCABULARY_LIMITS
     parts = []
     for kind, df in columns.items():
         value = F.col(df.columns[0])
-        parts.append(
+        values = (
             df.filter(value.isNotNull())
             .select(F.lit(kind).alias("kind"), value.alias("value"))
             .distinct()
-            .orderBy("value")
-            .limit(caps[kind])
         )
+        limit = (limits or {}).get(kind)
+        parts.append(values if limit is None else values.orderBy("value").limit(limit))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -18,6 +18,7 @@ REQUEST = (
 )
 MAX_ROLES, MAX_COUNT, MAX_CANDIDATES, MAX_DIVERSITY = 20, 10, 100, 0.5
 NO_CANDIDATE = "No remaining candidate satisfies the retrieval constraints"
+BEYOND_LIMITS = "The role exceeds the limits of a request"
 
 SELECTION = (
     "request_id string, role_no int, role string, slot int, person_id string, score double, "
@@ -94,24 +95,32 @@ def select_team(roles: DataFrame, candidates: DataFrame) -> DataFrame:
     ``roles``: request_id, role_no, query_id, role, count, candidates_per_role,
     diversity_weight. ``candidates``: query_id, person_id, score, terms. The best remaining
     candidate by score minus the overlap penalty is taken; unfilled slots carry a reason.
-    A request is at most 20 roles of 100 candidates by its schema, which is enforced here,
-    and requests run in parallel.
+    A request is at most 20 roles of 100 candidates by its schema, so a request fits a task, and
+    requests run in parallel. A role beyond the schema is not filled: it gets one row without a
+    person that says so.
     """
+    within = F.coalesce(
+        (F.col("role_no") < MAX_ROLES)
+        & (F.col("count") <= MAX_COUNT)
+        & (F.col("candidates_per_role") <= MAX_CANDIDATES),
+        F.lit(False),
+    )
+    beyond = roles.filter(~within).select(
+        "request_id", F.col("role_no").cast("int").alias("role_no"), "role", F.lit(1).alias("slot"),
+        F.lit(None).cast("string").alias("person_id"), F.lit(None).cast("double").alias("score"),
+        F.lit(None).cast("double").alias("selection_score"), F.lit(BEYOND_LIMITS).alias("reason"),
+    )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "person_id")
     best = candidates.withColumn("_n", F.row_number().over(order)).filter(
         F.col("_n") <= MAX_CANDIDATES
     )
-    bounded = roles.filter(
-        (F.col("role_no") < MAX_ROLES)
-        & (F.col("count") <= MAX_COUNT)
-        & (F.col("candidates_per_role") <= MAX_CANDIDATES)
-    )
-    rows = bounded.join(best, "query_id", "left").filter(
+    rows = roles.filter(within).join(best, "query_id", "left").filter(
         F.col("_n").isNull() | (F.col("_n") <= F.col("candidates_per_role"))
     )
-    return rows.select(
+    filled = rows.select(
         "request_id", "role_no", "role", "count", "diversity_weight", "person_id", "score", "terms"
     ).groupBy("request_id").applyInPandas(_fill_request, SELECTION)
+    return filled.unionByName(beyond)
 
 
 def _fill_request(rows: pd.DataFrame) -> pd.DataFrame:

@@ -432,8 +432,16 @@ def understand(
     provider: Provider | None = None,
     unicode: bool = True,
 ) -> DataFrame:
-    """Texts to intents: provider or plain, then grounding, then enrichment."""
-    intents = plain_intents(queries) if provider is None else parse_intents(queries, provider)[0]
+    """Texts to intents: provider or plain, then grounding, then enrichment.
+
+    A text whose provider answer fails gets the plain intent, so no query is lost.
+    """
+    if provider is None:
+        intents = plain_intents(queries)
+    else:
+        parsed, failed = parse_intents(queries, provider)
+        plain = plain_intents(failed.select("query_id", "text"))
+        intents = parsed.unionByName(plain.select(*parsed.columns))
     if vocabulary is not None:
         intents = ground_intents(intents, vocabulary, unicode=unicode).drop("unmatched_terms")
     return enrich_intents(intents, unicode)

@@ -292,7 +292,7 @@ def first_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct values per kind up to the vocabulary limits."""
+    """Distinct values per kind."""
     persons = people(spark, sf)
     part = table(spark, sf, "part")
     return S.vocabulary(

@@ -144,9 +144,7 @@ v AS (SELECT DISTINCT 'city' AS kind, location AS value FROM people
   UNION ALL SELECT DISTINCT 'skill', p_brand FROM part
   UNION ALL SELECT DISTINCT 'technology', p_name FROM part
   UNION ALL SELECT DISTINCT 'domain', current_title FROM people)
-SELECT kind, value FROM v
-QUALIFY row_number() OVER (PARTITION BY kind ORDER BY value)
-        <= CASE WHEN kind IN ('skill', 'technology') THEN 300 ELSE 200 END""",
+SELECT kind, value FROM v WHERE value IS NOT NULL""",
     "candidate_detail": """WITH wanted AS (
   SELECT DISTINCT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1),
 profile AS (SELECT source, count(*) AS n, min(lang) AS l FROM documents GROUP BY 1),
