@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evidex.corpus import Corpus
 from evidex.functions.text import alias_table, city_terms, normalize_name, normalize_text
 from evidex.schemas import LIST_FIELDS
+from evidex.session import cut_lineage
 
 # Which entity kinds satisfy a requested term, by slot. Hard slots must be met in full.
 SLOTS = {
@@ -166,11 +167,14 @@ def query_needs(terms: DataFrame) -> DataFrame:
 
 
 def term_hits(terms: DataFrame, entity_rows: DataFrame, member_rows: DataFrame) -> DataFrame:
-    """Set division and match counts in one pass.
-
-    The requested terms are matched to entities first, so only memberships of requested
-    entities are shuffled. The set kept per (query, person) is bounded by the query's own
-    terms; a term held both as skill and technology counts once.
+    """Set division and match counts (E5-E8, H6, H7, H11), rarest hard term first.
+
+    Memberships of requested entities are written once. A query with hard terms starts from the
+    holders of its rarest one; each person then carries the queries that may still want them,
+    and only for those are the other terms, hard and soft, looked at: pairs that cannot meet all
+    hard terms never reach a shuffle. Queries without hard terms count soft terms for everybody.
+    The set kept per (query, person) is bounded by the query's own terms; a term held both as
+    skill and technology counts once. Pairs that miss a hard term may be absent.
     """
     kinds = F.create_map(
         *[
@@ -183,12 +187,40 @@ def term_hits(terms: DataFrame, entity_rows: DataFrame, member_rows: DataFrame)
     # The few kinds asked for prune the other bridges out of the plan.
     used = [row.kind for row in wanted.select("kind").distinct().collect()]
     asked_for = F.col("kind").isin(used)
-    targets = wanted.join(
-        entity_rows.filter(asked_for).select("kind", "entity_id", "term"), ["kind", "term"]
+    entity = ["kind", "entity_id"]
+    targets = cut_lineage(
+        wanted.join(entity_rows.filter(asked_for).select(*entity, "term"), ["kind", "term"])
+        .select(*entity, "query_id", "slot", "term_no", "weight")
+    )
+    members = cut_lineage(
+        member_rows.filter(asked_for)
+        .join(targets.select(*entity).distinct(), entity, "left_semi")
+        .select(*entity, "person_id")
+    )
+    hard = F.col("slot").isin(*HARD_SLOTS)
+    known = terms.filter(hard).select("query_id", "term_no")
+    held = (
+        targets.filter(hard)
+        .join(members.groupBy(*entity).count(), entity)
+        .groupBy("query_id", "term_no")
+        .agg(F.sum("count").alias("holders"))
+    )
+    # A term that nobody holds comes first: its query has no candidates.
+    rarest = (
+        known.join(held, ["query_id", "term_no"], "left")
+        .groupBy("query_id")
+        .agg(F.min_by("term_no", F.struct(F.coalesce("holders", F.lit(0)), "term_no")).alias("term_no"))
+    )
+    open_for = (
+        members.join(targets.filter(hard).join(rarest, ["query_id", "term_no"]), entity)
+        .groupBy("person_id")
+        .agg(F.collect_set("query_id").alias("open_for"))
     )
-    matched = member_rows.filter(asked_for).join(
-        targets.select("kind", "entity_id", "query_id", "slot", "term_no", "weight"),
-        ["kind", "entity_id"],
+    strict = rarest.select("query_id", F.lit(True).alias("strict"))
+    marked = targets.join(strict, "query_id", "left")
+    with_open = members.join(open_for, "person_id", "left")
+    matched = with_open.join(marked, entity).filter(
+        F.col("strict").isNull() | F.coalesce(F.array_contains("open_for", F.col("query_id")), F.lit(False))
     )
     hits = (
         matched.groupBy("query_id", "person_id")

@@ -110,7 +110,14 @@ def supplier_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def member_rows(spark: SparkSession, sf: str) -> DataFrame:
-    parts = part_links(spark, sf)
+    both = F.array(
+        F.struct(F.lit("skill").alias("kind"), F.col("p_brand").alias("entity_id")),
+        F.struct(F.lit("technology").alias("kind"), F.col("p_type").alias("entity_id")),
+    )
+    parts = (
+        part_links(spark, sf).select("person_id", F.explode(both).alias("e"))
+        .select("e.kind", "person_id", "e.entity_id").distinct()
+    )
     orders = table(spark, sf, "orders").select(
         F.col("o_custkey").cast("string").alias("person_id"), F.col("o_orderpriority").alias("entity_id")
     )
@@ -118,8 +125,6 @@ def member_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.col("c_custkey").cast("string").alias("person_id"), F.col("c_mktsegment").alias("entity_id")
     )
     rows = {
-        "skill": parts.select("person_id", F.col("p_brand").alias("entity_id")).distinct(),
-        "technology": parts.select("person_id", F.col("p_type").alias("entity_id")).distinct(),
         "company": supplier_links(spark, sf).withColumnRenamed("company_id", "entity_id"),
         "project": orders.distinct(),
         "domain": segments,
@@ -127,6 +132,7 @@ def member_rows(spark: SparkSession, sf: str) -> DataFrame:
     return reduce(
         DataFrame.unionByName,
         [df.select(F.lit(k).alias("kind"), "person_id", "entity_id") for k, df in rows.items()],
+        parts,
     )
 
 
