@@ -329,12 +329,14 @@ def relevant_paths(
     max_hops: int = 3,
     per_person: int = 2,
 ) -> DataFrame:
-    """Shortest paths of pool members that touch a requested node.
-
-    ``pool``: query_id, person_id. ``terms``: query_id, term. Relevance is applied before
-    any limit. Distances grow outward from the requested nodes only for pairs not yet
-    reached, and of each shortest path set the first ``per_person`` are kept; every prefix
-    kept has a continuation, so the caps are exact.
+    """Paths of pool members to a requested node, of every length up to ``max_hops``.
+
+    ``pool``: query_id, person_id. ``terms``: query_id, term. Relevance is applied before any
+    limit: of each number of hops the first ``per_person`` paths by names and edges are kept, so
+    the shortest always are, and longer ones stay as evidence. A path ends at the first requested
+    node it meets and uses no edge twice. Ways to the requested nodes grow outward by one hop a
+    round; a node keeps ``per_person`` + 3 of them, since at most the edges of a path's own start
+    can rule some out, so the caps lose none of the paths kept.
     """
     check_hops(max_hops)
     pair = ["query_id", "person_id"]
@@ -347,6 +349,12 @@ def relevant_paths(
     first_edges = named.join(own, "person_id").select(*pair, F.array("step").alias("path"))
     found = [_first(first_edges, pair, "path", per_person)]
     rest = cut_lineage(open_pairs.join(named, pair, "left_anti"))
+    still = rest.select("query_id").distinct()
+
+    def unused(path: str) -> Column:
+        ids = F.transform(path, lambda s: s["edge_id"])
+        return F.size(F.array_distinct(ids)) == F.size(ids)
+
     # Ways from a node to the nearest requested node, grown by one hop per round.
     ways = marked.select("query_id", "node", F.array().cast(_steps_type(steps)).alias("tail"))
     for hop in range(1, max_hops + 1):
@@ -355,23 +363,21 @@ def relevant_paths(
             rest.join(own, "person_id")
             .join(ways_to, ["query_id", "nbr"])
             .select(*pair, F.concat(F.array("step"), "tail").alias("path"))
+            .filter(unused("path"))
         )
         found.append(cut_lineage(_first(reached, pair, "path", per_person)))
         if hop == max_hops:
             break
-        rest = cut_lineage(rest.join(found[-1], pair, "left_anti"))
-        if rest.isEmpty():
-            break
-        still = rest.select("query_id").distinct()
         grown = (
             ways_to.join(still, "query_id", "left_semi")
             .join(steps, "nbr")
             .join(marked, ["query_id", "node"], "left_anti")
             .select("query_id", "node", F.concat(F.array("step"), "tail").alias("tail"))
+            .filter(unused("tail"))
         )
-        ways = cut_lineage(_first(grown, ["query_id", "node"], "tail", per_person))
+        ways = cut_lineage(_first(grown, ["query_id", "node"], "tail", per_person + 3))
     paths = reduce(DataFrame.unionByName, found)
-    return number_paths(paths, nodes, pair, per_person)
+    return number_paths(paths, nodes, pair, per_person * max_hops)
 
 
 def _steps_type(steps: DataFrame) -> str:

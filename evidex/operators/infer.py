@@ -80,6 +80,9 @@ def similar_sets(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     that term and a size class, are bounded by size and by the terms still to come, and are
     verified exactly. Result: set_a < set_b, similarity.
     """
+    # Terms stand as 64-bit hashes from here on: two terms of a pair of sets that fall together
+    # by chance would need sets of billions of terms.
+    sets = sets.select("set_no", "set_id", F.transform("terms", lambda t: F.xxhash64(t)).alias("terms"))
     spread = sets.select("set_no", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     rarity = spread.groupBy("term").agg(F.count("*").alias("df"))
     # A term of one set alone brings no pair together.
@@ -95,7 +98,7 @@ def similar_sets(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
         )
         .filter("entry.df > 1")
         .select(
-            "set_no", "n", "pos", F.xxhash64("entry.term").alias("term"),
+            "set_no", "n", "pos", F.col("entry.term").alias("term"),
             _size_class(F.col("n"), threshold).alias("cls"),
         )
     )

@@ -100,8 +100,8 @@ def ingest_structured(
     records, failed = parse_records(documents, mapping, write_once=True)
     outcomes = cut_lineage(classify(records, corpus.raw_documents))
     merged, _ = persist_records(corpus, records, outcomes, aliases, unicode)
-    report = ingestion_report(outcomes, failed)
     quarantine = failed if rejected is None else failed.unionByName(rejected)
+    report = ingestion_report(outcomes, quarantine)
     if provider is None:
         return IngestResult(merged, report, quarantine)
     chunked, embeddings = refresh_chunks(

@@ -40,6 +40,7 @@ class SearchConfig:
     open_limit: int = 100
     vector_limit: int = 100
     max_hops: int = 3
+    paths_per_hop: int = 2
     minimum_score: float = 0.15
     evidence_per_person: int = 5
     rerank_top: int = 20
@@ -95,7 +96,7 @@ def search(
         )
         on = pool.join(flags.filter("use_graph").select("query_id"), "query_id", "left_semi")
         paths = cut_lineage(
-            G.relevant_paths(on, wanted.distinct(), nodes, edges, config.max_hops)
+            G.relevant_paths(on, wanted.distinct(), nodes, edges, config.max_hops, config.paths_per_hop)
         )
     scored = R.score_pool(
         pool,

@@ -27,7 +27,8 @@ def ingest_stream(
     """Ingest the JSONL files that arrived since the last run, then stop.
 
     Each micro-batch reads the latest published corpus and publishes the next one. A batch
-    replayed after a failure finds its documents unchanged, so delivery is idempotent.
+    replayed after a failure finds its documents unchanged, so delivery is idempotent. Lines and
+    records that could not be taken stay readable under ``root``/_quarantine, by batch.
     """
     lines = (
         spark.readStream.format("text")
@@ -44,6 +45,7 @@ def ingest_stream(
         result = ingest_structured(
             before, documents, provider, rejected=rejected, unicode=unicode
         )
+        result.quarantine.write.mode("overwrite").parquet(f"{root}/_quarantine/batch={batch_id}")
         row = run_record(
             result.report, f"batch-{batch_id}", "succeeded", datetime.now(timezone.utc)
         )

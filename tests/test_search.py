@@ -272,6 +272,31 @@ def test_relevant_paths(spark, corpus, graph):
     assert cited.count() == corpus.document_chunks.count()
 
 
+def test_relevant_paths_of_every_length(spark, corpus, graph):
+    nodes, edges = graph
+    everyone = corpus.people.select(F.lit("q").alias("query_id"), "person_id")
+    terms = spark.createDataFrame([("q", "fintech"), ("q", "navy")], "query_id string, term string")
+    rows = G.relevant_paths(everyone, terms, nodes, edges, 3, per_person=1000).collect()
+    got = sorted((r.person_id, tuple(r.edge_ids)) for r in rows)
+    steps = {}
+    for r in G.adjacency(edges, nodes).collect():
+        steps.setdefault(r.node, []).append((r.nbr, r.step.edge_id))
+    asked = {r.node for r in G.matching_nodes(terms, nodes).collect()}
+
+    def walk(node, used):
+        for nbr, edge in steps.get(node, ()):
+            if edge not in used:
+                if nbr in asked:
+                    yield (*used, edge)
+                elif len(used) < 2:
+                    yield from walk(nbr, (*used, edge))
+
+    people = [r.person_id for r in everyone.collect()]
+    assert not asked & set(people)
+    assert got == sorted((p, path) for p in people for path in walk(p, ()))
+    assert {len(path) for _, path in got} == {1, 2, 3}
+
+
 def test_golden_score(spark):
     values = dict(semantic=0.8, skills=1.0, domains=1.0, experience=1.0, graph=0.5, location=1.0, preference=1.0)
     df = spark.createDataFrame([values])

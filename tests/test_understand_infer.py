@@ -369,13 +369,15 @@ def test_stream(spark, tmp_path, ada):
 
     first = run()
     assert first.people.count() == 1 and first.document_chunks.count() == 5
+    lost = spark.read.parquet(f"{root}/_quarantine").collect()
+    assert [(r.batch, r.error_type) for r in lost] == [(0, lost[0].error_type)]
     (landing / "b.jsonl").write_text(
         json.dumps(ada) + "\n" + json.dumps(dict(ada, id="x", full_name="New")) + "\n", encoding="utf-8"
     )
     second = run()
     assert second.people.count() == 2
     reports = {r.run_id: r.report for r in second.ingest_runs.collect()}
-    assert reports["batch-0"]["created"] == 1
+    assert (reports["batch-0"]["created"], reports["batch-0"]["failed"]) == (1, 1)
     assert (reports["batch-1"]["created"], reports["batch-1"]["unchanged"]) == (1, 1)
 
 
