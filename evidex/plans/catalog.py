@@ -942,7 +942,7 @@ def rerank_contract(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select(
         F.col("o_custkey").cast("string").alias("person_id"), F.col("o_orderkey").alias("place")
     )
-    proposed = ranked.select("query_id", "person_id").join(orders, "person_id").filter("place > 200")
+    proposed = ranked.select("query_id", "person_id").join(orders, "person_id")
     done = R.rerank(ranked, proposed, 20)
     return done.select("query_id", "person_id", "position", "rerank_position")
 
@@ -1041,7 +1041,7 @@ def detect_values(spark: SparkSession, sf: str) -> DataFrame:
     """Vocabulary values named in free text: substring, alias or similar phrase (Q2, Q3, Q7)."""
     words = table(spark, sf, "benchmark").select(
         F.explode(T.split_words(T.normalize_name(F.col("text"), unicode=False))).alias("value")
-    ).filter(F.length("value") > 12).distinct()
+    ).distinct()
     known = words.select(F.lit("skill").alias("kind"), "value")
     return detect_vocabulary(_utterances(spark, sf), known, unicode=False)
 

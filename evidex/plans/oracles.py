@@ -336,7 +336,7 @@ FROM s QUALIFY position <= 20""",
          row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, CAST(c_custkey AS VARCHAR)) AS position
   FROM customer QUALIFY position <= 50),
 proposed AS (SELECT CAST(o_custkey AS VARCHAR) AS person_id, min(o_orderkey) AS place
-             FROM orders WHERE o_orderkey > 200 GROUP BY 1)
+             FROM orders GROUP BY 1)
 SELECT query_id, person_id, position, row_number() OVER (PARTITION BY query_id ORDER BY position > 20,
          CASE WHEN position <= 20 THEN place END ASC NULLS LAST, position) AS rerank_position
 FROM ranked LEFT JOIN proposed USING (person_id)""",
