@@ -49,7 +49,7 @@ STEPS, TOLERANCE = 200, 1e-6
 CHAIN = 20
 RESULTS = ("tokens", "domain", "posterior", "rate", "copies")
 
-_FEATURES = ("_lang", *(f"_{name}" for name in EDGES))
+_FEATURES = ("_mix_lang", *(f"_mix_{name}" for name in EDGES))
 
 
 def _bin(value: Column, edges: tuple[float, ...]) -> Column:
@@ -64,23 +64,23 @@ def features(docs: DataFrame) -> DataFrame:
     group = reduce(lambda c, i: c.when(lang == LANGUAGES[i], i), range(len(LANGUAGES)), F).otherwise(len(LANGUAGES))
     rows = docs.withColumns(
         {
-            "_lang": group,
-            "_n": F.greatest(F.length(text), F.lit(1)),
-            "_upper": F.regexp_count(text, F.lit("[A-Z]")),
-            "_symbol": F.regexp_count(text, F.lit(r"[!#$%&*|<>{}]")),
+            "_mix_lang": group,
+            "_mix_n": F.greatest(F.length(text), F.lit(1)),
+            "_mix_upper": F.regexp_count(text, F.lit("[A-Z]")),
+            "_mix_symbol": F.regexp_count(text, F.lit(r"[!#$%&*|<>{}]")),
             "tokens": F.size(words).cast("long"),
-            "_distinct": F.size(F.array_distinct(words)),
+            "_mix_distinct": F.size(F.array_distinct(words)),
         }
     )
-    n, w = F.col("_n"), F.greatest(F.col("tokens"), F.lit(1))
+    n, w = F.col("_mix_n"), F.greatest(F.col("tokens"), F.lit(1))
     value = {
-        "upper": F.col("_upper") / n,
-        "symbol": F.col("_symbol") / n,
-        "distinct": F.col("_distinct") / w,
+        "upper": F.col("_mix_upper") / n,
+        "symbol": F.col("_mix_symbol") / n,
+        "distinct": F.col("_mix_distinct") / w,
         "word_length": n / w,
         "log_length": F.log(n),
     }
-    return rows.withColumns({f"_{name}": _bin(value[name], EDGES[name]) for name in EDGES}).drop("_n")
+    return rows.withColumns({f"_mix_{name}": _bin(value[name], EDGES[name]) for name in EDGES}).drop("_mix_n")
 
 
 def _domains(targets: dict[str, float]) -> list[str]:
@@ -97,7 +97,7 @@ def posteriors(rows: DataFrame, labels: DataFrame, domains: list[str]) -> DataFr
         .groupBy(F.col("doc_id").cast("long").alias("_id"))
         .agg(F.min("quality").alias("_quality"))
     )
-    name = reduce(lambda c, i: c.when(F.col("_lang") == i, LANGUAGES[i]), range(len(LANGUAGES)), F).otherwise("other")
+    name = reduce(lambda c, i: c.when(F.col("_mix_lang") == i, LANGUAGES[i]), range(len(LANGUAGES)), F).otherwise("other")
     domain = F.concat(name, F.when(F.col("_quality") > 0, "/high").otherwise("/low"))
     light = rows.select(F.col("doc_id").cast("long").alias("_id"), *_FEATURES)
     labelled = light.join(quality, "_id").select(*_FEATURES, domain.alias("_domain")).filter(F.col("_domain").isin(domains))
@@ -191,7 +191,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     domains = _domains(targets)
     columns = [c for c in docs.columns if c not in RESULTS]
     rows = features(docs.select(*columns))
-    cells = fit_rates(posteriors(rows, labels, domains), [targets[d] for d in domains])
+    # The texts are read twice, once for the bins of all rows and once for the result.
+    light = cut_lineage(rows.select("doc_id", *_FEATURES, "tokens"))
+    cells = fit_rates(posteriors(light, labels, domains), [targets[d] for d in domains])
     best = F.array_position("posterior", F.array_max("posterior")).cast("int")
     named = cells.select(
         *_FEATURES,
@@ -210,5 +212,5 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """``docs``, each row as often as its ``copies`` say."""
     mixed = mix(docs, labels, targets)
-    once = mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+    once = mixed.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
     return once.select(*docs.columns)

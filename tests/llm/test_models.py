@@ -111,7 +111,7 @@ def test_rates_match_the_fit_by_document(mixed, tables):
 
 
 def test_posteriors_match_a_plain_classifier(mixed, tables):
-    rows = mixing.features(mixed).select("doc_id", "_lang", *[f"_{n}" for n in mixing.EDGES]).collect()
+    rows = mixing.features(mixed).select("doc_id", "_mix_lang", *[f"_mix_{n}" for n in mixing.EDGES]).collect()
     quality_of = {}
     for r in tables["labels"].collect():
         quality_of[r.doc_id] = min(r.quality, quality_of.get(r.doc_id, 1))
