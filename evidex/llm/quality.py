@@ -24,6 +24,7 @@ import io
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,23 +67,45 @@ def _joined(texts: list[bytes], order: int) -> np.ndarray:
     return np.concatenate([grams(t, order) for t in texts]) if texts else np.zeros(0, dtype=np.int64)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrow stream of one batch, compressed; sorted numbers go as differences."""
-    batch = pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], [str(i) for i in range(len(arrays))])
-    out = io.BytesIO()
-    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_batch(batch)
-    return out.getvalue()
+#: What a group lists per shard (differences of sorted grams, their trusted counts), and the answer.
+LISTED, ANSWERED = ("<i8", "<i8"), ("<f4",)
 
 
-def _unpack(data: bytes) -> list[np.ndarray]:
-    return [c.to_numpy() for c in pa.ipc.open_stream(data).read_all().columns]
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, byte by byte of their numbers (high bytes are alike), compressed."""
+    raw = [a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in map(np.ascontiguousarray, arrays)]
+    return zstandard.compress(b"".join(raw), 3)
+
+
+def _unpack(data: bytes, types: tuple[str, ...]) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(data), dtype=np.uint8)
+    widths = [np.dtype(t).itemsize for t in types]
+    n, at, out = len(raw) // sum(widths), 0, []
+    for kind, width in zip(types, widths, strict=True):
+        part = raw[at : at + n * width].reshape(width, n).T
+        out.append(np.ascontiguousarray(part).view(kind).ravel())
+        at += n * width
+    return out
 
 
 def _gaps(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=0)
 
 
+def _distinct(texts: list[bytes], order: int) -> np.ndarray:
+    """The grams of some texts, sorted."""
+    found = [pd.unique(_joined([texts[i] for i in chunk], order)) for chunk in _chunks(texts)]
+    return np.unique(np.concatenate(found))
+
+
+def _by_shard(keys: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
+    """(shard, places) of sorted ``keys``; places of a shard ascend."""
+    shard = _shard(keys, shards)
+    order = np.argsort(shard, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(keys) else []
+    return [(int(shard[part[0]]), part) for part in parts]
+
+
 def _shard(keys: np.ndarray | Column, shards: int) -> np.ndarray | Column:
     """Shard of grams, the same for numpy and for Spark."""
     return keys % 1_000_003 % shards
@@ -100,7 +123,7 @@ def _deal(rows: DataFrame, n: int) -> DataFrame:
             blobs = []
             for start, end in zip(starts, np.r_[starts[1:], len(b)], strict=False):
                 out = io.BytesIO()
-                options = pa.ipc.IpcWriteOptions(compression="zstd")
+                options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))
                 with pa.ipc.new_stream(out, sorted_rows.schema, options=options) as writer:
                     writer.write_batch(pa.RecordBatch.from_arrays(
                         [pa.concat_arrays([c.slice(start, end - start)]) for c in sorted_rows.columns],
@@ -215,26 +238,15 @@ def score(docs: DataFrame, labels: DataFrame, order: int = ORDER, group_bytes: i
         train = set(known["doc_id"][~known["calibrates"].astype(bool)])
         out = []
         for lang, rows in _by_language(langs).items():
-            counts: dict[bool, list] = {True: [], False: []}
-            for kind in counts:
-                own = [texts[i] for i in rows if (ids[i] in train) == kind]
-                for chunk in _chunks(own):
-                    g = _joined([own[i] for i in chunk], order)
-                    counts[kind].append(np.unique(g, return_counts=True) if kind else (pd.unique(g), np.zeros(0)))
-            seen = pd.Series(dtype=np.int64)
-            if counts[True]:
-                keys, c = (np.concatenate([x[i] for x in counts[True]]) for i in (0, 1))
-                seen = pd.Series(c, index=keys).groupby(level=0).sum()
-            rest = np.unique(np.concatenate([x[0] for x in counts[False]] or [np.zeros(0, np.int64)]))
-            rest = np.setdiff1d(rest, seen.index.to_numpy(dtype=np.int64), assume_unique=True)
-            keys = np.r_[seen.index.to_numpy(dtype=np.int64), rest]
-            c = np.r_[seen.to_numpy(dtype=np.int64), np.zeros(len(rest), dtype=np.int64)]
-            shard = _shard(keys, shards)
-            order_ = np.lexsort((keys, shard))
-            keys, c, shard = keys[order_], c[order_], shard[order_]
-            for part in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(shard)) + 1) if len(keys) else []:
-                data = _pack(_gaps(keys[part]), c[part].astype(np.int32 if c.max() < 1 << 31 else np.int64))
-                out.append((int(group["b"].iloc[0]), int(shard[part[0]]), lang, data))
+            own = [texts[i] for i in rows]
+            keys = _distinct(own, order)
+            c = np.zeros(len(keys), dtype=np.int64)
+            trusted_texts = [texts[i] for i in rows if ids[i] in train]
+            for chunk in _chunks(trusted_texts):
+                g, n_g = np.unique(_joined([trusted_texts[i] for i in chunk], order), return_counts=True)
+                c[np.searchsorted(keys, g)] += n_g
+            for shard, part in _by_shard(keys, shards):
+                out.append((int(group["b"].iloc[0]), shard, lang, _pack(_gaps(keys[part]), c[part])))
         return pd.DataFrame(out, columns=["b", "shard", "lang", "grams"])
 
     lists = (
@@ -249,9 +261,9 @@ def score(docs: DataFrame, labels: DataFrame, order: int = ORDER, group_bytes: i
         for lang, own in group.groupby("lang"):
             keys, counts = [], []
             for data in own["grams"]:
-                gaps, c = _unpack(data)
+                gaps, c = _unpack(data, LISTED)
                 keys.append(np.cumsum(gaps))
-                counts.append(c.astype(np.int64))
+                counts.append(c)
             total = pd.Series(np.concatenate(counts), index=np.concatenate(keys)).groupby(level=0).sum()
             frames.append(pd.DataFrame({"lang": lang, "gram": total.index.to_numpy(), "c": total.to_numpy()}))
         return pd.concat(frames)
@@ -262,34 +274,35 @@ def score(docs: DataFrame, labels: DataFrame, order: int = ORDER, group_bytes: i
     def answer(group: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         known = {lang: own.sort_values("gram") for lang, own in group.groupby("lang")}
         out = []
-        for b, lang, data in zip(asked["b"], asked["lang"], asked["grams"], strict=True):
-            keys, own = np.cumsum(_unpack(data)[0]), known[lang]
+        for b, shard, lang, data in zip(asked["b"], asked["shard"], asked["lang"], asked["grams"], strict=True):
+            keys, own = np.cumsum(_unpack(data, LISTED)[0]), known[lang]
             at = np.searchsorted(own["gram"].to_numpy(), keys)
-            out.append((b, lang, _pack(_gaps(keys), own["logp"].to_numpy()[at].astype(np.float32))))
-        return pd.DataFrame(out, columns=["b", "lang", "grams"])
+            if not np.array_equal(own["gram"].to_numpy()[np.minimum(at, len(own) - 1)], keys):
+                raise ValueError("a gram of the corpus has no probability")
+            out.append((b, shard, lang, _pack(own["logp"].to_numpy()[at].astype(np.float32))))
+        return pd.DataFrame(out, columns=["b", "shard", "lang", "logp"])
 
     answers = (
         model.withColumn("shard", _shard(F.col("gram"), shards).cast("int"))
         .groupBy("shard")
         .cogroup(lists.groupBy("shard"))
-        .applyInPandas(answer, "b int, lang string, grams binary")
+        .applyInPandas(answer, "b int, shard int, lang string, logp binary")
     )
 
     def total(group: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
         ids, langs, texts = _documents(group)
         sums = np.zeros(len(texts))
         for lang, rows in _by_language(langs).items():
-            parts = [_unpack(x) for x in answered["grams"][answered["lang"] == lang]]
-            if not parts:
-                continue
-            keys = np.concatenate([np.cumsum(gaps) for gaps, _ in parts])
-            index = pd.Index(keys)
-            logp = np.concatenate([p for _, p in parts]).astype(np.float64)
             own = [texts[i] for i in rows]
+            keys = _distinct(own, order)
+            mine = answered[answered["lang"] == lang]
+            found = dict(zip(mine["shard"], mine["logp"], strict=True))
+            logp = np.zeros(len(keys))
+            for shard, part in _by_shard(keys, shards):  # the grams that the group listed, in that order
+                logp[part] = _unpack(found[shard], ANSWERED)[0]
+            index = pd.Index(keys)
             for chunk in _chunks(own):
                 at = index.get_indexer(_joined([own[i] for i in chunk], order))
-                if (at < 0).any():
-                    raise ValueError("a gram of the corpus has no probability")
                 ends = np.cumsum([0] + [len(own[i]) for i in chunk])
                 sums[[rows[i] for i in chunk]] = np.diff(np.r_[0, np.cumsum(logp[at])][ends])
         n_bytes = np.array([len(t) for t in texts], dtype=np.int64)
