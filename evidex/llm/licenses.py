@@ -1,7 +1,7 @@
 """License scan by conditional compression.
 
-A candidate block is a line with a cue word and the lines around it, on either side up to a blank
-line or until there are more words than any template with its error budget has. Each template is a raw zstandard dictionary: the
+A candidate block is a run of cue words and the words around them: on either side as many as the longest
+template with its error budget has, whatever lines and paragraphs they stand in. Each template is a raw zstandard dictionary: the
 bytes that a block saves when compressed with it rank the templates. Every template that saves
 more than chance could, best first, is confirmed by its wording: its words are aligned with the
 closest run of the block's words, and it wins if at most ``DIFFERENT`` of its words differ; the
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -89,6 +90,7 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
 ]
 
+_CUE = re.compile("|".join(CUES))
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -104,22 +106,14 @@ def blocks(text: str, most: int) -> Iterator[tuple[int, int]]:
         lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         if not any(cue in lower for cue in CUES):
             return
-    lines = []
-    at = 0
-    for line in lower.split("\n"):
-        lines.append((at, at + len(line)))
-        at += len(line) + 1
-    for i, (begin, stop) in enumerate(lines):
-        if any(cue in lower[begin:stop] for cue in CUES):
-            first, last = begin, stop
-            for side in (lines[:i][::-1], lines[i:]):  # a notice may begin lines before its cue
-                held = 0
-                for a, b in side:
-                    if not lower[a:b].strip() or held > most:
-                        break
-                    held += sum(1 for _ in _WORD.finditer(lower, a, b))
-                    first, last = min(first, a), max(last, b)
-            yield first, last
+    spans = [m.span() for m in _WORD.finditer(text)]
+    starts = [begin for begin, _ in spans]
+    at = sorted({bisect_right(starts, m.start()) - 1 for m in _CUE.finditer(lower)} - {-1})
+    i = 0
+    while i < len(at):
+        j = bisect_right(at, at[i] + most) - 1  # cues close together share a block
+        yield spans[max(0, at[i] - most)][0], spans[min(len(spans), at[j] + most + 1) - 1][1]
+        i = j + 1
 
 
 class Scanner:
