@@ -5,7 +5,8 @@ template with its error budget has, whatever lines and paragraphs they stand in.
 bytes that a block saves when compressed with it rank the templates. Every template that saves
 more than chance could, best first, is confirmed by its wording: its words are aligned with the
 closest run of the block's words, and it wins if at most ``DIFFERENT`` of its words differ; the
-differing words are reported.
+differing words are reported. The words before and after a hit are searched again until no run is
+close enough, so every notice of a license is reported.
 
 Defined cases: null or empty text has no blocks; blocks that overlap report a notice once; equal
 templates under two names are both reported; a null template is ignored; repeated rows are
@@ -155,24 +156,38 @@ class Scanner:
         added = [w for kind, _, _, a, b in pairs if kind != "equal" for w in there[begin + a : begin + b]]
         return begin, stop, missing, added
 
+    def every(self, own: list[str], there: list[str], budget: int) -> Iterator[tuple[int, int, list[str], list[str]]]:
+        """All runs within the budget that do not overlap: the closest, then those on both sides of it."""
+        rest = [(0, len(there))]
+        while rest:
+            lo, hi = rest.pop()
+            found = self.confirm(own, there[lo:hi], budget) if hi - lo >= len(own) - budget else None
+            if found and found[0] < found[1]:
+                a, b = lo + found[0], lo + found[1]
+                yield a, b, *found[2:]
+                rest += [(lo, a), (b, hi)]
+
     def scan(self, text: str) -> list[dict]:
-        out: dict[tuple, dict] = {}
+        found = []
         for begin, stop in blocks(text, self.most):
             block = text[begin:stop]
             data, there = block.encode(), words(block)
+            plain = [w for w, _, _ in there]
             for saved, conditional, number in self.ranked(data):
                 name, own, _, _, budget = self.templates[number]
-                found = self.confirm(own, [w for w, _, _ in there], budget)
-                if found:
-                    a, b, missing, added = found
-                    span = (begin + there[a][1], begin + there[b - 1][2])
+                for a, b, missing, added in self.every(own, plain, budget):
                     row = {
-                        "license": name, "begin": span[0], "stop": span[1], "plain": saved + conditional,
-                        "conditional": conditional, "saved": saved,
+                        "license": name, "begin": begin + there[a][1], "stop": begin + there[b - 1][2],
+                        "plain": saved + conditional, "conditional": conditional, "saved": saved,
                         "n_different": max(len(missing), len(added)), "missing": missing, "added": added,
                     }
-                    out.setdefault((span[0], number), row)
-        return [out[k] for k in sorted(out)]
+                    found.append((row["n_different"], row["begin"], number, row))
+        # Blocks overlap, and one may cut a notice short: of overlapping finds of a template the closest stays.
+        out: list[tuple[int, int, dict]] = []
+        for _, begin, number, row in sorted(found, key=lambda x: x[:3]):
+            if all(n != number or row["stop"] <= r["begin"] or r["stop"] <= begin for _, n, r in out):
+                out.append((begin, number, row))
+        return [row for _, _, row in sorted(out, key=lambda x: x[:2])]
 
 
 def find(docs: DataFrame, templates: list[tuple[str, str]] | None = None, different: float = DIFFERENT) -> DataFrame:
