@@ -852,9 +852,8 @@ def graph_paths(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query
-def graph_relevant(spark: SparkSession, sf: str) -> DataFrame:
-    """Distance of every person to a node naming a requested term."""
+def _relevant(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths of every person to a node naming a requested term, the first of each length."""
     persons, nodes, edges = _home_graph(spark, sf)
     terms = table(spark, sf, "region").select(
         F.col("r_name").alias("query_id"),
@@ -866,9 +865,23 @@ def graph_relevant(spark: SparkSession, sf: str) -> DataFrame:
         table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     ).select(F.col("n_name").alias("country"), F.col("r_name").alias("query_id"))
     pool = persons.join(region, "country").select("query_id", "person_id")
-    paths = G.relevant_paths(pool, terms, nodes, edges, 3, 1)
-    return paths.select("query_id", "person_id", F.col("hops").cast("long").alias("hops"),
-                        F.round("score", 6).alias("score"))
+    return G.relevant_paths(pool, terms, nodes, edges, 3, 1)
+
+
+@query
+def graph_relevant(spark: SparkSession, sf: str) -> DataFrame:
+    """Distance of every person to a node naming a requested term."""
+    return _relevant(spark, sf).groupBy("query_id", "person_id").agg(
+        F.min("hops").cast("long").alias("hops"), F.round(F.max("score"), 6).alias("score")
+    )
+
+
+@query
+def graph_relevant_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """Every length at which a person reaches a node naming a requested term."""
+    return _relevant(spark, sf).select(
+        "query_id", "person_id", F.col("hops").cast("long").alias("hops"), F.round("score", 6).alias("score")
+    )
 
 
 # --- H: hybrid retrieval ------------------------------------------------------------------

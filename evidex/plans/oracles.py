@@ -303,6 +303,16 @@ SELECT query_id, person_id, CAST(CASE WHEN country = target THEN 1 ELSE 3 END AS
        round(CASE WHEN country = target THEN 1.0 ELSE 1.0 / 3 END, 6) AS score
 FROM pool WHERE country = target
    OR EXISTS (SELECT 1 FROM near n WHERE n.target = pool.target AND n.current_title = pool.current_title)""",
+    "graph_relevant_lengths": f"""WITH {_PEOPLE},
+pool AS (SELECT r_name AS query_id, 'NATION_1' || r_regionkey AS target, person_id, country, current_title
+         FROM people JOIN nation ON country = n_name JOIN region ON n_regionkey = r_regionkey),
+found AS (
+  SELECT query_id, person_id, 1 AS hops FROM pool WHERE country = target
+  UNION ALL
+  SELECT query_id, person_id, 3 FROM pool
+  WHERE EXISTS (SELECT 1 FROM people o WHERE o.country = pool.target
+                AND o.current_title = pool.current_title AND o.person_id <> pool.person_id))
+SELECT query_id, person_id, CAST(hops AS BIGINT) AS hops, round(1.0 / hops, 6) AS score FROM found""",
     "hybrid_pool": """WITH own AS (
   SELECT 'q' || c_nationkey AS query_id, CAST(c_custkey AS VARCHAR) AS person_id, c_acctbal, c_mktsegment,
          n_regionkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey
