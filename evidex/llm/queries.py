@@ -140,4 +140,46 @@ ORACLES: dict[str, str] = {
             c.a = c.component_id AS kept
         FROM c LEFT JOIN n ON n.a = c.a
     """,
+    "op13_variants": r"""
+        WITH RECURSIVE bits AS (
+            SELECT i, i AS c, 0 AS k FROM range(256) t(i)
+            UNION ALL
+            SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+        ), crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+        runs AS (
+            SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+            FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS r FROM documents)
+            WHERE length(r) >= 6 GROUP BY ALL
+        ), bytes AS (SELECT *, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS x FROM runs),
+        hashed AS (
+            SELECT run, k, xor(list_reduce(
+                list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(len(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT))),
+                lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1])), 4294967295) AS h
+            FROM bytes, crc
+        ), spelled AS (
+            SELECT k, CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) + 2 AS BIGINT))
+                ELSE run END AS word FROM hashed
+        ), words AS (
+            SELECT word, CAST(sum(k) AS BIGINT) AS n FROM spelled WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5
+        ), places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+        holed AS (
+            SELECT word, n, i, left(word, i - 1) || '_' || substr(word, i + 1) AS pattern,
+                left(word, i - 1) || substr(word, i + 1) AS shorter FROM places
+        ), near AS (
+            SELECT a.word, a.n, b.word AS other, b.n AS m FROM holed a JOIN holed b ON a.pattern = b.pattern AND a.i = b.i AND a.word <> b.word
+            UNION SELECT h.word, h.n, w.word, w.n FROM holed h JOIN words w ON h.shorter = w.word
+            UNION SELECT w.word, w.n, h.word, h.n FROM holed h JOIN words w ON h.shorter = w.word
+        ), best AS (
+            SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, (-m, other)) AS other FROM near GROUP BY word
+        ), formed AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * w.n THEN other END AS form,
+                CASE WHEN m >= 5 * w.n THEN m END AS form_n
+            FROM words w LEFT JOIN best USING (word)
+        ), chain AS (
+            SELECT word, word AS root FROM formed
+            UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON c.root = f.word WHERE f.form IS NOT NULL
+        )
+        SELECT f.word, f.n, f.n_near, f.form, f.form_n, c.root FROM formed f
+        JOIN chain c USING (word) JOIN formed e ON e.word = c.root AND e.form IS NULL
+    """,
 }
