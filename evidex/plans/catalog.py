@@ -8,6 +8,7 @@ chunk vectors.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -45,8 +46,11 @@ from evidex.operators.understand import (
     plain_intents,
 )
 from evidex.operators.vector import cosine_topk, cosine_topk_within, lsh_topk
-from evidex.session import cut_lineage
+from evidex.session import cut_lineage, work_folder
+from evidex.sources.buckets import BucketTable
 from evidex.sources.files import jsonl_documents, text_documents
+from evidex.streaming.stateful import delivery_outcomes as told_outcomes
+from evidex.streaming.stateful import ingest_delivery
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -515,6 +519,54 @@ def ingest_report(spark: SparkSession, sf: str) -> DataFrame:
     return ingestion_report(classify(batch, stored), failed)
 
 
+@query
+def delivery_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcomes of three deliveries, told from streaming state.
+
+    Labelled documents arrive first, then all documents with the toxic ones edited, then the
+    labelled ones as they first were from another source: held texts are duplicates, and those
+    given up are free.
+    """
+    docs = _documents(spark, sf).select(F.col("doc_id").cast("string").alias("id"), "text")
+    labels = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id"), "toxic")
+    labelled = docs.join(labels, "id").drop("toxic")
+    edited = F.when(F.col("toxic") == 1, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
+    later = docs.join(labels, "id", "left").select("id", edited.alias("text"))
+    root = f"{work_folder(spark)}/deliveries-{uuid.uuid4().hex}"
+    for number, (source, rows) in enumerate((("crawl", labelled), ("crawl", later), ("mirror", labelled))):
+        rows.write.option("header", True).option("escape", '"').csv(f"{root}/landing/{number}")
+        ingest_delivery(spark, f"{root}/landing", f"{root}/corpus", f"{root}/marks", source)
+    sources = F.explode(F.array(F.lit("crawl"), F.lit("mirror")))
+    names = docs.select("id", sources.alias("source")).withColumn(
+        "document_id", T.row_id("document", F.col("source"), F.col("id"))
+    )
+    return told_outcomes(spark, f"{root}/corpus").join(names, "document_id").select(
+        "delivery", "source", F.col("id").cast("long").alias("doc_id"), "outcome"
+    )
+
+
+@query
+def corpus_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """A bucketed table after a merge of changed and deleted keys, and a vacuum."""
+    ddl = "c_custkey long, c_name string, c_acctbal double, c_mktsegment string"
+    names = ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]
+    customers = table(spark, sf, "customer").select(*names)
+    orders = table(spark, sf, "orders")
+    urgent = orders.filter("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count("*").alias("n")
+    )
+    stored = BucketTable(spark, f"{work_folder(spark)}/merge-{uuid.uuid4().hex}", ddl, ["c_custkey"], 16)
+    stored.merge(customers)
+    changed = customers.join(urgent, "c_custkey").select(
+        "c_custkey", F.concat("c_name", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("c_name"),
+        "c_acctbal", "c_mktsegment",
+    )
+    idle = customers.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    stored.merge(changed, idle)
+    stored.vacuum()
+    return stored.read()
+
+
 @query
 def resolve_persons(spark: SparkSession, sf: str) -> DataFrame:
     """Person of each document by source, unique identity or creation."""

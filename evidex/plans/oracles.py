@@ -198,6 +198,18 @@ SELECT count(*) + any_value(n) AS total, count(*) FILTER (outcome = 'created') A
   count(*) FILTER (outcome = 'duplicate') AS duplicates,
   count(*) FILTER (outcome IN ('unchanged', 'duplicate')) AS skipped, any_value(n) AS failed
 FROM outcomes, bad""",
+    "delivery_outcomes": """WITH labelled AS (SELECT doc_id, toxic FROM documents JOIN labels USING (doc_id))
+SELECT CAST(0 AS BIGINT) AS delivery, 'crawl' AS source, doc_id, 'created' AS outcome FROM labelled
+UNION ALL
+SELECT 1, 'crawl', d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'created' WHEN toxic = 1 THEN 'updated' ELSE 'unchanged' END
+FROM documents d LEFT JOIN labels l USING (doc_id)
+UNION ALL
+SELECT 2, 'mirror', doc_id, CASE WHEN toxic = 1 THEN 'created' ELSE 'duplicate' END FROM labelled""",
+    "corpus_merge": """WITH n AS (
+  SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent FROM orders GROUP BY 1)
+SELECT c_custkey, CASE WHEN urgent > 0 THEN c_name || ' (' || urgent || ')' ELSE c_name END AS c_name,
+       c_acctbal, c_mktsegment
+FROM customer JOIN n ON c_custkey = o_custkey""",
     "resolve_persons": """WITH sup AS (
   SELECT s_suppkey AS key, abs(floor(s_acctbal / 100)) || '|' || s_nationkey AS ident FROM supplier),
 cus AS (SELECT c_custkey AS key, abs(floor(c_acctbal / 100)) || '|' || c_nationkey AS ident FROM customer),
