@@ -23,6 +23,7 @@ from evidex.operators import graph as G
 from evidex.operators import infer as N
 from evidex.operators import rank as R
 from evidex.operators import structured as S
+from evidex.operators.ann import build_index, recall_of
 from evidex.operators.claims import accept_answers, check_claims, unique_evidence
 from evidex.operators.embed import HashEmbedder, embed_chunks
 from evidex.operators.export import profile_sections
@@ -804,6 +805,35 @@ def cosine_lsh(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("query_id", "position", "vector_id", F.round("score", 6).alias("score"))
 
 
+@query
+def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall of the stored index against exact search, asked by every fiftieth vector.
+
+    Every vector is indexed and searched; the queries are all ids that 50 divides.
+    """
+    vectors = _vectors(spark, sf)
+    index = build_index(vectors, f"{work_folder(spark)}/index-{uuid.uuid4().hex}")
+    asked = cut_lineage(
+        table(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(
+            F.col("vec_id").cast("string").alias("query_id"), "embedding"
+        )
+    )
+    exact = cut_lineage(cosine_topk(asked, vectors, 10))
+    recall = recall_of(index.search(asked, 10), exact)
+    return asked.agg(F.count("*").alias("n_queries")).select(
+        "n_queries", F.lit(index.postings().count()).cast("long").alias("n_indexed"),
+        F.lit(recall >= 0.9).alias("recall_reached"),
+    )
+
+
+@query
+def ann_top(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored index with all of its cells probed gives the exact top-20."""
+    index = build_index(_vectors(spark, sf), f"{work_folder(spark)}/index-{uuid.uuid4().hex}")
+    best = index.search(_centroids(spark, sf), 20, probes=len(index.centroids))
+    return best.select("query_id", "position", "vector_id", F.round("score", 6).alias("score"))
+
+
 # --- G: graph ------------------------------------------------------------------------------
 
 

