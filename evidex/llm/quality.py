@@ -154,12 +154,17 @@ def _by_language(langs: list[str]) -> dict[str, list[int]]:
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts from the counts of counts; fixed ones where those are too few."""
+    """Modified Kneser-Ney discounts from the counts of counts.
+
+    Where those are too few, or give no discount between 0 and the count, the fixed one stands in:
+    a discount of 0 would leave nothing for grams that a context has not seen.
+    """
+    fixed = (0.5, 1.0, 1.5)
     if not (n1 and n2 and n3 and n4):
-        return 0.5, 1.0, 1.5
+        return fixed
     y = n1 / (n1 + 2 * n2)
     found = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
-    return tuple(min(max(d, 0.0), float(i)) for i, d in enumerate(found, 1))
+    return tuple(d if 0 < d < i else f for i, (d, f) in enumerate(zip(found, fixed, strict=True), 1))
 
 
 def log_probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -307,6 +312,8 @@ def score(docs: DataFrame, labels: DataFrame, order: int = ORDER, group_bytes: i
                 sums[[rows[i] for i in chunk]] = np.diff(np.r_[0, np.cumsum(logp[at])][ends])
         n_bytes = np.array([len(t) for t in texts], dtype=np.int64)
         ppl = np.exp(-sums / np.maximum(n_bytes, 1))
+        if not np.isfinite(ppl).all():
+            raise ValueError("a document has no perplexity")
         frame = pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "lang": langs, "n_bytes": n_bytes, "perplexity": ppl})
         return frame
 

@@ -284,6 +284,23 @@ def test_probabilities_sum_to_one(spark):
     assert set(total) == contexts and all(abs(s - 1) < 1e-9 for s in total.values())
 
 
+def test_discounts_leave_something_for_unseen_grams():
+    assert quality.discounts(21, 8, 12, 4) == pytest.approx((0.5676, 1.0, 2.2432), abs=1e-4)  # the second would be 0
+    assert quality.discounts(0, 1, 1, 1) == (0.5, 1.0, 1.5)
+    for n in ((326, 61, 56, 32), (9, 90, 9, 9), (5, 1, 50, 1), (7, 7, 7, 700)):
+        assert all(0 < d < i for i, d in enumerate(quality.discounts(*n), 1))
+
+
+def test_every_document_of_every_language_has_a_perplexity(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = quality.judge(docs, labels).join(labels, "doc_id", "left").collect()
+    assert all(r.perplexity is not None and r.threshold is not None and math.isfinite(r.perplexity) for r in got)
+    french = [r for r in got if r.lang == "fr" and r.quality is not None]
+    assert np.mean([r.kept for r in french if r.quality == 1]) > 0.9
+    assert np.mean([not r.kept for r in french if r.quality == 0]) > 0.6
+
+
 def test_judgement_keeps_trusted_and_rejects_junk(mixed, tables):
     labels = tables["labels"]
     got = quality.judge(mixed, labels)
