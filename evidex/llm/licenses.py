@@ -4,9 +4,12 @@ A candidate block is a run of cue words and the words around them: on either sid
 template with its error budget has, whatever lines and paragraphs they stand in. Each template is a raw zstandard dictionary: the
 bytes that a block saves when compressed with it rank the templates. Every template that saves
 more than chance could, best first, is confirmed by its wording: its words are aligned with the
-closest run of the block's words, and it wins if at most ``DIFFERENT`` of its words differ; the
-differing words are reported. The words before and after a hit are searched again until no run is
-close enough, so every notice of a license is reported.
+closest run of the block's words, and it wins if at most ``DIFFERENT`` of its words differ and none
+of the words that tell licenses apart; the differing words are reported. Words that tell a template
+apart come from comparing the templates: of two that one text could both match, those that only one
+of them has. The words before and after a hit are searched again until no run is close enough, so
+every notice of a license is reported. Of finds that overlap, the one with the fewest differing words
+stays, then the longest; templates that fit one run equally well are all reported.
 
 Defined cases: null or empty text has no blocks; blocks that overlap report a notice once; equal
 templates under two names are both reported; a null template is ignored; repeated rows are
@@ -17,7 +20,7 @@ from __future__ import annotations
 
 import difflib
 import re
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,6 +41,19 @@ FOUND = (
     "n_different:int,missing:array<string>,added:array<string>>>"
 )
 
+# What the BSD licenses share.
+_BSD_BOTH = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+    "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
+    "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+    "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+    "materials provided with the distribution."
+)
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+    "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+    "PARTICULAR PURPOSE ARE DISCLAIMED."
+)
 # The notices that the licenses themselves ask for, and common one-line forms.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -60,6 +76,10 @@ TEMPLATES = [
         "OF ANY KIND, either express or implied.",
     ),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     (
         "GPL-3.0-or-later",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
@@ -72,11 +92,48 @@ TEMPLATES = [
         "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
         "option) any later version.",
     ),
+    (
+        "LGPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version.",
+    ),
+    (
+        "LGPL-2.1-or-later",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+        "(at your option) any later version.",
+    ),
+    (
+        "AGPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version.",
+    ),
+    (
+        "BSD-2-Clause",
+        f"{_BSD_BOTH} {_BSD_END}",
+    ),
     (
         "BSD-3-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-        "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
-        "list of conditions and the following disclaimer.",
+        f"{_BSD_BOTH} Neither the name of the copyright holder nor the names of its contributors may be used to "
+        f"endorse or promote products derived from this software without specific prior written permission. {_BSD_END}",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    (
+        "EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+        "2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+        "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+        "for any purpose, commercial or non-commercial, and by any means.",
     ),
     (
         "MPL-2.0",
@@ -88,6 +145,19 @@ TEMPLATES = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    (
+        "CC-BY-NC-SA-4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    (
+        "CC-BY-NC-ND-4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    ),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
 ]
 
@@ -117,6 +187,25 @@ def blocks(text: str, most: int) -> Iterator[tuple[int, int]]:
         i = j + 1
 
 
+def telling_words(templates: list[tuple[str, list[str], int]]) -> list[tuple[set[str], set[str]]]:
+    """Per template (name, words, budget): the words it needs, and those that other licenses have instead.
+
+    Only templates near enough for one text to be within the budgets of both are compared.
+    """
+    out: list[tuple[set[str], set[str]]] = [(set(), set()) for _ in templates]
+    for i, (name, own, budget) in enumerate(templates):
+        for other_name, other, other_budget in templates:
+            if name == other_name or abs(len(own) - len(other)) > budget + other_budget:
+                continue
+            pairs = difflib.SequenceMatcher(None, own, other, autojunk=False).get_opcodes()
+            missing = [w for kind, a, b, _, _ in pairs if kind != "equal" for w in own[a:b]]
+            added = [w for kind, _, _, a, b in pairs if kind != "equal" for w in other[a:b]]
+            if max(len(missing), len(added)) <= budget + other_budget:
+                out[i][0].update(set(missing) - set(other))
+                out[i][1].update(set(added) - set(own))
+    return out
+
+
 class Scanner:
     def __init__(self, templates: list[tuple[str, str]], different: float = DIFFERENT) -> None:
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
@@ -129,6 +218,7 @@ class Scanner:
                 press = zstandard.ZstdCompressor(level=LEVEL, dict_data=by, write_content_size=False)
                 least = SAVED * (len(self.plain.compress(data)) - len(press.compress(data)))
                 self.templates.append((name, own, press, least, int(different * len(own))))
+        self.telling = telling_words([(name, own, budget) for name, own, _, _, budget in self.templates])
         self.most = max((len(own) + budget for _, own, _, _, budget in self.templates), default=0)
 
     def ranked(self, block: bytes) -> list[tuple[int, int, int]]:
@@ -175,19 +265,39 @@ class Scanner:
             plain = [w for w, _, _ in there]
             for saved, conditional, number in self.ranked(data):
                 name, own, _, _, budget = self.templates[number]
+                needed, foreign = self.telling[number]
                 for a, b, missing, added in self.every(own, plain, budget):
+                    if needed.intersection(missing) or foreign.intersection(added):
+                        continue  # another license, or another version of this one
                     row = {
                         "license": name, "begin": begin + there[a][1], "stop": begin + there[b - 1][2],
                         "plain": saved + conditional, "conditional": conditional, "saved": saved,
                         "n_different": max(len(missing), len(added)), "missing": missing, "added": added,
                     }
-                    found.append((row["n_different"], row["begin"], number, row))
-        # Blocks overlap, and one may cut a notice short: of overlapping finds of a template the closest stays.
-        out: list[tuple[int, int, dict]] = []
-        for _, begin, number, row in sorted(found, key=lambda x: x[:3]):
-            if all(n != number or row["stop"] <= r["begin"] or r["stop"] <= begin for _, n, r in out):
-                out.append((begin, number, row))
-        return [row for _, _, row in sorted(out, key=lambda x: x[:2])]
+                    found.append((row["n_different"], a - b, row["begin"], number, row))
+        return self.closest(found)
+
+    @staticmethod
+    def closest(found: list[tuple[int, int, int, int, dict]]) -> list[dict]:
+        """Of overlapping finds (differing words, minus length, begin, template, row) the first in order.
+
+        Finds of other licenses on the same words with as few differences stay beside it. Kept
+        finds do not overlap otherwise, so the nearest on either side decides.
+        """
+        spans: list[tuple[int, int]] = []
+        rows: dict[tuple[int, int], list[dict]] = {}
+        for n_different, _, begin, _, row in sorted(found, key=lambda x: x[:4]):
+            span = (begin, row["stop"])
+            if span in rows:
+                kept = rows[span]
+                if kept[0]["n_different"] == n_different and all(r["license"] != row["license"] for r in kept):
+                    kept.append(row)
+                continue
+            at = bisect_right(spans, span)
+            if (at == 0 or spans[at - 1][1] <= begin) and (at == len(spans) or row["stop"] <= spans[at][0]):
+                insort(spans, span)
+                rows[span] = [row]
+        return [row for span in spans for row in rows[span]]
 
 
 def find(docs: DataFrame, templates: list[tuple[str, str]] | None = None, different: float = DIFFERENT) -> DataFrame:
