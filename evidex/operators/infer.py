@@ -12,6 +12,8 @@ from evidex.operators.rank import supporting_chunks
 from evidex.session import cut_lineage
 
 KEY = ("person_id", "inference_type", "claim", "peer_id")
+#: Longs of a term set's bitmap.
+BITMAP = 16
 
 
 def infer_expertise(
@@ -60,10 +62,15 @@ def term_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Group persons by equal term sets: members (person_id, set_id) and sets (set_id, terms,
     n_members, set_no).
 
-    ``rows``: person_id, term. Copies of one set are compared once, whatever their number.
-    Both results are read several times later on, so the sets are built and written once.
+    ``rows``: person_id, term; or person_id, terms, which moves whole lists. Copies of one set are
+    compared once, whatever their number. Both results are read several times later on, so the
+    sets are built and written once.
     """
-    own = rows.groupBy("person_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    if "terms" in rows.columns:
+        terms = F.sort_array(F.array_distinct(F.flatten(F.collect_list("terms"))))
+    else:
+        terms = F.sort_array(F.collect_set("term"))
+    own = rows.groupBy("person_id").agg(terms.alias("terms")).filter(F.size("terms") > 0)
     keyed = cut_lineage(own.withColumn("set_id", F.sha2(F.array_join("terms", "\x1f"), 256)))
     sets = cut_lineage(
         keyed.groupBy("set_id")
@@ -77,7 +84,9 @@ def similar_sets(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Pairs of different sets with Jaccard similarity at the threshold.
 
     Two such sets share a term among the rarest ``n - ceil(t n) + 1`` of each. Pairs meet on
-    that term and a size class, are bounded by size and by the terms still to come, and are
+    that term and a size class, and are bounded by size and by the terms still to come. Each set
+    has a bitmap of its terms' hashes: a bit of one set that the other has not is a term that the
+    other has not, which bounds what both share without moving the sets. Pairs that are left are
     verified exactly. Result: set_a < set_b, similarity.
     """
     # Terms stand as 64-bit hashes from here on: two terms of a pair of sets that fall together
@@ -85,6 +94,7 @@ def similar_sets(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     sets = sets.select("set_no", "set_id", F.transform("terms", lambda t: F.xxhash64(t)).alias("terms"))
     spread = sets.select("set_no", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     rarity = spread.groupBy("term").agg(F.count("*").alias("df"))
+    bitmaps = cut_lineage(_bitmaps(spread))
     # A term of one set alone brings no pair together.
     ordered = (
         spread.join(rarity, "term")
@@ -129,6 +139,8 @@ def similar_sets(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
         .select("small", "large")
         .distinct()
     )
+    met = cut_lineage(_may_share(met, bitmaps, needed))
+
     def side(number: str, name: str, terms: str) -> DataFrame:
         return sets.select(
             F.col("set_no").alias(number), F.col("set_id").alias(name), F.col("terms").alias(terms)
@@ -146,6 +158,29 @@ def similar_sets(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     ).filter(F.col("similarity") >= threshold)
 
 
+def _bitmaps(spread: DataFrame) -> DataFrame:
+    """set_no, n and the ``BITMAP`` longs of each set's bitmap; ``spread``: set_no, n, term hash."""
+    word = F.pmod(F.shiftright("term", 6), F.lit(BITMAP))
+    bit = F.expr("shiftleft(1L, cast(term & 63 as int))")
+    maps = [F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0).cast("long")).alias(f"b{i}") for i in range(BITMAP)]
+    return spread.groupBy("set_no", "n").agg(*maps)
+
+
+def _may_share(pairs: DataFrame, bitmaps: DataFrame, needed: Column) -> DataFrame:
+    """The ``pairs`` (small, large) whose bitmaps leave at least ``needed`` terms in common."""
+
+    def side(name: str) -> DataFrame:
+        maps = [F.col(f"b{i}").alias(f"{name}_{i}") for i in range(BITMAP)]
+        return bitmaps.select(F.col("set_no").alias(name), F.col("n").alias(f"n_{name}"), *maps)
+
+    def only(name: str, other: str) -> Column:
+        own = [F.bit_count(F.col(f"{name}_{i}").bitwiseAND(F.bitwise_not(F.col(f"{other}_{i}")))) for i in range(BITMAP)]
+        return F.col(f"n_{name}") - reduce(Column.__add__, own)
+
+    most = F.least(only("small", "large"), only("large", "small"))
+    return pairs.join(side("small"), "small").join(side("large"), "large").filter(most >= needed).select("small", "large")
+
+
 def _size_class(n: Column, threshold: float) -> Column:
     """Sets whose sizes differ by at most 1/threshold lie in the same or the next class."""
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")

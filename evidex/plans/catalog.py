@@ -47,7 +47,7 @@ from evidex.operators.understand import (
     plain_intents,
 )
 from evidex.operators.vector import cosine_topk, cosine_topk_within, lsh_topk
-from evidex.session import cut_lineage, work_folder
+from evidex.session import cut_lineage, spread, work_folder
 from evidex.sources.buckets import BucketTable
 from evidex.sources.files import jsonl_documents, text_documents
 from evidex.streaming.stateful import delivery_outcomes as told_outcomes
@@ -280,7 +280,8 @@ def profile_lists(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    return spread(docs, "doc_id")
 
 
 def _document_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -1204,7 +1205,7 @@ def expertise(spark: SparkSession, sf: str) -> DataFrame:
 def _word_sets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     words = _documents(spark, sf).select(
         F.col("doc_id").cast("string").alias("person_id"),
-        F.explode(F.array_distinct(T.split_words(F.lower("text")))).alias("term"),
+        F.array_distinct(T.split_words(F.lower("text"))).alias("terms"),
     )
     return N.term_sets(words)
 

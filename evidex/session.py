@@ -28,6 +28,16 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> Spar
     return spark
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a table of fewer files than cores, dealt to all cores by ``keys``.
+
+    A file of one row group is one task, however many cores wait for it. Tables of more files are
+    left as they lie.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, *keys)
+
+
 _local_folder: list[str] = []
 
 

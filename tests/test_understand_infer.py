@@ -158,6 +158,25 @@ def test_expertise(spark):
     assert rows[0].confidence == pytest.approx(0.71)
 
 
+def test_bitmaps_of_large_sets_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    base = [set(rng.sample(words, rng.choice([5, 40, 150, 390]))) for _ in range(12)]
+    sets = {f"p{i:02d}": set(rng.choice(base)) ^ set(rng.sample(words, rng.choice([0, 3, 60]))) for i in range(70)}
+    lists = [(p, sorted(s)[k::2]) for p, s in sets.items() for k in range(2)]
+    members, groups = N.term_sets(spark.createDataFrame(lists, "person_id string, terms array<string>"))
+    of = {r.set_id: sets[r.person_id] for r in members.collect()}
+    for longs in (1, 16):
+        monkeypatch.setattr(N, "BITMAP", longs)
+        for least in (0.5, 0.8):
+            got = {(r.set_a, r.set_b): round(r.similarity, 9) for r in N.similar_sets(groups, least).collect()}
+            want = {
+                (a, b): round(len(of[a] & of[b]) / len(of[a] | of[b]), 9)
+                for a in of for b in of if a < b and len(of[a] & of[b]) >= least * len(of[a] | of[b])
+            }
+            assert got == want and want
+
+
 def test_similarity_against_brute_force(spark):
     rng = random.Random(2)
     base = [set(rng.sample("abcdefghijklmnop", rng.randint(1, 9))) for _ in range(25)]
