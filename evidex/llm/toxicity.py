@@ -2,12 +2,13 @@
 
 A word's input is its hashed word vector beside the maximum over the hashed vectors of its
 character pieces of three to five bytes, so unseen forms of a word are recognised by their letters.
-All overlapping windows of a text are scored; the text's score is that of its most toxic window.
-The network is trained in numpy on a bounded sample: at most ``SAMPLE`` labelled rows of each class,
-of each the first ``SAMPLE_WORDS`` words; scoring reads whole texts.
+Windows of ``WINDOW`` words overlap by half, so that a passage of half a window lies whole in one of
+them; all are scored, and the text's score is that of its most toxic window. The network is trained
+in numpy on a bounded sample: the whole texts of at most ``SAMPLE`` labelled rows of each class.
 
 Defined cases: null and empty texts are one window without words and get a score too; a row's
-label is 1 if any label row of its id says so, null labels count as none; rows without a doc_id
+label is 1 if any label row of its id says so, null labels count as none; of several texts of one id
+the first in order is learned; rows without a doc_id
 are scored, never learned from and not held out; without labelled rows of both classes every score
 is the share of toxic ones; repeated rows are answered one by one; extra columns are ignored.
 """
@@ -25,12 +26,13 @@ from pyspark.sql import functions as F
 
 FOLDS = 5
 SAMPLE = 2000
-SAMPLE_WORDS = 1000
-WINDOW, STRIDE = 24, 16
+WINDOW, STRIDE = 24, 12
 HIDDEN, WIDTH, ATTENTION = 12, 8, 8
 WORD_ROWS, PIECE_ROWS = 1 << 13, 1 << 15
 STEPS, BATCH, RATE = 300, 48, 0.01
 SEED = 5
+#: Distinct words whose pieces are found together in training.
+WORDS_AT_ONCE = 1 << 14
 #: Characters of text that a task looks at together, and windows that it scores together.
 CHUNK, TOGETHER = 2 << 20, 4096
 
@@ -221,6 +223,14 @@ def _log_odds(has: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.log(share[1] / share[0]) - np.log((sizes[0] + 2) / (sizes[1] + 2))
 
 
+def _rows_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``inputs`` of many words, in small numbers; ``begin`` has the end as well."""
+    parts = [inputs(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
+    parts = [(w.astype(np.uint16), p.astype(np.uint16), np.diff(np.r_[b, len(p)])) for w, p, b in parts]
+    whole, pieces, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return whole, pieces, np.r_[0, np.cumsum(counts)]
+
+
 def train(texts: list[str], labels: np.ndarray, prior: float, steps: int = STEPS, seed: int = SEED) -> Network:
     """Fit a network to whole-text labels: of each text the window it finds most toxic is learned.
 
@@ -232,23 +242,24 @@ def train(texts: list[str], labels: np.ndarray, prior: float, steps: int = STEPS
     numbers: dict[str, int] = {" ": 0}
     own_codes = []
     for text in texts:
-        words = _WORD.findall(text.lower())[:SAMPLE_WORDS]
-        own_codes.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words)))
+        words = _WORD.findall(text.lower())
+        own_codes.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)))
     distinct = list(numbers)
     del numbers
-    whole, pieces, begin = inputs(distinct)
-    ends = np.r_[begin[1:], len(pieces)]
+    whole, pieces, begin = _rows_of(distinct)
     has_word, has_piece = np.zeros((2, WORD_ROWS)), np.zeros((2, PIECE_ROWS))
     for own, label in zip(own_codes, labels, strict=True):
         used = np.unique(own)
         has_word[label, whole[used]] += 1
         if len(used):
-            has_piece[label, np.concatenate([pieces[begin[i] : ends[i]] for i in used])] += 1
+            has_piece[label, np.concatenate([pieces[begin[i] : begin[i + 1]] for i in used])] += 1
+    del whole, pieces, begin
     by_class = np.bincount(labels, minlength=2)
     net.p["word"][:, 0] = _log_odds(has_word, by_class)
     net.p["piece"][:, 0] = _log_odds(has_piece, by_class)
     sizes = np.array([len(c) for c in own_codes], dtype=np.int64)
-    codes = np.concatenate([*own_codes, np.zeros(1, dtype=np.int64)])
+    codes = np.concatenate([*own_codes, np.zeros(1, dtype=np.int32)])
+    del own_codes
     first = np.cumsum(sizes) - sizes
     classes = [np.flatnonzero(labels == y) for y in (0, 1)]
     adam = _Adam(RATE)
@@ -260,7 +271,8 @@ def train(texts: list[str], labels: np.ndarray, prior: float, steps: int = STEPS
         rows, local = np.unique(codes[place], return_inverse=True)
         local = local.reshape(place.shape)
         x, (own, parts, cut, vectors) = net.embed([distinct[i] for i in rows])
-        logit, _ = net.forward(x, local, here)
+        steps_of = range(0, len(local), TOGETHER)
+        logit = np.concatenate([net.forward(x, local[i : i + TOGETHER], here[i : i + TOGETHER])[0] for i in steps_of])
         best = np.full(len(batch), -np.inf)
         np.maximum.at(best, text, logit)
         chosen = np.flatnonzero(logit == best[text])
@@ -288,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | f
     """A network from rows that are not held out, or the share of toxic rows if one class is missing.
 
     The sample of each class are the rows with the smallest hashes of their ids; it goes to the
-    driver, ``sample`` texts of at most ``SAMPLE_WORDS`` words a class.
+    driver, ``sample`` whole texts a class.
     """
     known = (
         labels.filter("doc_id is not null and toxic is not null")
@@ -303,11 +315,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | f
         return count.get(1, 0) / (sum(count.values()) + 1)
     parts = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
-    head = F.regexp_extract(F.col("text").cast("string"), r"^(?:\W*\w+){0,%d}" % SAMPLE_WORDS, 0)
     rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), head.alias("text"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .join(F.broadcast(chosen), "doc_id")
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
         .collect()
     )
     rows.sort(key=lambda r: r.doc_id)
