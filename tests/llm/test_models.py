@@ -211,7 +211,15 @@ def test_network_gradient_and_windows():
     for i, n in enumerate(sizes):
         own = place[text == i][here[text == i]] - first[i]
         assert set(own.tolist()) == set(range(n))
-        assert (text == i).sum() == max(1, math.ceil((n - 8) / 16))
+        starts = [0]
+        while starts[-1] + toxicity.WINDOW < n:  # one more window until the last word is in one
+            starts.append(starts[-1] + toxicity.STRIDE)
+        assert (text == i).sum() == len(starts)
+        assert [p[0] - first[i] for p, h in zip(place[text == i], here[text == i], strict=True) if h[0]] == (starts if n else [])
+    # A passage of half a window lies whole in a window, wherever it begins.
+    whole = [set(range(s, s + toxicity.WINDOW)) for s in starts]
+    half = toxicity.WINDOW // 2
+    assert all(any(set(range(a, a + half)) <= w for w in whole) for a in range(1000 - half + 1))
 
 
 def plain_perplexities(rows, trusted_rows, order):
