@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evidex.corpus import empty_corpus
 from evidex.functions import text as T
@@ -38,7 +39,15 @@ from evidex.operators.resolve import (
     merge_people,
     resolve_people,
 )
-from evidex.operators.team import aggregate_score, select_team
+from evidex.operators.team import (
+    REQUEST,
+    aggregate_score,
+    check_requests,
+    evidence_terms,
+    role_queries,
+    select_team,
+    team_roles,
+)
 from evidex.operators.understand import (
     best_match,
     detect_vocabulary,
@@ -994,6 +1003,29 @@ def hybrid_pool(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def plan_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard filters and retrieval steps of one query per customer (H1)."""
+
+    def listed(segment: str) -> Column:
+        return F.when(F.col("c_mktsegment") == segment, F.array("c_mktsegment"))
+
+    asked = table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("query_id"), F.col("c_name").alias("text"),
+        F.when(F.col("c_nationkey") < 3, F.lit("")).when(F.col("c_nationkey") < 6, F.col("c_mktsegment")).alias("country"),
+        F.when(F.col("c_acctbal") > 8000, F.col("c_acctbal") / 1000).alias("min_years_experience"),
+        F.when(F.col("c_acctbal") < -800, F.lit(30)).alias("max_age"),
+        listed("FURNITURE").alias("cities"), listed("AUTOMOBILE").alias("required_skills"),
+        listed("BUILDING").alias("required_domains"), listed("MACHINERY").alias("companies"),
+        listed("HOUSEHOLD").alias("preferred_skills"),
+        F.when(F.col("c_nationkey") > 12, F.col("c_name")).otherwise("").alias("semantic_query"),
+    )
+    return S.complete_queries(plain_intents(asked)).select(
+        "query_id", "has_hard_filters", "use_vector", "use_graph",
+        F.array_join(S.operations(F.col("use_vector"), F.col("use_graph")), ",").alias("strategy"),
+    )
+
+
 def _ranked(spark: SparkSession, sf: str, limit: int) -> DataFrame:
     queries = _skilled(spark, sf)
     prepared, hits, pairs = _structured(spark, sf, queries)
@@ -1022,6 +1054,90 @@ def composite_rank(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def rank_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Features over a pool that meets requirements only in part, and the floor of open queries.
+
+    Each nation's query ranks the customers of its region. Nations of odd key ask for brands, a type,
+    a segment, a country, cities and years; the others only prefer brands and name a role.
+    """
+    key = F.col("n_nationkey")
+    odd = key % 2 == 1
+    brands = F.array(
+        F.concat(F.lit("Brand#"), _k(25, 1)), F.concat(F.lit("Brand#"), ((key + 7) % 25 + 1).cast("string"))
+    )
+    queries = nation_queries(
+        spark, sf,
+        role=F.concat(F.lit("Senior "), _segment(key)),
+        country=F.when(odd, F.col("n_name")),
+        cities=F.when(odd, F.array(F.lit("nowhere"), _segment(key))),
+        min_years_experience=F.when(odd, F.lit(2.5)),
+        required_skills=F.when(odd, brands),
+        required_technologies=F.when(odd, F.array(_type(key))),
+        required_domains=F.when(odd, F.array(_segment(key))),
+        preferred_skills=F.array(F.element_at(brands, 1), F.lit("Brand#99")),
+    )
+    prepared, terms = _prepared(queries)
+    entities, members = entity_rows(spark, sf), member_rows(spark, sf)
+    # Required terms as preferred ones: every holder counts, not only those who meet all of them.
+    required = terms.filter("slot = 'competency'").withColumn("slot", F.lit("preference"))
+    pair = ["query_id", "person_id"]
+    skills = S.term_hits(required, entities, members).select(*pair, F.col("preference_hits").alias("skill_hits"))
+    soft = S.term_hits(terms.filter("slot in ('domain_share', 'preference')"), entities, members)
+    hits = soft.select(*pair, "domain_hits", "preference_hits").join(skills, pair, "full")
+
+    nation = table(spark, sf, "nation")
+    customer = table(spark, sf, "customer").select(
+        F.col("c_nationkey").alias("n_nationkey"), F.col("c_custkey").cast("string").alias("person_id")
+    )
+    near = customer.join(nation, "n_nationkey").select("n_regionkey", "person_id")
+    asked = nation.select("n_regionkey", F.concat(F.lit("q"), key).alias("query_id"))
+    pool = near.join(asked, "n_regionkey").select(*pair)
+    spent = table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("person_id")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent")
+    )
+    bound = pool.join(spent, "person_id")
+    semantic = bound.select(*pair, F.least(F.lit(1.0), F.col("n") / 20).alias("value"))
+    graph = bound.select(*pair, (F.col("urgent") / F.col("n")).alias("value"))
+    scored = R.score_pool(pool, prepared, people(spark, sf), hits, semantic, graph)
+    return R.rank(scored, 200, minimum_score=0.2).select(
+        *pair, "position", *[F.round(name, 6).alias(name) for name in R.FEATURES],
+        F.round("score", 6).alias("score"),
+    )
+
+
+@query
+def evidence_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    """Structured, vector and graph evidence in order, first path of a chunk kept (H4).
+
+    Long documents are vector hits; toxic and low-quality ones lie on graph paths, some on both.
+    """
+    chunks = _document_chunks(spark, sf)
+    pair = ["query_id", "person_id"]
+    shown = chunks.select(F.col("lang").alias("query_id"), "person_id").distinct()
+    first = S.first_evidence(chunks).join(shown, "person_id")
+    longest = Window.partitionBy(*pair).orderBy(F.desc("score"), "ordinal")
+    vector = chunks.select(
+        F.col("lang").alias("query_id"), "person_id", "chunk_id", "ordinal", "content",
+        F.lit("vector").alias("source"), (F.length("content") / 20000).alias("score"),
+    ).withColumn("position", F.row_number().over(longest)).filter("position <= 10")
+    marked = table(spark, sf, "labels").select(
+        F.col("doc_id").cast("string").alias("chunk_id"),
+        F.explode(F.filter(
+            F.array(F.when(F.col("quality") == 0, F.lit(2)), F.when(F.col("toxic") == 1, F.lit(1))),
+            lambda p: p.isNotNull(),
+        )).alias("position"),
+    )
+    graph = chunks.join(marked, "chunk_id").select(
+        F.col("lang").alias("query_id"), "person_id", "chunk_id", "ordinal", "content", "position",
+        F.lit("graph").alias("source"), (F.lit(1.0) / F.col("position")).alias("score"),
+    )
+    return R.fuse_evidence(first, vector, graph).select(
+        *pair, "place.source_no", "place.position", "place.detail", "chunk_id", "source",
+        F.sha2("content", 256).alias("content_sum"), F.round("score", 6).alias("score"),
+    )
+
+
 def _segment_ranking(spark: SparkSession, sf: str) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("c_acctbal"), "person_id")
     rows = table(spark, sf, "customer").select(
@@ -1184,6 +1300,49 @@ def team_totals(spark: SparkSession, sf: str) -> DataFrame:
     return aggregate_score(_team(spark, sf)).withColumn("aggregate_score", F.round("aggregate_score", 6))
 
 
+def _team_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """One request per customer: a role for every order priority, as often as ordered."""
+    role = StructType.fromDDL(REQUEST)["roles"].dataType.elementType
+    counted = table(spark, sf, "orders").groupBy("o_custkey", "o_orderpriority").agg(
+        F.count("*").cast("int").alias("count"), F.sort_array(F.collect_set("o_orderstatus")).alias("states")
+    )
+    given = {
+        "role": F.col("o_orderpriority"), "count": F.col("count"), "required_skills": F.col("states"),
+        "seniority": F.when(F.col("count") > 2, "senior"),
+    }
+    made = F.struct(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in role.fields])
+    roles = counted.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sort_array(F.collect_list(made)).alias("roles"))
+    return table(spark, sf, "customer").join(roles, "c_custkey").select(
+        F.col("c_custkey").cast("string").alias("request_id"),
+        F.when(F.col("c_nationkey") > 4, F.col("c_mktsegment")).otherwise("").alias("context"),
+        F.when(F.col("c_nationkey") > 9, F.lit(30)).alias("candidates_per_role"),
+        F.when(F.col("c_nationkey") > 14, F.col("c_acctbal") / 10000).alias("diversity_weight"),
+        "roles",
+    )
+
+
+@query
+def team_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Roles of valid requests as search queries (M1)."""
+    valid, _ = check_requests(_team_requests(spark, sf))
+    roles = team_roles(valid)
+    asked = role_queries(roles).select("query_id", "text", "semantic_query", "seniority")
+    return asked.join(
+        roles.select("query_id", "candidates_per_role", F.round("diversity_weight", 6).alias("diversity_weight")),
+        "query_id",
+    )
+
+
+@query
+def team_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Content words of each candidate's evidence (M3)."""
+    evidence = _document_chunks(spark, sf).withColumnRenamed("lang", "query_id")
+    return evidence_terms(evidence).select(
+        "query_id", "person_id", F.size("terms").alias("n_terms"),
+        F.sha2(F.array_join(F.array_sort("terms"), " "), 256).alias("terms_sum"),
+    )
+
+
 # --- N, V: inference and claims -------------------------------------------------------------
 
 

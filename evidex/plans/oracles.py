@@ -102,6 +102,48 @@ _CHECKED = """checked AS (
 _GOOD = f"""{_PEOPLE},
 good AS (SELECT * FROM people WHERE age > 24 AND years >= 0)"""
 
+_TEAM = f"""RECURSIVE {_BOUGHT},
+customers AS (
+  SELECT CAST(c_nationkey AS VARCHAR) AS request_id, c_mktsegment AS role,
+         CAST(c_custkey AS VARCHAR) AS person_id, greatest(0, c_acctbal / 10000) AS score FROM customer),
+slots AS (
+  SELECT request_id, role, slot, row_number() OVER (PARTITION BY request_id ORDER BY role, slot) AS step
+  FROM (SELECT DISTINCT request_id, role FROM customers), (VALUES (1), (2)) AS t(slot)),
+held AS (
+  SELECT person_id, list(DISTINCT term) AS terms
+  FROM (SELECT person_id, p_brand AS term FROM parts UNION ALL SELECT person_id, p_type FROM parts) GROUP BY 1),
+best AS (
+  SELECT request_id, role, person_id, score, coalesce(terms, []) AS terms
+  FROM customers LEFT JOIN held USING (person_id)
+  QUALIFY row_number() OVER (PARTITION BY request_id, role ORDER BY score DESC, person_id) <= 20),
+team AS (
+  SELECT DISTINCT request_id, CAST(0 AS BIGINT) AS step, CAST(NULL AS VARCHAR) AS role, 0 AS slot,
+         CAST(NULL AS VARCHAR) AS person_id, CAST(NULL AS DOUBLE) AS selection_score,
+         CAST([] AS VARCHAR[]) AS taken, CAST([] AS VARCHAR[]) AS covered
+  FROM customers
+  UNION ALL
+  SELECT request_id, step, role, slot, person_id, value, list_append(taken, person_id),
+         list_distinct(list_concat(covered, coalesce(terms, [])))
+  FROM (SELECT t.request_id, s.step, s.role, s.slot, b.person_id, b.score, b.terms, t.taken, t.covered,
+               greatest(0, b.score - 0.15 * CASE WHEN len(b.terms) + len(t.covered) = 0 THEN 0
+                 ELSE CAST(len(list_intersect(b.terms, t.covered)) AS DOUBLE)
+                      / len(list_distinct(list_concat(b.terms, t.covered))) END) AS value
+        FROM team t JOIN slots s ON s.request_id = t.request_id AND s.step = t.step + 1
+        LEFT JOIN best b ON b.request_id = s.request_id AND b.role = s.role
+                        AND NOT list_contains(t.taken, b.person_id))
+  QUALIFY row_number() OVER (PARTITION BY request_id
+            ORDER BY value DESC NULLS LAST, score DESC NULLS LAST, person_id DESC NULLS LAST) = 1)"""
+
+
+def _greedy(tokens: str, limit: str) -> str:
+    """Tokens joined with blanks up to a limit; a token that is not open stands on its own."""
+    joined = "a.items[-1] || ' ' || x.items[1]"
+    return f"""list_reduce({tokens}, lambda a, x:
+  CASE WHEN a.open AND x.open AND length({joined}) <= {limit}
+       THEN {{'items': list_append(list_slice(a.items, 1, len(a.items) - 1), {joined}), 'open': true}}
+       ELSE {{'items': list_concat(a.items, x.items), 'open': x.open}} END).items"""
+
+
 ORACLES: dict[str, str] = {
     "structured_all_of": f"WITH {_PEOPLE}, {_BOUGHT}, {_SKILLED} SELECT query_id, person_id FROM pairs",
     "structured_companies": f"""WITH {_BOUGHT},
@@ -442,4 +484,121 @@ UNION ALL SELECT person_id, 'Experience', CAST(floor(years) AS BIGINT) || ' year
 UNION ALL SELECT person_id, 'Age', age || ' years' FROM people
 UNION ALL SELECT person_id, 'Skills', skills FROM b
 UNION ALL SELECT person_id, 'Domains', current_title FROM people""",
+    "chunk_pack": f"""WITH lines AS (
+  SELECT doc_id, 'DOCUMENT: ' || doc_id AS header, 598 - length('DOCUMENT: ' || doc_id) AS lim,
+         list_filter(list_transform(string_split(text, chr(10)), lambda b: trim(b, {_WS})), lambda b: b <> '') AS blocks
+  FROM documents WHERE text IS NOT NULL),
+blocks AS (
+  SELECT doc_id, lim, unnest(blocks) AS block, generate_subscripts(blocks, 1) AS n FROM lines),
+sentences AS (
+  SELECT doc_id, lim, n, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS k
+  FROM (SELECT *, string_split(regexp_replace(block, '([.!?])[\\t-\\r ]+', '\\1' || chr(1), 'g'), chr(1)) AS parts
+        FROM blocks WHERE length(block) > lim)),
+words AS (
+  SELECT *, flatten(list_transform(
+    list_filter(regexp_split_to_array(sentence, '[\\t-\\r ]+'), lambda w: w <> ''),
+    lambda w: list_transform(range((length(w) - 1) // lim + 1),
+      lambda i: {{'items': [substr(w, i * lim + 1, lim)], 'open': (i + 1) * lim >= length(w)}}))) AS tokens
+  FROM sentences WHERE length(sentence) > lim),
+tokens AS (
+  SELECT doc_id, lim, n, k, [{{'items': [sentence], 'open': true}}] AS tokens FROM sentences WHERE length(sentence) <= lim
+  UNION ALL
+  SELECT doc_id, lim, n, k, list_transform({_greedy('tokens', 'lim')}, lambda p: {{'items': [p], 'open': false}}) FROM words),
+pieces AS (
+  SELECT doc_id, n, [block] AS pieces FROM blocks WHERE length(block) <= lim
+  UNION ALL
+  SELECT doc_id, n, {_greedy('tokens', 'lim')} FROM (
+    SELECT doc_id, n, any_value(lim) AS lim, flatten(list(tokens ORDER BY k)) AS tokens FROM tokens GROUP BY doc_id, n)),
+packed AS (
+  SELECT doc_id, list_reduce(list_concat([[header]], list_transform(coalesce(pieces, []), lambda p: [p])), lambda a, x:
+    CASE WHEN length(a[-1] || chr(10) || chr(10) || x[1]) <= 600
+         THEN list_append(list_slice(a, 1, len(a) - 1), a[-1] || chr(10) || chr(10) || x[1])
+         ELSE list_append(a, header || chr(10) || chr(10) || x[1]) END) AS chunks
+  FROM lines LEFT JOIN (SELECT doc_id, flatten(list(pieces ORDER BY n)) AS pieces FROM pieces GROUP BY 1) USING (doc_id))
+SELECT doc_id, unnest(range(len(chunks))) AS ordinal, length(unnest(chunks)) AS n_chars, sha256(unnest(chunks)) AS content_sum FROM packed""",
+    "team_select": f"""WITH {_TEAM}
+SELECT request_id, role, slot, person_id, round(selection_score, 6) AS selection_score FROM team WHERE step > 0""",
+    "team_totals": f"""WITH {_TEAM}
+SELECT request_id, round(coalesce(avg(selection_score), 0), 6) AS aggregate_score, count(person_id) AS assigned,
+       count(*) - count(person_id) AS unfilled FROM team WHERE step > 0 GROUP BY 1""",
+    "team_queries": """WITH r AS (
+  SELECT o_custkey, o_orderpriority AS role, count(*) AS n, list_sort(list(DISTINCT o_orderstatus)) AS states,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) - 1 AS role_no,
+         max(count(*)) OVER (PARTITION BY o_custkey) AS most
+  FROM orders GROUP BY o_custkey, o_orderpriority)
+SELECT c_custkey || '|' || role_no AS query_id,
+       concat_ws(' ', role, CASE WHEN n > 2 THEN 'senior' END, array_to_string(states, ' '),
+                 CASE WHEN c_nationkey > 4 THEN c_mktsegment END) AS text,
+       CASE WHEN c_nationkey > 4 THEN c_mktsegment ELSE role END AS semantic_query,
+       CASE WHEN n > 2 THEN 'senior' END AS seniority,
+       CASE WHEN c_nationkey > 9 THEN 30 ELSE 20 END AS candidates_per_role,
+       round(CASE WHEN c_nationkey > 14 THEN c_acctbal / 10000 ELSE 0.15 END, 6) AS diversity_weight
+FROM r JOIN customer ON c_custkey = o_custkey
+WHERE most <= 10 AND (c_nationkey <= 14 OR c_acctbal / 10000 BETWEEN 0 AND 0.5)""",
+    "team_terms": """WITH w AS (
+  SELECT DISTINCT lang, source, unnest(regexp_extract_all(lower(text), '[a-z0-9+#.-]+')) AS word FROM documents)
+SELECT lang AS query_id, source AS person_id, CAST(count(*) AS INTEGER) AS n_terms,
+       sha256(string_agg(word, ' ' ORDER BY word)) AS terms_sum
+FROM w WHERE length(word) > 2 GROUP BY ALL""",
+    "plan_flags": """WITH q AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS query_id,
+         c_nationkey BETWEEN 3 AND 5 OR c_acctbal > 8000 OR c_acctbal < -800
+           OR c_mktsegment <> 'HOUSEHOLD' AS has_hard_filters,
+         c_nationkey > 12 AS use_vector, c_mktsegment IN ('BUILDING', 'MACHINERY') AS use_graph
+  FROM customer)
+SELECT *, concat_ws(',', 'structured', CASE WHEN use_vector THEN 'vector' END,
+                    CASE WHEN use_graph THEN 'graph' END) AS strategy FROM q""",
+    "rank_features": f"""WITH {_PEOPLE}, {_BOUGHT}, {_SKILLED.split("," + chr(10) + "pairs AS")[0]},
+q AS (SELECT s.*, n_regionkey, n_name, k % 2 = 1 AS strict FROM skilled s JOIN nation ON n_nationkey = k),
+near AS (
+  SELECT q.query_id, strict, b1, b2, ty, seg, q.n_name, p.*
+  FROM people p JOIN customer USING (c_custkey) JOIN nation n ON n.n_nationkey = c_nationkey
+  JOIN q ON q.n_regionkey = n.n_regionkey),
+spent AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS person_id, count(*) AS n,
+         count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent FROM orders GROUP BY 1),
+held AS (SELECT person_id, p_brand AS term FROM parts UNION SELECT person_id, p_type FROM parts),
+counted AS (
+  SELECT query_id, person_id, count(*) AS skill_hits, bool_or(term = b1) AS first_held
+  FROM near JOIN held USING (person_id) WHERE term IN (b1, b2, ty) GROUP BY ALL),
+f AS (
+  SELECT query_id, person_id, full_name, strict, coalesce(least(1, n / 20), 0) AS semantic,
+         CASE WHEN strict THEN coalesce(skill_hits, 0) / 3 ELSE 0 END AS skills,
+         CAST(strict AND current_title = seg AS DOUBLE) AS domains,
+         CASE WHEN strict THEN (CASE WHEN current_title = seg THEN 0.5 ELSE 0 END + least(years / 2.5, 1)) / 2
+              WHEN current_title = seg THEN 0.5 ELSE 0 END AS experience,
+         coalesce(urgent / n, 0) AS graph,
+         CASE WHEN strict THEN (CAST(country = n_name AS INTEGER) + CAST(current_title = seg AS INTEGER)) / 2
+              ELSE 0 END AS location,
+         CASE WHEN first_held THEN 0.5 ELSE 0 END AS preference
+  FROM near LEFT JOIN spent USING (person_id) LEFT JOIN counted USING (query_id, person_id)),
+s AS (
+  SELECT *, greatest(0, least(1, CAST(semantic AS DOUBLE) * CAST(0.3 AS DOUBLE)
+           + skills * CAST(0.25 AS DOUBLE) + domains * CAST(0.15 AS DOUBLE)
+           + CAST(experience AS DOUBLE) * CAST(0.1 AS DOUBLE) + graph * CAST(0.1 AS DOUBLE)
+           + location * CAST(0.05 AS DOUBLE) + CAST(preference AS DOUBLE) * CAST(0.05 AS DOUBLE))) AS score FROM f),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lower(full_name), person_id) AS position
+  FROM s QUALIFY position <= 200)
+SELECT query_id, person_id, position, round(semantic, 6) AS semantic, round(skills, 6) AS skills, domains,
+       round(CAST(experience AS DOUBLE), 6) AS experience, round(graph, 6) AS graph,
+       CAST(location AS DOUBLE) AS location, CAST(preference AS DOUBLE) AS preference, round(score, 6) AS score
+FROM r WHERE strict OR score >= 0.2""",
+    "evidence_fusion": """WITH d AS (
+  SELECT lang, source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS early,
+         row_number() OVER (PARTITION BY lang, source ORDER BY length(text) DESC, doc_id) AS long
+  FROM documents),
+shown AS (SELECT DISTINCT lang, source FROM documents),
+e AS (
+  SELECT s.lang, s.source, 1 AS source_no, early AS position, 0 AS detail, doc_id, 'structured' AS kind,
+         text, 1.0 AS score FROM d JOIN shown s USING (source) WHERE early <= 5
+  UNION ALL
+  SELECT lang, source, 2, long, 0, doc_id, 'vector', text, length(text) / 20000 FROM d WHERE long <= 10
+  UNION ALL
+  SELECT lang, source, 3, CASE WHEN toxic = 1 THEN 1 ELSE 2 END, doc_id, doc_id, 'graph', text,
+         CASE WHEN toxic = 1 THEN 1 ELSE 0.5 END
+  FROM d JOIN labels USING (doc_id) WHERE toxic = 1 OR quality = 0)
+SELECT lang AS query_id, source AS person_id, source_no, CAST(position AS INTEGER) AS position,
+       CAST(detail AS INTEGER) AS detail, CAST(doc_id AS VARCHAR) AS chunk_id, kind AS source,
+       sha256(text) AS content_sum, round(CAST(score AS DOUBLE), 6) AS score FROM e""",
 }
