@@ -56,6 +56,7 @@ from evidex.operators.understand import (
     plain_intents,
 )
 from evidex.operators.vector import cosine_topk, cosine_topk_within, lsh_topk
+from evidex.plans.ingest import IngestResult, ingest_structured
 from evidex.session import cut_lineage, spread, work_folder
 from evidex.sources.buckets import BucketTable
 from evidex.sources.files import jsonl_documents, text_documents
@@ -556,6 +557,134 @@ def delivery_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _delivered(spark: SparkSession, sf: str, provider: HashEmbedder | None = None) -> list[IngestResult]:
+    """Two deliveries of customers through the whole ingestion, one after the other.
+
+    First the customers with more than 2000 come. Then all come: some as they were, builders with
+    another title, machinists with another skill and a text for their project, furnishers twice, as
+    they were and with another title, and copies of the household records under other ids. Negative
+    years are refused.
+    """
+    nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    rows = table(spark, sf, "customer").join(nation, "c_nationkey")
+    segment = F.col("c_mktsegment")
+    project = F.concat(F.lit("Project "), segment)
+
+    def versions(of: DataFrame, number: int, changed: Column, prefix: str = "") -> DataFrame:
+        def if_changed(*segments: str) -> Column:
+            return changed & segment.isin(*segments)
+
+        record = F.struct(
+            F.col("c_custkey").cast("string").alias("id"),
+            F.col("c_name").alias("name"),
+            F.col("n_name").alias("country"),
+            F.when(if_changed("BUILDING", "FURNITURE"), F.concat(F.lit("Lead "), segment))
+            .otherwise(segment).alias("title"),
+            F.floor(F.col("c_acctbal") / 1000).cast("int").alias("years_experience"),
+            F.array(F.when(if_changed("MACHINERY"), "Google  Cloud").otherwise("GCP"), segment).alias("skills"),
+            F.array(F.struct(F.col("n_name").alias("employer"), F.array(segment).alias("domains"))).alias("experience"),
+            F.array(F.struct(
+                F.concat(F.lit("University "), segment).alias("school"),
+                F.when(F.col("c_nationkey") % 2 == 1, F.col("n_name")).alias("country"),
+            )).alias("education"),
+            F.array(F.struct(
+                project.alias("project_name"),
+                F.when(if_changed("MACHINERY"), F.concat(F.lit("Plan of "), segment)).alias("summary"),
+            )).alias("projects"),
+        )
+        return of.select(
+            F.lit("crm").alias("source"),
+            F.concat(F.lit(prefix), F.col("c_custkey").cast("string")).alias("external_id"),
+            F.lit("json").alias("document_type"),
+            F.to_json(record).alias("raw_text"),
+            F.to_json(record).alias("payload"),
+            F.create_map().cast("map<string,string>").alias("metadata"),
+            F.lit("crm").alias("file"),
+            (F.col("c_custkey") * 4 + number).alias("seq"),
+        )
+
+    no, yes = F.lit(False), F.lit(True)
+    first = versions(rows.filter("c_acctbal > 2000"), 0, no)
+    parts = [
+        versions(rows, 1, ~segment.isin("FURNITURE")),
+        versions(rows.filter("c_mktsegment = 'FURNITURE'"), 2, yes),
+        versions(rows.filter("c_mktsegment = 'HOUSEHOLD'"), 3, no, "copy-"),
+    ]
+    done = ingest_structured(empty_corpus(spark), first, provider, unicode=False)
+    then = ingest_structured(done.corpus, reduce(DataFrame.unionByName, parts), provider, unicode=False)
+    return [done, then]
+
+
+@query
+def ingest_deliveries(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters of documents and of chunked documents of two deliveries."""
+    counts = []
+    for number, done in enumerate(_delivered(spark, sf, HashEmbedder(16)), 1):
+        for what, report in (("documents", done.report), ("chunks", done.embeddings)):
+            counts.append(report.unpivot([], report.columns, "counter", "n").select(
+                F.lit(number).alias("delivery"), F.lit(what).alias("what"), "counter", "n"
+            ))
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query
+def ingest_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Named entities and learned aliases after two deliveries."""
+    corpus = _delivered(spark, sf)[-1].corpus
+    text = F.lit(None).cast("string")
+    plain = {"skill": corpus.skills, "domain": corpus.domains}
+    placed = {"company": corpus.companies, "university": corpus.universities}
+
+    def shaped(kind: str, df: DataFrame, country: Column, description: Column) -> DataFrame:
+        return df.select(
+            F.lit(kind).alias("kind"), "name", F.col("normalized_name").alias("key"),
+            country.alias("country"), description.alias("description"),
+        )
+
+    aliases = corpus.skill_aliases.join(corpus.skills, "skill_id").select(
+        F.col("alias").alias("name"), "normalized_name"
+    )
+    parts = [shaped(k, df, text, text) for k, df in plain.items()]
+    parts += [shaped(k, df, F.col("country"), text) for k, df in placed.items()]
+    parts += [shaped("project", corpus.projects, text, F.col("description")), shaped("alias", aliases, text, text)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def ingest_people(spark: SparkSession, sf: str) -> DataFrame:
+    """People and their links after two deliveries."""
+    corpus = _delivered(spark, sf)[-1].corpus
+    named = {
+        "skills": (corpus.person_skills, corpus.skills, "skill_id"),
+        "companies": (corpus.person_companies, corpus.companies, "company_id"),
+        "universities": (corpus.person_universities, corpus.universities, "university_id"),
+        "projects": (corpus.person_projects, corpus.projects, "project_id"),
+    }
+    shown = corpus.people.select(
+        "person_id", F.col("source_id").alias("c_custkey"), "full_name", "current_title",
+        F.col("years_experience").cast("int").alias("years"),
+    )
+    for kind, (links, entities, key) in named.items():
+        names = links.join(entities, key).groupBy("person_id").agg(
+            F.array_join(F.sort_array(F.collect_list("name")), ",").alias(kind)
+        )
+        shown = shown.join(names, "person_id", "left")
+    return shown.drop("person_id")
+
+
+@query
+def ingest_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of the stored documents with the company that they cite."""
+    corpus = _delivered(spark, sf, HashEmbedder(16))[-1].corpus
+    cited = F.try_element_at("metadata", F.lit("company_id"))
+    chunks = corpus.document_chunks.withColumn("company_id", cited)
+    companies = corpus.companies.select("company_id", F.col("name").alias("company"))
+    return chunks.join(companies, "company_id", "left").select(
+        F.try_element_at("metadata", F.lit("external_id")).alias("external_id"), "ordinal", "section",
+        "content", "company", F.size("embedding").alias("dimension"),
+    )
+
+
 @query
 def corpus_merge(spark: SparkSession, sf: str) -> DataFrame:
     """A bucketed table after a merge of changed and deleted keys, and a vacuum."""

@@ -102,6 +102,15 @@ _CHECKED = """checked AS (
 _GOOD = f"""{_PEOPLE},
 good AS (SELECT * FROM people WHERE age > 24 AND years >= 0)"""
 
+_DELIVERED = """c AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS id, c_name, n_name, c_mktsegment AS seg, c_nationkey % 2 = 1 AS odd,
+         CAST(floor(c_acctbal / 1000) AS INTEGER) AS years, c_acctbal > 2000 AS early,
+         c_mktsegment IN ('BUILDING', 'FURNITURE', 'MACHINERY') AS changed
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+good AS (
+  SELECT *, CASE WHEN seg IN ('BUILDING', 'FURNITURE') THEN 'Lead ' ELSE '' END || seg AS title
+  FROM c WHERE years >= 0)"""
+
 _TEAM = f"""RECURSIVE {_BOUGHT},
 customers AS (
   SELECT CAST(c_nationkey AS VARCHAR) AS request_id, c_mktsegment AS role,
@@ -601,4 +610,61 @@ e AS (
 SELECT lang AS query_id, source AS person_id, source_no, CAST(position AS INTEGER) AS position,
        CAST(detail AS INTEGER) AS detail, CAST(doc_id AS VARCHAR) AS chunk_id, kind AS source,
        sha256(text) AS content_sum, round(CAST(score AS DOUBLE), 6) AS score FROM e""",
+    "ingest_deliveries": f"""WITH {_DELIVERED},
+one AS (SELECT count(*) FILTER (early) AS early, count(*) FILTER (early AND changed) AS changed,
+               count(*) FILTER (NOT early) AS late, count(*) FILTER (seg = 'FURNITURE') AS twice,
+               count(*) FILTER (seg = 'FURNITURE' AND early) AS same,
+               count(*) FILTER (seg = 'HOUSEHOLD') AS copies, count(*) AS n FROM good),
+bad AS (SELECT count(*) + count(*) FILTER (seg IN ('FURNITURE', 'HOUSEHOLD')) AS n FROM c WHERE years < 0),
+r AS (
+  SELECT 1 AS delivery, 'documents' AS what, {{'total': early, 'created': early, 'updated': 0, 'unchanged': 0,
+         'duplicates': 0, 'skipped': 0, 'failed': 0}} AS v FROM one
+  UNION ALL
+  SELECT 2, 'documents', {{'total': one.n + twice + copies + bad.n, 'created': late, 'updated': changed + twice - same,
+         'unchanged': early - changed + same, 'duplicates': copies, 'skipped': early - changed + same + copies,
+         'failed': bad.n}} FROM one, bad),
+e AS (
+  SELECT 1 AS delivery, 'chunks' AS what, {{'total': early, 'created': early, 'updated': 0, 'unchanged': 0,
+         'failed': 0}} AS v FROM one
+  UNION ALL
+  SELECT 2, 'chunks', {{'total': n, 'created': late, 'updated': changed, 'unchanged': early - changed,
+         'failed': 0}} FROM one)
+SELECT delivery, what, counter, CAST(n AS BIGINT) AS n FROM (
+  SELECT delivery, what, unnest(['total','created','updated','unchanged','duplicates','skipped','failed']) AS counter,
+         unnest([v.total, v.created, v.updated, v.unchanged, v.duplicates, v.skipped, v.failed]) AS n FROM r
+  UNION ALL
+  SELECT delivery, what, unnest(['total','created','updated','unchanged','failed']),
+         unnest([v.total, v.created, v.updated, v.unchanged, v.failed]) FROM e)""",
+    "ingest_entities": f"""WITH {_DELIVERED},
+m AS (SELECT *, early OR seg <> 'MACHINERY' AS gcp, seg = 'MACHINERY' AS google FROM good)
+SELECT DISTINCT 'skill' AS kind, seg AS name, lower(seg) AS key, NULL AS country, NULL AS description FROM m
+UNION ALL SELECT 'skill', 'Google Cloud Platform', 'google cloud platform', NULL, NULL
+UNION ALL SELECT DISTINCT 'domain', seg, lower(seg), NULL, NULL FROM m
+UNION ALL SELECT DISTINCT 'company', n_name, {_norm('n_name')}, NULL, NULL FROM m
+UNION ALL SELECT DISTINCT 'university', 'University ' || seg, 'university ' || lower(seg),
+                          CASE WHEN odd THEN n_name END, NULL FROM m
+UNION ALL SELECT DISTINCT 'project', 'Project ' || seg, 'project ' || lower(seg), NULL,
+                          CASE WHEN google THEN 'Plan of ' || seg END FROM m
+UNION ALL SELECT DISTINCT 'alias', lower(seg), lower(seg), NULL, NULL FROM m
+UNION ALL SELECT DISTINCT 'alias', 'gcp', 'google cloud platform', NULL, NULL FROM m WHERE gcp
+UNION ALL SELECT DISTINCT 'alias', 'google cloud', 'google cloud platform', NULL, NULL FROM m WHERE google""",
+    "ingest_people": f"""WITH {_DELIVERED}
+SELECT id AS c_custkey, c_name AS full_name, title AS current_title, years,
+       CASE WHEN seg < 'Google' THEN seg || ',Google Cloud Platform' ELSE 'Google Cloud Platform,' || seg END AS skills,
+       n_name AS companies, 'University ' || seg AS universities, 'Project ' || seg AS projects FROM good""",
+    "ingest_chunks": f"""WITH {_DELIVERED},
+k AS (
+  SELECT id, n_name, CAST(0 AS INTEGER) AS ordinal, 'summary' AS section, 'SUMMARY' || chr(10) || chr(10)
+           || 'Candidate: ' || c_name || chr(10) || chr(10) || 'Current title: ' || title || chr(10) || chr(10)
+           || 'Country: ' || n_name || chr(10) || chr(10) || 'Years of experience: ' || CAST(years AS DOUBLE) AS content
+  FROM good
+  UNION ALL SELECT id, n_name, 1, 'experience', 'EXPERIENCE: ' || n_name || chr(10) || chr(10) || 'Domains: ' || seg FROM good
+  UNION ALL SELECT id, n_name, 2, 'project', 'PROJECT: Project ' || seg
+    || CASE WHEN seg = 'MACHINERY' THEN chr(10) || chr(10) || 'Plan of ' || seg ELSE '' END FROM good
+  UNION ALL SELECT id, n_name, 3, 'education', 'EDUCATION: University ' || seg
+    || CASE WHEN odd THEN chr(10) || chr(10) || 'Country: ' || n_name ELSE '' END FROM good
+  UNION ALL SELECT id, n_name, 4, 'skills', 'SKILLS AND EXPERTISE' || chr(10) || chr(10) || 'Skills: '
+    || CASE WHEN seg = 'MACHINERY' THEN 'Google  Cloud' ELSE 'GCP' END || ', ' || seg FROM good)
+SELECT id AS external_id, ordinal, section, content, CASE WHEN section = 'experience' THEN n_name END AS company,
+       CAST(16 AS INTEGER) AS dimension FROM k""",
 }
