@@ -134,9 +134,9 @@ team AS (
   SELECT request_id, step, role, slot, person_id, value, list_append(taken, person_id),
          list_distinct(list_concat(covered, coalesce(terms, [])))
   FROM (SELECT t.request_id, s.step, s.role, s.slot, b.person_id, b.score, b.terms, t.taken, t.covered,
-               greatest(0, b.score - 0.15 * CASE WHEN len(b.terms) + len(t.covered) = 0 THEN 0
+               CASE WHEN b.person_id IS NOT NULL THEN greatest(0, b.score - 0.15 * CASE WHEN len(b.terms) + len(t.covered) = 0 THEN 0
                  ELSE CAST(len(list_intersect(b.terms, t.covered)) AS DOUBLE)
-                      / len(list_distinct(list_concat(b.terms, t.covered))) END) AS value
+                      / len(list_distinct(list_concat(b.terms, t.covered))) END) END AS value
         FROM team t JOIN slots s ON s.request_id = t.request_id AND s.step = t.step + 1
         LEFT JOIN best b ON b.request_id = s.request_id AND b.role = s.role
                         AND NOT list_contains(t.taken, b.person_id))
