@@ -1241,14 +1241,17 @@ def evidence_fusion(spark: SparkSession, sf: str) -> DataFrame:
 
     Long documents are vector hits; toxic and low-quality ones lie on graph paths, some on both.
     """
-    chunks = _document_chunks(spark, sf)
+    # Digests stand for the texts from here on: no text is sorted or joined.
+    chunks = _document_chunks(spark, sf).withColumns(
+        {"score": F.length("content") / 20000, "content": F.sha2("content", 256)}
+    )
     pair = ["query_id", "person_id"]
     shown = chunks.select(F.col("lang").alias("query_id"), "person_id").distinct()
     first = S.first_evidence(chunks).join(shown, "person_id")
     longest = Window.partitionBy(*pair).orderBy(F.desc("score"), "ordinal")
     vector = chunks.select(
         F.col("lang").alias("query_id"), "person_id", "chunk_id", "ordinal", "content",
-        F.lit("vector").alias("source"), (F.length("content") / 20000).alias("score"),
+        F.lit("vector").alias("source"), "score",
     ).withColumn("position", F.row_number().over(longest)).filter("position <= 10")
     marked = table(spark, sf, "labels").select(
         F.col("doc_id").cast("string").alias("chunk_id"),
@@ -1263,7 +1266,7 @@ def evidence_fusion(spark: SparkSession, sf: str) -> DataFrame:
     )
     return R.fuse_evidence(first, vector, graph).select(
         *pair, "place.source_no", "place.position", "place.detail", "chunk_id", "source",
-        F.sha2("content", 256).alias("content_sum"), F.round("score", 6).alias("score"),
+        F.col("content").alias("content_sum"), F.round("score", 6).alias("score"),
     )
 
 
