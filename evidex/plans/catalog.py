@@ -1348,6 +1348,38 @@ def enrich_queries(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def enrich_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Cities, requirements, companies and ages told by requests made of customers (Q9-Q13)."""
+
+    def by(column: str, texts: dict) -> Column:
+        return F.try_element_at(F.create_map(*[F.lit(x) for pair in texts.items() for x in pair]), F.col(column))
+
+    rows = people(spark, sf).join(
+        table(spark, sf, "customer").select(
+            F.col("c_custkey").cast("string").alias("person_id"),
+            (F.col("c_nationkey") % 4).alias("place"), (F.col("c_custkey") % 5).alias("form"),
+        ),
+        "person_id",
+    )
+    asked = by("current_title", {"AUTOMOBILE": "Питон!", "BUILDING": "ML-Engineer", "MACHINERY": "МТС,"})
+    place = by("place", {0: "в Берлине", 1: "из Москвы", 2: "(Moscow, Лондон)"})
+    before = by("form", {0: "старше", 1: "от", 2: "Младше", 3: "до"})
+    age = F.when(before.isNotNull(), F.concat(before, F.lit(" "), F.col("age").cast("string"), F.lit("  лет.")))
+    requests = rows.select(
+        F.col("person_id").alias("query_id"), F.concat_ws(" ", F.lit("Нужен"), asked, place, age).alias("text"),
+        F.array(F.lit("MLOps"), F.lit("Kafka")).alias("required_technologies"),
+        F.lit(3.0).alias("min_years_experience"),
+    )
+    lists = (
+        "cities", "required_skills", "required_technologies", "preferred_skills", "preferred_technologies", "companies",
+    )
+    return enrich_intents(plain_intents(requests)).select(
+        "query_id", "semantic_query", "city", "min_age", "max_age", "min_years_experience",
+        *[F.array_join(name, ",").alias(name) for name in lists],
+    )
+
+
 def _misspelt(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     part = table(spark, sf, "part")
     names = part.select("p_name").distinct()

@@ -667,4 +667,23 @@ k AS (
     || CASE WHEN seg = 'MACHINERY' THEN 'Google  Cloud' ELSE 'GCP' END || ', ' || seg FROM good)
 SELECT id AS external_id, ordinal, section, content, CASE WHEN section = 'experience' THEN n_name END AS company,
        CAST(16 AS INTEGER) AS dimension FROM k""",
+    "enrich_requests": f"""WITH {_PEOPLE},
+r AS (SELECT p.person_id, p.age, current_title = 'BUILDING' AS ml, current_title = 'AUTOMOBILE' AS py,
+             current_title = 'MACHINERY' AS mts, c_nationkey % 4 AS place, c.c_custkey % 5 AS form
+      FROM people p JOIN customer c USING (c_custkey))
+SELECT person_id AS query_id,
+  concat_ws(' ', 'Нужен', CASE WHEN py THEN 'Питон!' WHEN ml THEN 'ML-Engineer' WHEN mts THEN 'МТС,' END,
+    CASE place WHEN 0 THEN 'в Берлине' WHEN 1 THEN 'из Москвы' WHEN 2 THEN '(Moscow, Лондон)' END,
+    CASE WHEN form < 4 THEN ['старше', 'от', 'Младше', 'до'][form + 1] || ' ' || age || '  лет.' END,
+    CASE WHEN ml THEN 'machine learning ml engineer mlops' END) AS semantic_query,
+  CASE place WHEN 0 THEN 'Berlin' WHEN 1 THEN 'Москва' WHEN 2 THEN 'London' END AS city,
+  CASE form WHEN 0 THEN age + 1 WHEN 1 THEN age END AS min_age,
+  CASE form WHEN 2 THEN age - 1 WHEN 3 THEN age END AS max_age,
+  CASE WHEN form NOT IN (0, 2) THEN CAST(3 AS DOUBLE) END AS min_years_experience,
+  CASE place WHEN 0 THEN 'Berlin' WHEN 1 THEN 'Москва' WHEN 2 THEN 'London,Moscow' ELSE '' END AS cities,
+  CASE WHEN ml THEN 'MLOps' WHEN py THEN 'Python' ELSE '' END AS required_skills,
+  CASE WHEN ml THEN 'Kafka' ELSE 'MLOps,Kafka' END AS required_technologies,
+  CASE WHEN ml THEN 'Machine Learning' ELSE '' END AS preferred_skills,
+  CASE WHEN ml THEN 'Machine Learning,MLOps' ELSE '' END AS preferred_technologies,
+  CASE WHEN mts THEN 'МТС' ELSE '' END AS companies FROM r""",
 }

@@ -11,7 +11,7 @@ from evidex.plans.oracles import ORACLES
 FOLDER = Path("/root/testdata/sf0.001")
 NAMES = (
     "plan_flags", "rank_features", "evidence_fusion", "team_queries", "team_terms", "team_select",
-    "team_totals", "chunk_pack", "ingest_deliveries", "ingest_entities", "ingest_people", "ingest_chunks",
+    "team_totals", "chunk_pack", "enrich_requests", "ingest_deliveries", "ingest_entities", "ingest_people", "ingest_chunks",
 )
 
 pytestmark = pytest.mark.skipif(not FOLDER.is_dir(), reason="needs the given tables")
