@@ -187,8 +187,9 @@ def fuzzy_pairs(
     left = asked.select("phrase", F.explode(comparison_forms(F.col("phrase"))).alias("left_form"))
     right = known.select("key", F.explode(comparison_forms(F.col("key"))).alias("right_form"))
     close = similar_forms(left, right, threshold)
+    # Exploded forms are many times what Spark guesses of them: they are never broadcast.
     return (
-        left.join(close, "left_form")
+        left.hint("merge").join(close, "left_form")
         .join(right, "right_form")
         .groupBy("phrase", "key")
         .agg(F.max("ratio").alias("ratio"))
@@ -213,30 +214,33 @@ def detect_vocabulary(
     """Vocabulary values a query names (Q2, Q3): query_id, kind, value.
 
     A value is found as a substring of the normalised text, through an alias phrase, or by a
-    phrase of four letters or more that is similar enough.
+    phrase of four letters or more that is similar enough. Texts and their phrases grow with the
+    queries and are many times what Spark guesses of them: they are written once, and joined by
+    sorting, never sent through the driver.
     """
-    texts = queries.select("query_id", normalize_name(F.col("text"), unicode).alias("norm"))
+    dealt = queries.repartition(queries.sparkSession.sparkContext.defaultParallelism, "query_id")
+    texts = cut_lineage(dealt.select("query_id", normalize_name(F.col("text"), unicode).alias("norm")))
     known = vocabulary.select(
         "kind", "value", normalize_name(F.col("value"), unicode).alias("key")
     ).filter("key <> ''")
-    spoken = texts.withColumn("phrase", F.explode(phrases(F.col("norm")))).select(
-        "query_id", "phrase"
+    spoken = cut_lineage(
+        texts.withColumn("phrase", F.explode(phrases(F.col("norm")))).select("query_id", "phrase")
     )
     inside = (
         substring_pairs(texts, known, "norm", "key")
-        .join(texts, "norm")
+        .join(texts.hint("merge"), "norm")
         .select("query_id", "key")
         .join(known, "key")
     )
     parts = [inside]
     if any(aliases.values()):
-        named = spoken.join(_alias_frame(queries, aliases), "phrase")
+        named = spoken.join(F.broadcast(_alias_frame(queries, aliases)), "phrase")
         parts.append(named.select("query_id", "kind", "key").join(known, ["kind", "key"]))
     long_enough = spoken.filter(F.length("phrase") >= K.FUZZY_MIN_LENGTH)
     close = fuzzy_pairs(long_enough.select("phrase").distinct(), known.select("key").distinct(),
                         threshold)
     parts.append(
-        long_enough.join(close, "phrase").select("query_id", "key").join(known, "key")
+        long_enough.hint("merge").join(close, "phrase").select("query_id", "key").join(known, "key")
     )
     found = [p.select("query_id", "kind", "value") for p in parts]
     return reduce(DataFrame.unionByName, found).distinct()

@@ -130,6 +130,20 @@ def test_detect_ignores_short_phrases(spark, vocabulary):
     assert {(r.kind, r.value) for r in found} == {("skill", "SQL")}
 
 
+def test_detect_sends_no_texts_or_phrases_through_the_driver(spark, vocabulary, tmp_path):
+    asked = texts(spark, "ищу в москве", "python from яндекс", "в питере масква")
+    found = {(r.query_id, r.value) for r in detect_vocabulary(asked, vocabulary).collect()}
+    asked.write.parquet(f"{tmp_path}/asked")
+    vocabulary.write.parquet(f"{tmp_path}/known")
+    stored = detect_vocabulary(spark.read.parquet(f"{tmp_path}/asked"), spark.read.parquet(f"{tmp_path}/known"))
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    # Only vocabulary and alias tables, which stand on the right, are broadcast.
+    assert joins and not [line for line in joins if "BuildLeft" in line]
+    assert not [line for line in joins if "_digest" in line or "norm#" in line or "left_form" in line]
+    assert {(r.query_id, r.value) for r in stored.collect()} == found and found
+
+
 def test_intent_provider(spark):
     def provider(prompts):
         return [
