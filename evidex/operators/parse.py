@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 from evidex.functions.constants import UNSAFE_MARKERS
 from evidex.functions.text import blank_to_null, is_unsafe, strip
 from evidex.schemas import ERROR, EXTRACTED
-from evidex.session import cut_lineage
+from evidex.session import cut_lineage, spread
 
 FIELDS = (
     "full_name", "location", "country", "current_title", "years_experience", "age", "summary",
@@ -168,8 +168,10 @@ def parse_records(
 
     ``mapping`` replaces the dotted path of any of the 13 fields. No record raises: a
     failing one lands in quarantine with the first error of its checks. ``write_once``
-    parses into a written table, for callers that read both results.
+    parses into a written table, for callers that read both results. Parsing is the longest
+    step of an ingestion, so documents out of few files are dealt to all cores first.
     """
+    documents = spread(documents, "external_id", "payload")
     at = {name: name for name in FIELDS} | dict(mapping or {})
     unknown = set(at) - set(FIELDS)
     if unknown:

@@ -404,12 +404,13 @@ def page_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def _customer_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Customers as JSON records, some of them invalid by their balance."""
-    rows = people(spark, sf).join(
+    joined = people(spark, sf).join(
         table(spark, sf, "customer").select(
             F.col("c_custkey").cast("string").alias("person_id"), "c_mktsegment", "c_custkey"
         ),
         "person_id",
     )
+    rows = cut_lineage(spread(joined, "c_custkey"))
     record = F.struct(
         F.col("person_id").alias("id"),
         F.when(F.col("age") > 24, F.col("full_name")).alias("name"),
@@ -566,7 +567,7 @@ def _delivered(spark: SparkSession, sf: str, provider: HashEmbedder | None = Non
     years are refused.
     """
     nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    rows = table(spark, sf, "customer").join(nation, "c_nationkey")
+    rows = cut_lineage(spread(table(spark, sf, "customer"), "c_custkey")).join(nation, "c_nationkey")
     segment = F.col("c_mktsegment")
     project = F.concat(F.lit("Project "), segment)
 

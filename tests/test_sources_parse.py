@@ -151,6 +151,16 @@ def test_quarantine_messages(spark, write_json):
         assert part in messages[str(i)]
 
 
+def test_documents_of_one_file_are_parsed_by_all_cores(spark, tmp_path):
+    rows = [("s", str(i), json.dumps({"full_name": f"N{i}"})) for i in range(400)]
+    frame = spark.createDataFrame(rows, "source string, external_id string, payload string")
+    frame.withColumn("file", F.lit("f")).coalesce(1).write.parquet(f"{tmp_path}/docs")
+    good, bad = parse_records(spark.read.parquet(f"{tmp_path}/docs"))
+    tasks = good.groupBy(F.spark_partition_id().alias("task")).agg(F.collect_list("resume.full_name").alias("names")).collect()
+    assert len(tasks) >= min(4, spark.sparkContext.defaultParallelism)
+    assert sorted(n for r in tasks for n in r.names) == sorted(f"N{i}" for i in range(400)) and bad.count() == 0
+
+
 def test_encoded_items_and_synonyms(spark, write_json):
     record = {
         "candidate_name": "A", "job_title": "Dev", "about": "s",
