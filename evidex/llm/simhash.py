@@ -130,11 +130,14 @@ class Forest:
                 node = self.children[np.repeat(lo, count) + offset]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree_rows: int = TREE_ROWS) -> DataFrame:
+def links(
+    fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree_rows: int = TREE_ROWS, direct: bool = False
+) -> DataFrame:
     """(a, b) over distinct fingerprints ``fp``: connected exactly as all pairs within radius.
 
     A task emits, for each fingerprint with a link, the smallest one it reaches there, not the
-    pairs themselves, so a group of n near copies gives n rows per table and not n squared.
+    pairs themselves, so a group of n near copies gives n rows per table and not n squared. With
+    ``direct`` it is the smallest within the radius itself: pairs to be confirmed one by one.
     """
     keys = ["t", "shard", "lo", "hi"]
     tables = _shards(radius, blocks)
@@ -158,6 +161,9 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree_rows:
             root = np.arange(len(distinct))
             for query, found in forest.search(values[asked], group[asked], radius):
                 left, right = number[asked[query]], number[trees[found]]
+                if direct:
+                    np.minimum.at(root, np.maximum(left, right), np.minimum(left, right))
+                    continue
                 root = root[local_roots(len(distinct), root[left], root[right])]
             linked = np.flatnonzero(root != np.arange(len(distinct)))
             if len(linked):

@@ -7,8 +7,11 @@ sample hold come last; the sample changes the work, never the result. Of the can
 256 counts per set rules out those that can't have enough in common; the others are confirmed by the
 intersection of their whole sets, and only their texts are moved.
 
-The first round compares each set with its neighbours by size under each shared shingle, which
-joins most members of a large group; the second compares all candidates not yet in one component.
+The first round takes the pairs that SimHash finds: each set has a fingerprint of its shingles,
+and BK-trees over shards (``simhash``) give the smallest fingerprint within the radius. No radius
+of 64 bits reaches all pairs of similarity t, so each set also meets its neighbours by size under
+each shared shingle. Both are confirmed, which joins most members of a large group; the second
+round compares by prefixes all candidates not yet in one component, so that no pair is lost.
 Two unconnected groups under one shingle still meet in all their pairs of fitting size.
 
 Defined cases: extra columns are ignored, an empty table gives an empty result, a null id never
@@ -26,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidex.llm import simhash
 from evidex.llm.common import block_pairs, components
 from evidex.session import cut_lineage
 
@@ -39,6 +43,8 @@ ORDERS = 4
 BLOCK = 1024
 #: Parts of the hash range in a set's sketch (a power of two), and the count that stands for any larger one.
 BUCKETS, FULL = 256, 255
+#: Texts that a task turns into shingles at once.
+TEXTS = 512
 #: Counted in favour of a pair on the border, against rounding.
 SLACK = 1e-9
 
@@ -68,6 +74,22 @@ def node(found: np.ndarray) -> int:
     return int(_mix(found).sum(dtype=np.uint64).astype(np.int64)) if len(found) else 0
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set of shingles, as a signed long: a bit is set if over half the shingles have it."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(found), simhash.COUNTED):
+        bits = np.unpackbits(found[at : at + simhash.COUNTED].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(found), bitorder="little").view("<i8")[0])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, ``TEXTS`` at a time: a text's shingles take several times its size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
@@ -94,7 +116,7 @@ def prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     known, counts = frequent(docs, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             parts = []
             for x in batch.column(0):
                 found = shingles(x.as_py(), shingle)
@@ -119,20 +141,36 @@ def sketch(found: np.ndarray) -> bytes:
 
 
 def named(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, node, size, sketch of every row."""
+    """doc_id, node, size, sketch, fp (its fingerprint) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             sets = [shingles(x.as_py(), shingle) for x in batch.column(1)]
             columns = [
                 batch.column(0),
                 pa.array([node(s) for s in sets], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([sketch(s) for s in sets], pa.binary()),
+                pa.array([fingerprint(s) for s in sets], pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "sketch"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "sketch", "fp"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, node long, size long, sketch binary, fp long")
 
-    return _texts(docs).mapInArrow(run, "doc_id long, node long, size long, sketch binary")
+
+def near_fingerprints(rows: DataFrame, radius: int = simhash.RADIUS, blocks: int = simhash.BLOCKS) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints lie within ``radius`` bits, as stars; ``rows``: named(docs).
+
+    Of the sets of one fingerprint the smallest node stands for all: the others are paired with it,
+    and it with that of the smallest fingerprint within the radius in each shard.
+    """
+    nodes = cut_lineage(rows.select("node", "fp").distinct())
+    first = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = nodes.join(first, "fp").filter("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    found = cut_lineage(simhash.links(first.select("fp"), radius, blocks, direct=True).distinct())
+    of_a, of_b = (first.select(F.col("fp").alias(c), F.col("first").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+    pairs = equal.unionByName(found.join(of_a, "a").join(of_b, "b").select("x", "y"))
+    return cut_lineage(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
@@ -142,7 +180,7 @@ def _possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataF
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             if not batch.num_rows:
                 continue
             x, y = (
@@ -166,7 +204,7 @@ def _sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int) -> D
     """node, hashes of the nodes of ``pairs``; only their texts are moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             sets = [shingles(x.as_py(), shingle) for x in batch.column(0)]
             nodes = pa.array([node(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([nodes, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "hashes"])
@@ -212,9 +250,12 @@ def groups(docs: DataFrame, rows: DataFrame, shingle: int = SHINGLE, similarity:
         )
     )
 
-    sketches = cut_lineage(rows.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).drop("doc_id"))
-    first = shared.filter("before is not null").select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b"))
-    first = _possible(first, sketches, similarity)
+    # The sketch of a set without such a neighbour is missing, and its pairs with it: they can't be similar.
+    sketches = cut_lineage(
+        rows.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).drop("doc_id", "fp")
+    )
+    beside = shared.filter("before is not null").select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b"))
+    first = _possible(near_fingerprints(rows).unionByName(beside), sketches, similarity)
     edges = _confirmed(first, _sets(docs, rows, first, shingle), similarity)
     roots = cut_lineage(components(edges))
 

@@ -64,3 +64,19 @@ def test_stage_drops_near_copies_of_more_than_four_bits(spark, near):
     want = {c for c in plain_components(near)}
     assert {r.doc_id for r in kept.collect()} == want and len(want) < len(near)
     assert len({r.doc_id for r in kept.collect() if 15 < r.doc_id <= 30}) == 1  # one changed word each
+
+
+def test_stage_takes_pairs_from_simhash_trees(spark, near, monkeypatch):
+    docs = spark.createDataFrame(near, "doc_id long, text string")
+    rows = similar.named(docs).cache()
+    fps = {r.node: r.fp & (1 << 64) - 1 for r in rows.collect()}
+    close = {frozenset((a, b)) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 4}
+    got = {frozenset((r.a, r.b)) for r in similar.near_fingerprints(rows).collect()}
+    # Stars: each pair lies within the radius, and each set that has a partner is in a pair.
+    assert got <= close and len(got) > 10
+    assert {x for p in got for x in p} == {x for p in close for x in p}
+    asked = []
+    own = similar.near_fingerprints
+    monkeypatch.setattr(similar, "near_fingerprints", lambda rows: asked.append(1) or own(rows))
+    corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert asked
