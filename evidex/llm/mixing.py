@@ -150,34 +150,42 @@ def fit_rates(cells: DataFrame, weights: list[float]) -> DataFrame:
     """
     domains = range(len(weights))
 
-    def sums(rate: Column) -> list[Column]:
-        return [
-            F.coalesce(F.sum(F.col("tokens") * F.col("posterior")[k] * rate), F.lit(0.0)).alias(f"s{k}") for k in domains
-        ]
+    def sums(rows: DataFrame) -> list[float]:
+        found = [F.sum(F.col("tokens") * F.col("posterior")[k] * F.col("rate")) for k in domains]
+        return list(rows.agg(*(F.coalesce(s, F.lit(0.0)).alias(f"s{k}") for k, s in enumerate(found))).first())
 
     table = cut_lineage(cells.withColumn("rate", F.lit(1.0)))
-    size = list(table.agg(*sums(F.lit(1.0))).first())
+    size = sums(table)
     all_tokens = sum(size)
     target = [w / sum(weights) * all_tokens for w in weights]
     history: list[list[float]] = []
     before = None
-    for step in range(STEPS):
-        rate = reduce(_stepped, history, F.col("rate"))
-        now = list(table.agg(*sums(rate)).first())
+    for _ in range(STEPS):
+        now = sums(_stepped(table, history))
         moved = max((abs(a - b) for a, b in zip(now, before or target, strict=True)), default=0.0)
         if moved <= TOLERANCE * all_tokens:
             break
         before = now
         history.append([(s - t) / n if n > 0 else 0.0 for s, t, n in zip(now, target, size, strict=True)])
         if len(history) == CHAIN:
-            table = cut_lineage(table.withColumn("rate", reduce(_stepped, history, F.col("rate"))))
+            table = cut_lineage(_stepped(table, history))
             history = []
-    return table.withColumn("rate", reduce(_stepped, history, F.col("rate")))
+    return _stepped(table, history)
 
 
-def _stepped(rate: Column, gradient: list[float]) -> Column:
-    move = reduce(lambda a, k: a + F.col("posterior")[k] * F.lit(gradient[k]), range(len(gradient)), F.lit(0.0))
-    return F.greatest(F.lit(0.0), rate - move)
+def _stepped(table: DataFrame, history: list[list[float]]) -> DataFrame:
+    """``table`` after the steps along the gradients of ``history``.
+
+    Gradients are one constant array and not numbers in the plan, so Spark compiles one step's code for all steps.
+    """
+    if not history:
+        return table
+
+    def step(rate: Column, gradient: Column) -> Column:
+        moves = F.zip_with("posterior", gradient, lambda p, g: p * g)
+        return F.greatest(F.lit(0.0), rate - F.aggregate(moves, F.lit(0.0), lambda total, move: total + move))
+
+    return table.withColumn("rate", F.aggregate(F.lit(history), F.col("rate"), step))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:

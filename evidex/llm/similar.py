@@ -39,6 +39,8 @@ SIMILARITY = 0.8
 SAMPLE, FREQUENT, KEPT = 4000, 3, 100_000
 #: Orders of equal sizes, so that a set meets several neighbours in the first round.
 ORDERS = 4
+#: Sets under one shingle up to which they are paired by it; sets of fuller ones are compared by their rarest shingles.
+FEW = 8
 #: Rows of one shingle that a task pairs at once with as many others.
 BLOCK = 1024
 #: Parts of the hash range in a set's sketch (a power of two), and the count that stands for any larger one.
@@ -108,24 +110,29 @@ def frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     top = counts.orderBy(F.desc("count"), "h").limit(KEPT).toPandas()
     held = top["h"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(held)
-    return held[order], top["count"].to_numpy(dtype=np.int64)[order]
+    return held[order], top["count"].to_numpy(dtype=np.int64)[order] * every
 
 
-def prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """h, node, size, place: the first shingles of every text's set, rare ones before frequent ones."""
-    known, counts = frequent(docs, shingle)
+def first_ones(found: np.ndarray, held: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """As many of a set's shingles as two similar sets need to meet; those of ``held`` (sorted, with counts) last."""
+    known, counts = held
+    n = len(found)
+    level = np.zeros(n, dtype=np.int64)
+    if len(known) and n:
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        level = np.where(known[at] == found, counts[at], 0)
+    return found[np.lexsort((found, level))][: n - int(np.ceil(similarity * n - SLACK)) + 1]
+
+
+def prefixes(docs: DataFrame, held: tuple[np.ndarray, np.ndarray], shingle: int, similarity: float) -> DataFrame:
+    """h, node, size, place: the first shingles of every text's set, rare ones before the frequent ones ``held``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
             parts = []
             for x in batch.column(0):
                 found = shingles(x.as_py(), shingle)
-                n = len(found)
-                level = np.zeros(n, dtype=np.int64)
-                if len(known) and n:
-                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                    level = np.where(known[at] == found, counts[at], 0)
-                first = found[np.lexsort((found, level))][: n - int(np.ceil(similarity * n - SLACK)) + 1]
+                first, n = first_ones(found, held, similarity), len(found)
                 parts.append((first, np.full(len(first), node(found)), np.full(len(first), n), np.arange(len(first))))
             h, nodes, sizes, places = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0)] * 4
             columns = [h.astype(np.uint64).view(np.int64), *(x.astype(np.int64) for x in (nodes, sizes, places))]
@@ -200,8 +207,12 @@ def _possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataF
     return cut_lineage(met.mapInArrow(run, "a long, b long"))
 
 
-def _sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """node, hashes of the nodes of ``pairs``; only their texts are moved."""
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def _sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """node, hashes of the given ``nodes``; only their texts are moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
@@ -209,7 +220,7 @@ def _sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int) -> D
             nodes = pa.array([node(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([nodes, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "hashes"])
 
-    nodes = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    nodes = cut_lineage(nodes.select("node"))
     holders = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     texts = _texts(docs)
     wanted = texts.join(cut_lineage(holders.filter("doc_id is not null").distinct()), "doc_id", "left_semi")
@@ -230,11 +241,84 @@ def _confirmed(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFram
     return cut_lineage(pairs.join(left, "a").join(right, "b").filter(enough).select("a", "b"))
 
 
+def _several(rooted: DataFrame) -> DataFrame:
+    """The rows of ``rooted`` (h, node, size, place, root) whose shingle lies in several components, with ``n``, its rows."""
+    sizes = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
+    return cut_lineage(rooted.join(sizes.filter("lo < hi").select("h", "n"), "h"))
+
+
+def _fuller(met: DataFrame, held: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """``held`` and the fullest shingles of ``met``, ``KEPT`` at most."""
+    full = met.filter(F.col("n") > FEW).select("h", "n").distinct().orderBy(F.desc("n"), "h").limit(KEPT).toPandas()
+    every = np.concatenate([full["h"].to_numpy(dtype=np.int64).view(np.uint64), held[0]])
+    known, at = np.unique(every, return_index=True)
+    return known, np.concatenate([full["n"].to_numpy(dtype=np.int64), held[1]])[at]
+
+
+def later_prefixes(crowded: DataFrame, sets: DataFrame, held: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+    """h, node, size, place, root: the first shingles of the sets of ``crowded`` (node, root, size) if ``held`` come last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            parts = [first_ones(x.values.to_numpy().view(np.uint64), held, similarity).view(np.int64) for x in batch.column(3)]
+            if not parts:
+                continue
+            lengths = [len(x) for x in parts]
+            node, root, size = (np.repeat(batch.column(c).to_numpy(), lengths) for c in range(3))
+            columns = [np.concatenate(parts), node, size, np.concatenate([np.arange(n) for n in lengths]), root]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "node", "size", "place", "root"])
+
+    whole = crowded.join(sets, "node").select("node", "root", "size", "hashes")
+    return cut_lineage(whole.mapInArrow(run, "h long, node long, size long, place long, root long"))
+
+
+def rare_prefixes(crowded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """h, node, size, place, root: the first shingles of the sets of ``crowded`` (node, root, size), the rarest
+    among these sets first.
+
+    Shingles of one set alone come first and bring no pair; a set that has too many of them has no partner.
+    """
+    spread = cut_lineage(crowded.join(sets, "node").select("node", "root", "size", F.explode("hashes").alias("h")))
+    held = spread.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("n > 1")
+    entry = F.struct("n", "h", (F.col("lo") < F.col("hi")).alias("apart"))
+    least = F.ceil(F.col("size") * similarity - SLACK).cast("int")
+    ordered = (
+        spread.join(held, "h")
+        .groupBy("node", "root", "size")
+        .agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+        .filter(F.size("entries") >= least)
+    )
+    first = F.slice("entries", 1, F.size("entries") - least + 1)
+    alone = F.col("size") - F.size("entries")
+    placed = ordered.select("node", "root", "size", alone.alias("alone"), F.posexplode(first).alias("at", "entry"))
+    return cut_lineage(
+        placed.filter("entry.apart").select("entry.h", "node", "size", (F.col("alone") + F.col("at")).alias("place"), "root")
+    )
+
+
+def _apart(met: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes of ``met`` (h, node, size, place, root) that differ in root and have room for enough
+    common shingles from this one on: the first that a pair has in common lets it pass if it is similar enough."""
+    names = ["node", "size", "place", "root", "side"]
+    blocked = cut_lineage(block_pairs(met.select("h", *names[:-1]), ["h"], F.col("node"), BLOCK))
+    x = blocked.select("h", "lo", "hi", *(F.col(c).alias(f"{c}_x") for c in names))
+    y = blocked.select("h", "lo", "hi", *(F.col(c).alias(f"{c}_y") for c in names))
+    most = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
+    least = F.lit(similarity / (1 + similarity)) * (F.col("size_x") + F.col("size_y"))
+    return (
+        x.join(y, ["h", "lo", "hi"])
+        .filter("root_x <> root_y and (side_x = 2 and node_x < node_y or side_x = 0 and side_y = 1)")
+        .filter(_fits("size_x", "size_y", similarity) & (most + F.lit(1e-6) >= least))
+        .select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+    )
+
+
 def groups(docs: DataFrame, rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """node, root of every set of shingles that is similar enough to another one; ``rows``: named(docs)."""
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
-    first = prefixes(docs, shingle, similarity).repartition("h").dropDuplicates(["h", "node"])
+    held = frequent(docs, shingle)
+    first = prefixes(docs, held, shingle, similarity).repartition("h").dropDuplicates(["h", "node"])
     ordered = Window.partitionBy("h").orderBy("size", F.xxhash64("node", F.pmod("h", F.lit(ORDERS))), "node")
     beside = first.select(
         "*",
@@ -256,26 +340,23 @@ def groups(docs: DataFrame, rows: DataFrame, shingle: int = SHINGLE, similarity:
     )
     beside = shared.filter("before is not null").select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b"))
     first = _possible(near_fingerprints(rows).unionByName(beside), sketches, similarity)
-    edges = _confirmed(first, _sets(docs, rows, first, shingle), similarity)
+    edges = _confirmed(first, _sets(docs, rows, _ends(first), shingle), similarity)
     roots = cut_lineage(components(edges))
 
-    rooted = shared.join(roots, "node", "left").select("h", "node", "size", "place", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
-    blocked = cut_lineage(block_pairs(rooted.join(several, "h", "left_semi"), ["h"], F.col("node"), BLOCK))
-    names = ["node", "size", "place", "root", "side"]
-    x = blocked.select("h", "lo", "hi", *(F.col(c).alias(f"{c}_x") for c in names))
-    y = blocked.select("h", "lo", "hi", *(F.col(c).alias(f"{c}_y") for c in names))
-    rest = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
-    most = F.least("place_x", "place_y") + rest  # of the shared shingles before this one, and from it on
-    least = F.lit(similarity / (1 + similarity)) * (F.col("size_x") + F.col("size_y"))
-    apart = (
-        x.join(y, ["h", "lo", "hi"])
-        .filter("root_x <> root_y and (side_x = 2 and node_x < node_y or side_x = 0 and side_y = 1)")
-        .filter(_fits("size_x", "size_y", similarity) & (most + F.lit(1e-6) >= least))
-        .select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+    rooted = cut_lineage(
+        shared.join(roots, "node", "left").select("h", "node", "size", "place", F.coalesce("root", "node").alias("root"))
     )
+    met = _several(rooted)
+    few = _apart(met.filter(F.col("n") <= FEW), similarity)
+    crowded = cut_lineage(met.filter(F.col("n") > FEW).select("node", "root", "size").distinct())
+    sets = _sets(docs, rows, crowded, shingle)
+    again = _several(later_prefixes(crowded, sets, _fuller(met, held), similarity))
+    some = _apart(again.filter(F.col("n") <= FEW), similarity)
+    crowded = cut_lineage(again.filter(F.col("n") > FEW).select("node", "root", "size").distinct())
+    many = _apart(rare_prefixes(crowded, sets, similarity), similarity)
+    apart = few.unionByName(some).unionByName(many)
     apart = _possible(apart, sketches, similarity)
-    more = _confirmed(apart, _sets(docs, rows, apart, shingle), similarity)
+    more = _confirmed(apart, _sets(docs, rows, _ends(apart), shingle), similarity)
     return components(edges.unionByName(more))
 
 

@@ -80,3 +80,21 @@ def test_stage_takes_pairs_from_simhash_trees(spark, near, monkeypatch):
     monkeypatch.setattr(similar, "near_fingerprints", lambda rows: asked.append(1) or own(rows))
     corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
     assert asked
+
+
+def test_full_shingles_lose_no_pair(spark, near, monkeypatch):
+    docs = spark.createDataFrame(near, "doc_id long, text string").repartition(5)
+    want = sorted((d, c) for (d, _), c in zip(near, plain_components(near), strict=True))
+    for few in (0, 2, 1 << 20):
+        monkeypatch.setattr(similar, "FEW", few)
+        assert sorted((r.doc_id, r.component_id) for r in similar.near_duplicates(docs).collect()) == want
+
+
+def test_pairs_of_a_family_of_unlike_copies_grow_with_its_size(spark, monkeypatch):
+    met = []
+    own = similar._possible
+    monkeypatch.setattr(similar, "_possible", lambda pairs, *rest: met.append(pairs.count()) or own(pairs, *rest))
+    for n in (40, 160):
+        docs = spark.createDataFrame(list(enumerate(copies(7, n, 3))), "doc_id long, text string")
+        assert similar.near_duplicates(docs).filter("kept").count() > 0.95 * n  # three changed words: similarity about 0.6
+        assert met.pop() <= 8 * n  # the second round; all pairs would be n * (n - 1) / 2
