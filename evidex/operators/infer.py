@@ -86,7 +86,8 @@ def similar_sets(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     Two such sets share a term among the rarest ``n - ceil(t n) + 1`` of each. Pairs meet on
     that term and a size class, and are bounded by size and by the terms still to come. Each set
     has a bitmap of its terms' hashes: a bit of one set that the other has not is a term that the
-    other has not, which bounds what both share without moving the sets. Pairs that are left are
+    other has not, which bounds what both share without moving the sets. The bitmap lies in the
+    rows that meet, so a pair that it rules out is never written or moved. Pairs that are left are
     verified exactly. Result: set_a < set_b, similarity.
     """
     # Terms stand as 64-bit hashes from here on: two terms of a pair of sets that fall together
@@ -94,31 +95,32 @@ def similar_sets(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     sets = sets.select("set_no", "set_id", F.transform("terms", lambda t: F.xxhash64(t)).alias("terms"))
     spread = sets.select("set_no", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     rarity = spread.groupBy("term").agg(F.count("*").alias("df"))
-    bitmaps = cut_lineage(_bitmaps(spread))
     # A term of one set alone brings no pair together.
-    ordered = (
+    ordered = cut_lineage(
         spread.join(rarity, "term")
         .groupBy("set_no", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("by_rarity"))
+        .agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("by_rarity"), *_bitmap())
     )
     keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
+    maps = [f"b{i}" for i in range(BITMAP)]
     prefix = (
         ordered.select(
-            "set_no", "n", F.posexplode(F.slice("by_rarity", 1, keep)).alias("pos", "entry")
+            "set_no", "n", *maps, F.posexplode(F.slice("by_rarity", 1, keep)).alias("pos", "entry")
         )
         .filter("entry.df > 1")
         .select(
             "set_no", "n", "pos", F.col("entry.term").alias("term"),
-            _size_class(F.col("n"), threshold).alias("cls"),
+            _size_class(F.col("n"), threshold).alias("cls"), *maps,
         )
     )
     left = prefix.select(
         F.col("set_no").alias("small"), F.col("n").alias("n_small"), F.col("pos").alias("p_small"),
         "term", F.explode(F.array("cls", F.col("cls") + 1)).alias("cls"),
+        *(F.col(c).alias(f"small_{c}") for c in maps),
     )
     right = prefix.select(
         F.col("set_no").alias("large"), F.col("n").alias("n_large"), F.col("pos").alias("p_large"),
-        "term", "cls",
+        "term", "cls", *(F.col(c).alias(f"large_{c}") for c in maps),
     )
     ordered_pair = (F.col("n_small") < F.col("n_large")) | (
         (F.col("n_small") == F.col("n_large")) & (F.col("small") < F.col("large"))
@@ -135,11 +137,12 @@ def similar_sets(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
             ordered_pair
             & (F.col("n_small") >= F.col("n_large") * threshold - 1e-9)
             & (possible >= needed)
+            & (_shared_at_most() >= needed)
         )
         .select("small", "large")
         .distinct()
     )
-    met = cut_lineage(_may_share(met, bitmaps, needed))
+    met = cut_lineage(met)
 
     def side(number: str, name: str, terms: str) -> DataFrame:
         return sets.select(
@@ -158,27 +161,21 @@ def similar_sets(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     ).filter(F.col("similarity") >= threshold)
 
 
-def _bitmaps(spread: DataFrame) -> DataFrame:
-    """set_no, n and the ``BITMAP`` longs of each set's bitmap; ``spread``: set_no, n, term hash."""
+def _bitmap() -> list[Column]:
+    """The ``BITMAP`` longs of a set's bitmap, over its term hashes ``term``."""
     word = F.pmod(F.shiftright("term", 6), F.lit(BITMAP))
     bit = F.expr("shiftleft(1L, cast(term & 63 as int))")
-    maps = [F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0).cast("long")).alias(f"b{i}") for i in range(BITMAP)]
-    return spread.groupBy("set_no", "n").agg(*maps)
+    return [F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0).cast("long")).alias(f"b{i}") for i in range(BITMAP)]
 
 
-def _may_share(pairs: DataFrame, bitmaps: DataFrame, needed: Column) -> DataFrame:
-    """The ``pairs`` (small, large) whose bitmaps leave at least ``needed`` terms in common."""
-
-    def side(name: str) -> DataFrame:
-        maps = [F.col(f"b{i}").alias(f"{name}_{i}") for i in range(BITMAP)]
-        return bitmaps.select(F.col("set_no").alias(name), F.col("n").alias(f"n_{name}"), *maps)
+def _shared_at_most() -> Column:
+    """As many terms as the bitmaps of a pair of sets, small and large, leave in common at most."""
 
     def only(name: str, other: str) -> Column:
-        own = [F.bit_count(F.col(f"{name}_{i}").bitwiseAND(F.bitwise_not(F.col(f"{other}_{i}")))) for i in range(BITMAP)]
+        own = [F.bit_count(F.col(f"{name}_b{i}").bitwiseAND(F.bitwise_not(F.col(f"{other}_b{i}")))) for i in range(BITMAP)]
         return F.col(f"n_{name}") - reduce(Column.__add__, own)
 
-    most = F.least(only("small", "large"), only("large", "small"))
-    return pairs.join(side("small"), "small").join(side("large"), "large").filter(most >= needed).select("small", "large")
+    return F.least(only("small", "large"), only("large", "small"))
 
 
 def _size_class(n: Column, threshold: float) -> Column:
