@@ -12,7 +12,8 @@ and BK-trees over shards (``simhash``) give the smallest fingerprint within the
 of 64 bits reaches all pairs of similarity t, so each set also meets its neighbours by size under
 each shared shingle. Both are confirmed, which joins most members of a large group; the second
 round compares by prefixes all candidates not yet in one component, so that no pair is lost.
-Two unconnected groups under one shingle still meet in all their pairs of fitting size.
+Under a shingle of few sets they meet in it; the sets of full shingles get new prefixes, in which
+the full shingles come last, and those still crowded are ordered by their exact rarity among them.
 
 Defined cases: extra columns are ignored, an empty table gives an empty result, a null id never
 names a component if one of its rows has an id; words are those of ``simhash.fingerprint``; a text of fewer words than a shingle is
