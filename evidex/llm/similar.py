@@ -142,6 +142,25 @@ def prefixes(docs: DataFrame, held: tuple[np.ndarray, np.ndarray], shingle: int,
     return _texts(docs).select("text").mapInArrow(run, "h long, node long, size long, place long")
 
 
+def shared_prefixes(first: DataFrame, similarity: float) -> DataFrame:
+    """h, node, size, place, before: the rows of ``prefixes`` with a neighbour of fitting size under their shingle.
+
+    Neighbours stand beside each other by size; ``before`` is the smaller one, if it fits. A set that
+    has no such neighbour has no partner under this shingle.
+    """
+    once = first.repartition("h").dropDuplicates(["h", "node"])
+    ordered = Window.partitionBy("h").orderBy("size", F.xxhash64("node", F.pmod("h", F.lit(ORDERS))), "node")
+    beside = once.select(
+        "*",
+        F.lag("node").over(ordered).alias("before"),
+        F.lag("size").over(ordered).alias("size_before"),
+        F.lead("size").over(ordered).alias("size_after"),
+    )
+    # least and greatest pass over null: where there is no neighbour, a size would fit itself.
+    near, after = (F.col(c).isNotNull() & _fits("size", c, similarity) for c in ("size_before", "size_after"))
+    return cut_lineage(beside.filter(near | after).select("h", "node", "size", "place", F.when(near, F.col("before")).alias("before")))
+
+
 def sketch(found: np.ndarray) -> bytes:
     """How many shingles fall into each of ``BUCKETS`` parts of the hash range, ``FULL`` for as many or more."""
     counts = np.bincount((found >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), minlength=BUCKETS)
@@ -212,8 +231,16 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
+def _holders(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """doc_id, text that hold the sets of the given ``nodes``, one each; texts of repeated or null ids may be others."""
+    holders = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    texts = _texts(docs)
+    wanted = texts.join(cut_lineage(holders.filter("doc_id is not null").distinct()), "doc_id", "left_semi")
+    return wanted.unionByName(texts.filter("doc_id is null"))
+
+
 def _sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """node, hashes of the given ``nodes``; only their texts are moved."""
+    """node, hashes of the given ``nodes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
@@ -222,10 +249,7 @@ def _sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int) -> D
             yield pa.RecordBatch.from_arrays([nodes, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "hashes"])
 
     nodes = cut_lineage(nodes.select("node"))
-    holders = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    texts = _texts(docs)
-    wanted = texts.join(cut_lineage(holders.filter("doc_id is not null").distinct()), "doc_id", "left_semi")
-    hashed = wanted.unionByName(texts.filter("doc_id is null")).select("text").mapInArrow(run, "node long, hashes array<long>")
+    hashed = _holders(docs, rows, nodes).select("text").mapInArrow(run, "node long, hashes array<long>")
     return cut_lineage(hashed.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
 
 
@@ -256,21 +280,15 @@ def _fuller(met: DataFrame, held: tuple[np.ndarray, np.ndarray]) -> tuple[np.nda
     return known, np.concatenate([full["n"].to_numpy(dtype=np.int64), held[1]])[at]
 
 
-def later_prefixes(crowded: DataFrame, sets: DataFrame, held: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
-    """h, node, size, place, root: the first shingles of the sets of ``crowded`` (node, root, size) if ``held`` come last."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches):
-            parts = [first_ones(x.values.to_numpy().view(np.uint64), held, similarity).view(np.int64) for x in batch.column(3)]
-            if not parts:
-                continue
-            lengths = [len(x) for x in parts]
-            node, root, size = (np.repeat(batch.column(c).to_numpy(), lengths) for c in range(3))
-            columns = [np.concatenate(parts), node, size, np.concatenate([np.arange(n) for n in lengths]), root]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "node", "size", "place", "root"])
+def later_prefixes(
+    docs: DataFrame, rows: DataFrame, crowded: DataFrame, held: tuple[np.ndarray, np.ndarray], shingle: int, similarity: float
+) -> DataFrame:
+    """h, node, size, place, root: the shared first shingles of the sets of ``crowded`` (node, root, size) if ``held`` come last.
 
-    whole = crowded.join(sets, "node").select("node", "root", "size", "hashes")
-    return cut_lineage(whole.mapInArrow(run, "h long, node long, size long, place long, root long"))
+    They are made from the texts: whole sets, several times the texts, are neither moved nor written.
+    """
+    first = prefixes(_holders(docs, rows, crowded), held, shingle, similarity)
+    return cut_lineage(shared_prefixes(first, similarity).drop("before").join(crowded.select("node", "root"), "node"))
 
 
 def rare_prefixes(crowded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -319,21 +337,7 @@ def groups(docs: DataFrame, rows: DataFrame, shingle: int = SHINGLE, similarity:
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
     held = frequent(docs, shingle)
-    first = prefixes(docs, held, shingle, similarity).repartition("h").dropDuplicates(["h", "node"])
-    ordered = Window.partitionBy("h").orderBy("size", F.xxhash64("node", F.pmod("h", F.lit(ORDERS))), "node")
-    beside = first.select(
-        "*",
-        F.lag("node").over(ordered).alias("before"),
-        F.lag("size").over(ordered).alias("size_before"),
-        F.lead("size").over(ordered).alias("size_after"),
-    )
-    # A set with no neighbour of fitting size has no partner under this shingle.
-    near = F.coalesce(_fits("size", "size_before", similarity), F.lit(False))
-    shared = cut_lineage(
-        beside.filter(near | F.coalesce(_fits("size", "size_after", similarity), F.lit(False))).select(
-            "h", "node", "size", "place", F.when(near, F.col("before")).alias("before")
-        )
-    )
+    shared = shared_prefixes(prefixes(docs, held, shingle, similarity), similarity)
 
     # The sketch of a set without such a neighbour is missing, and its pairs with it: they can't be similar.
     sketches = cut_lineage(
@@ -350,11 +354,10 @@ def groups(docs: DataFrame, rows: DataFrame, shingle: int = SHINGLE, similarity:
     met = _several(rooted)
     few = _apart(met.filter(F.col("n") <= FEW), similarity)
     crowded = cut_lineage(met.filter(F.col("n") > FEW).select("node", "root", "size").distinct())
-    sets = _sets(docs, rows, crowded, shingle)
-    again = _several(later_prefixes(crowded, sets, _fuller(met, held), similarity))
+    again = _several(later_prefixes(docs, rows, crowded, _fuller(met, held), shingle, similarity))
     some = _apart(again.filter(F.col("n") <= FEW), similarity)
     crowded = cut_lineage(again.filter(F.col("n") > FEW).select("node", "root", "size").distinct())
-    many = _apart(rare_prefixes(crowded, sets, similarity), similarity)
+    many = _apart(rare_prefixes(crowded, _sets(docs, rows, crowded, shingle), similarity), similarity)
     apart = few.unionByName(some).unionByName(many)
     apart = _possible(apart, sketches, similarity)
     more = _confirmed(apart, _sets(docs, rows, _ends(apart), shingle), similarity)

@@ -98,3 +98,14 @@ def test_pairs_of_a_family_of_unlike_copies_grow_with_its_size(spark, monkeypatc
         docs = spark.createDataFrame(list(enumerate(copies(7, n, 3))), "doc_id long, text string")
         assert similar.near_duplicates(docs).filter("kept").count() > 0.95 * n  # three changed words: similarity about 0.6
         assert met.pop() <= 8 * n  # the second round; all pairs would be n * (n - 1) / 2
+
+
+def test_lone_shingles_are_written_nowhere(spark, monkeypatch):
+    written = []
+    own = similar.cut_lineage
+    monkeypatch.setattr(similar, "cut_lineage", lambda df: written.append(own(df)) or written[-1])
+    texts = [t for seed in range(30) for t in copies(seed, 1, 0)]  # nothing in common
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert similar.near_duplicates(docs).filter("kept").count() == 30
+    with_shingles = [df for df in written if "h" in df.columns]
+    assert with_shingles and sum(df.count() for df in with_shingles) == 0
