@@ -185,6 +185,25 @@ def _order(step: Column) -> Column:
     return F.struct(step["name"], step["edge_id"])
 
 
+#: Prefixes that end in one node and meet its neighbours in one task, about.
+CROWD = 10_000
+
+
+def meet(prefixes: DataFrame, lists: DataFrame) -> DataFrame:
+    """``prefixes`` (person_id, node, ...) joined with the row of their node in ``lists``.
+
+    A node of more than ``CROWD`` prefixes has its list copied to as many parts as it fills.
+    """
+    crowded = cut_lineage(
+        prefixes.groupBy("node").count().filter(F.col("count") > CROWD)
+        .select("node", F.ceil(F.col("count") / CROWD).cast("int").alias("parts"))
+    )
+    parts = F.coalesce(F.col("parts"), F.lit(1))
+    dealt = prefixes.join(crowded, "node", "left").withColumn("part", F.pmod(F.xxhash64("person_id"), parts.cast("long")).cast("int"))
+    copied = lists.join(crowded, "node", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.drop("parts").join(copied.drop("parts"), ["node", "part"])
+
+
 def graph_paths(
     subjects: DataFrame,
     nodes: DataFrame,
@@ -197,7 +216,9 @@ def graph_paths(
     Paths follow edges in both directions and use no edge twice. Hubs do not multiply:
     within one order of paths only the first ``limit`` prefixes that can be extended, and
     the first ``limit`` + 3 neighbours of a node, can still contribute, so the caps between
-    hops lose nothing. Limiting happens per map task before each shuffle.
+    hops lose nothing. A prefix meets its node's neighbours as one sorted list, and is multiplied
+    only as far as its person still needs paths. Prefixes that end in one hub are dealt to several
+    tasks. Shorter paths come first, so a person who has ``limit`` of them gets no longer ones.
 
     ``subjects``: person_id. Result: person_id, position, hops, nodes, relationships,
     edge_ids, evidence_persons, score.
@@ -221,42 +242,51 @@ def graph_paths(
     )
     per_person = Window.partitionBy("person_id").orderBy("order_key")
 
-    def keep_first(paths: DataFrame) -> DataFrame:
-        ordered = paths.withColumn("order_key", F.transform("path", _order))
-        return (
-            ordered.withColumn("_n", F.row_number().over(per_person))
-            .filter(f"_n <= {limit}")
-            .drop("_n", "order_key")
-        )
-
-    def extend(prefixes: DataFrame, neighbours: DataFrame) -> DataFrame:
+    def extend(prefixes: DataFrame, neighbours: DataFrame, own_degree: Column | None = None) -> DataFrame:
+        """The first ``limit`` extensions per person; with ``own_degree``, back at the start only if it is 3 or more."""
+        lists = neighbours.groupBy("node").agg(F.sort_array(F.collect_list("step")).alias("steps"))
         used = F.transform("path", lambda s: s["edge_id"])
+
+        def fits(step: Column) -> Column:
+            fresh = ~F.array_contains(used, step["edge_id"])
+            return fresh if own_degree is None else fresh & ((step["nbr"] != F.col("person_id")) | (own_degree >= 3))
+
+        options = F.filter("steps", fits)
+        counted = (
+            meet(prefixes.withColumn("node", F.element_at("path", -1)["nbr"]), lists)
+            .select("person_id", "path", F.slice(options, 1, limit).alias("options"))
+            .withColumn("order_key", F.transform("path", _order))
+        )
+        taken = F.coalesce(F.sum(F.size("options")).over(per_person.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         return (
-            prefixes.withColumn("node", F.element_at("path", -1)["nbr"])
-            .join(neighbours.select("node", "step"), "node")
-            .filter(~F.array_contains(used, F.col("step.edge_id")))
+            counted.withColumn("left", (F.lit(limit) - taken).cast("int"))
+            .filter(F.col("left") > 0)
+            .select("person_id", "path", F.explode(F.slice("options", F.lit(1), F.col("left"))).alias("step"))
             .select("person_id", F.array_append("path", F.col("step")).alias("path"))
         )
 
     starts = subjects.select("person_id").distinct().withColumn("node", F.col("person_id"))
 
     def first_steps(neighbours: DataFrame) -> DataFrame:
-        return starts.join(neighbours, "node").select("person_id", F.array("step").alias("path"))
+        rows = starts.join(neighbours, "node").select("person_id", F.array("step").alias("path"))
+        ordered = rows.withColumn("order_key", F.transform("path", _order)).withColumn("_n", F.row_number().over(per_person))
+        return ordered.filter(f"_n <= {limit}").drop("_n", "order_key")
+
+    levels = [cut_lineage(first_steps(ends))]
+
+    def unfinished(prefixes: DataFrame) -> DataFrame:
+        """``prefixes`` of persons who have fewer than ``limit`` paths so far."""
+        done = reduce(DataFrame.unionByName, levels).groupBy("person_id").count().filter(F.col("count") >= limit)
+        return cut_lineage(prefixes.join(done, "person_id", "left_anti"))
 
-    levels = [keep_first(first_steps(ends))]
     if max_hops >= 2:
-        one = cut_lineage(keep_first(first_steps(through)))
-        levels.append(keep_first(extend(one, ends)))
+        one = unfinished(first_steps(through))
+        levels.append(cut_lineage(extend(one, ends)))
     if max_hops == 3:
         # Back at the start, the node needs an edge besides the two already used.
         own = degree.select(F.col("node").alias("person_id"), F.col("degree").alias("own_degree"))
-        two = (
-            extend(one, through)
-            .join(own, "person_id")
-            .filter((F.element_at("path", -1)["nbr"] != F.col("person_id")) | (F.col("own_degree") >= 3))
-            .drop("own_degree")
-        )
-        levels.append(keep_first(extend(keep_first(two), ends)))
+        two = extend(unfinished(one).join(own, "person_id"), through, F.col("own_degree"))
+        levels.append(cut_lineage(extend(cut_lineage(two), ends)))
     return number_paths(reduce(DataFrame.unionByName, levels), nodes, ["person_id"], limit)
 
 

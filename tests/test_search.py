@@ -252,6 +252,26 @@ def test_paths_against_brute_force(spark, hops, limit):
         G.graph_paths(subjects, nodes, edges, 4)
 
 
+def test_paths_behind_a_hub_stop_at_the_limit(spark, monkeypatch):
+    links = [(f"p{i:02}", f"h{i % 2}") for i in range(40)] + [(f"p{i:02}", "all") for i in range(40)] + [("lone", "end")]
+    edges = G.make_edges(spark.createDataFrame(links, "s string, d string"), "Person", "HAS_SKILL", "Skill", "s", "d", "s")
+    ids = sorted({x for pair in links for x in pair})
+    nodes = spark.createDataFrame([(i, "Any", i, i) for i in ids], "node_id string, node_type string, name string, key string")
+    subjects = spark.createDataFrame([(s,) for s in sorted({s for s, _ in links})], "person_id string")
+    written = []
+    own = G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda df: written.append(own(df)) or written[-1])
+    monkeypatch.setattr(G, "CROWD", 3)  # hubs in several parts
+    got = {}
+    for r in G.graph_paths(subjects, nodes, edges, 3, 5).orderBy("person_id", "position").collect():
+        got.setdefault(r.person_id, []).append(tuple(zip(r.nodes[1:], r.edge_ids)))
+    edge_rows, node_rows = edges.collect(), nodes.collect()
+    for p in sorted({s for s, _ in links}):
+        assert got.get(p, []) == brute_paths(node_rows, edge_rows, p, 3, 5)
+    hops = [r.size for df in written if "path" in df.columns for r in df.selectExpr("size(path) AS size").collect()]
+    assert max(hops) == 2  # everybody but the lone person has five paths of up to two hops
+
+
 def test_relevant_paths(spark, corpus, graph):
     nodes, edges = graph
     everyone = corpus.people.select(F.lit("q").alias("query_id"), "person_id")
