@@ -8,13 +8,15 @@ answers alone; the corpus is not read. What the outcomes change goes back into t
 a second source of the same stream, before the next delivery. Accepted documents are merged into a
 bucketed table, of which only the touched buckets are written.
 
-State rows pass through one at a time, so a checksum that a large share of the rows has needs no
+Keys share state values by slots of their hash, so calls into the state grow with the slots and not
+with the documents. Rows pass through one at a time, so a checksum that a large share of the rows has needs no
 memory; the first owner within a delivery comes from an aggregate that combines before its shuffle.
 Replayed batches overwrite their own folders and set equal facts again.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -39,23 +41,32 @@ _LOG = DOCUMENT + ", delivery long, document_id string, checksum string"
 _ANSWER = "kind string, key string, value string, version long, asked boolean, document_id string, checksum string, delivery long"
 
 
+#: Parts of the key space, each one value of the state; fixed for a checkpoint. A call into the state takes
+#: about a millisecond, so many keys share one; a part holds the facts of all its keys.
+SLOTS = 1 << 15
+
+
 class Facts(StatefulProcessor):
-    """Per key the newest fact; a question is answered with the fact as of the batch's start."""
+    """Per key of a slot the newest fact; a question is answered with the fact as of the batch's start."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.fact = handle.getValueState("fact", "value string, version long")
+        self.slot = handle.getValueState("slot", "facts string")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
-        value, version = self.fact.get() or (None, -1)
-        newest = (value, version)
+        stored = self.slot.get()
+        held = {(kind, name): (value, version) for kind, name, value, version in json.loads(stored[0])} if stored else {}
+        newest: dict[tuple[str, str], tuple[str, int]] = {}
         for r in rows:
+            own = (r.kind, r.key)
+            value, version = held.get(own, (None, -1))
             if r.asked:
-                yield Row(kind=key[0], key=key[1], value=value, version=version, asked=True, document_id=r.document_id, checksum=r.checksum, delivery=r.delivery)
-            elif r.version > newest[1]:
-                newest = (r.value, r.version)
-        if newest[1] > version:
-            self.fact.update(newest)
-            yield Row(kind=key[0], key=key[1], value=newest[0], version=newest[1], asked=False, document_id=None, checksum=None, delivery=None)
+                yield Row(kind=r.kind, key=r.key, value=value, version=version, asked=True, document_id=r.document_id, checksum=r.checksum, delivery=r.delivery)
+            elif r.version > newest.get(own, (value, version))[1]:
+                newest[own] = (r.value, r.version)
+        if newest:
+            self.slot.update((json.dumps([[*own, *fact] for own, fact in (held | newest).items()]),))
+        for (kind, name), (value, version) in newest.items():
+            yield Row(kind=kind, key=name, value=value, version=version, asked=False, document_id=None, checksum=None, delivery=None)
 
     def close(self) -> None:
         pass
@@ -157,7 +168,8 @@ def _answers(spark: SparkSession, to: Delivery) -> DataFrame:
         "kind", "key", "value", "version", F.lit(False).alias("asked"),
         none.alias("document_id"), none.alias("checksum"), F.lit(None).cast("long").alias("delivery"),
     )
-    return asked.unionByName(known).groupBy("kind", "key").transformWithState(Facts(), _ANSWER, "append", "None")
+    slotted = asked.unionByName(known).withColumn("slot", F.pmod(F.xxhash64("kind", "key"), F.lit(SLOTS)))
+    return slotted.groupBy("slot").transformWithState(Facts(), _ANSWER, "append", "None")
 
 
 def stored_facts(answers: DataFrame) -> DataFrame:

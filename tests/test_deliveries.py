@@ -6,6 +6,7 @@ from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Row
 
 from evidex.schemas import TABLES
 from evidex.sources.buckets import BucketTable, CorpusStore
@@ -146,3 +147,41 @@ def test_corpus_store(spark, tmp_path):
     corpus = store.read()
     assert corpus.document_chunks.count() == 1 and corpus.person_skills.count() == 2 and corpus.people.count() == 0
     assert store.vacuum() > 0 and store.read().document_chunks.count() == 1
+
+
+def test_keys_of_a_slot_share_one_state_value():
+    class Value:
+        held, calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.held
+
+        def update(self, value):
+            self.calls.append("update")
+            self.held = value
+
+    class Handle:
+        def getValueState(self, name, schema):  # noqa: N802
+            return value
+
+    value = Value()
+    facts = stateful.Facts()
+    facts.init(Handle())
+    none = {"document_id": None, "checksum": None, "delivery": None}
+
+    def told(i, text, version):
+        return Row(kind="document", key=f"k{i}", value=text, version=version, asked=False, **none)
+
+    def ask(i):
+        return Row(kind="document", key=f"k{i}", value=None, version=None, asked=True, document_id=f"k{i}", checksum="c", delivery=0)
+
+    def run(*rows):
+        value.calls.clear()
+        out = list(facts.handleInputRows((0,), iter(rows), None))
+        return [(r.key, r.value, r.version, r.asked) for r in out]
+
+    assert run(*[told(i, f"c{i}", 0) for i in range(100)], ask(3)) == [("k3", None, -1, True)] + [(f"k{i}", f"c{i}", 0, False) for i in range(100)]
+    assert value.calls == ["get", "update"]
+    assert run(told(3, None, 2), told(3, "late", 1), ask(3), ask(4)) == [("k3", "c3", 0, True), ("k4", "c4", 0, True), ("k3", None, 2, False)]
+    assert run(ask(3), told(4, "old", 0)) == [("k3", None, 2, True)] and value.calls == ["get"]
