@@ -49,17 +49,21 @@ def ratio(found: Column, asked: Column) -> Column:
 
 
 def _mean_of_given(*parts: Column) -> Column:
-    given = F.filter(F.array(*parts), lambda p: p.isNotNull())
-    total = F.aggregate(given, F.lit(0.0), lambda acc, p: acc + p)
-    return F.when(F.size(given) > 0, total / F.size(given)).otherwise(F.lit(0.0))
+    given = reduce(lambda a, b: a + b, [p.isNotNull().cast("int") for p in parts])
+    total = reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0.0)) for p in parts])
+    return F.when(given > 0, total / given).otherwise(F.lit(0.0))
+
+
+def role_words(role: Column) -> Column:
+    """Words of a role that a title is searched for."""
+    return F.filter(split_words(F.lower(role)), lambda w: F.length(w) > 2)
 
 
 def experience_score(
-    role: Column, seniority: Column, min_years: Column, title: Column, years: Column
+    role: Column, words: Column, seniority: Column, min_years: Column, title: Column, years: Column
 ) -> Column:
-    """Mean of role words in the title, seniority in the title and years met (H8)."""
+    """Mean of role ``words`` (``role_words``) in the title, seniority in the title and years met (H8)."""
     shown = F.lower(F.coalesce(title, F.lit("")))
-    words = F.filter(split_words(F.lower(role)), lambda w: F.length(w) > 2)
     found = F.size(F.filter(words, lambda w: F.contains(shown, w)))
     by_role = F.when(
         F.coalesce(role, F.lit("")) != "",
@@ -129,6 +133,7 @@ def score_pool(
         joined = joined.join(graph.groupBy(*pair).agg(F.max("value").alias("graph")), pair, "left")
     q = queries.select(
         "query_id", "role", "seniority", "has_hard_filters", "all_cities", "min_years_experience",
+        role_words(F.col("role")).alias("role_words"),  # once per query, not per pair
         F.col("country").alias("q_country"), "w_skills", "w_domains", "w_preference",
     )
     p = people.select(
@@ -140,7 +145,7 @@ def score_pool(
         ratio(F.col("skill_hits"), F.col("w_skills")).alias("skills"),
         ratio(F.col("domain_hits"), F.col("w_domains")).alias("domains"),
         experience_score(
-            F.col("role"), F.col("seniority"), F.col("min_years_experience"),
+            F.col("role"), F.col("role_words"), F.col("seniority"), F.col("min_years_experience"),
             F.col("current_title"), F.col("years_experience"),
         ).alias("experience"),
         F.coalesce("graph", F.lit(0.0)).alias("graph"),

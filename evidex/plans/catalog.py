@@ -125,24 +125,22 @@ def supplier_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def member_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """kind, person_id, entity_id of everything a customer has to do with, as often as it occurs."""
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
     both = F.array(
         F.struct(F.lit("skill").alias("kind"), F.col("p_brand").alias("entity_id")),
         F.struct(F.lit("technology").alias("kind"), F.col("p_type").alias("entity_id")),
     )
-    parts = (
-        part_links(spark, sf).select("person_id", F.explode(both).alias("e"))
-        .select("e.kind", "person_id", "e.entity_id").distinct()
-    )
-    orders = table(spark, sf, "orders").select(
-        F.col("o_custkey").cast("string").alias("person_id"), F.col("o_orderpriority").alias("entity_id")
-    )
-    segments = table(spark, sf, "customer").select(
-        F.col("c_custkey").cast("string").alias("person_id"), F.col("c_mktsegment").alias("entity_id")
-    )
+    bought_parts = bought(spark, sf).select("person_id", "l_partkey").join(part, "l_partkey")
+    parts = bought_parts.select("person_id", F.explode(both).alias("e")).select("e.kind", "person_id", "e.entity_id")
     rows = {
-        "company": supplier_links(spark, sf).withColumnRenamed("company_id", "entity_id"),
-        "project": orders.distinct(),
-        "domain": segments,
+        "company": bought(spark, sf).select("person_id", F.col("l_suppkey").cast("string").alias("entity_id")),
+        "project": table(spark, sf, "orders").select(
+            F.col("o_custkey").cast("string").alias("person_id"), F.col("o_orderpriority").alias("entity_id")
+        ),
+        "domain": table(spark, sf, "customer").select(
+            F.col("c_custkey").cast("string").alias("person_id"), F.col("c_mktsegment").alias("entity_id")
+        ),
     }
     return reduce(
         DataFrame.unionByName,
@@ -277,7 +275,7 @@ def city_terms(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def profile_lists(spark: SparkSession, sf: str) -> DataFrame:
     """Sorted name lists per person."""
-    names = S.profile_terms(member_rows(spark, sf), entity_rows(spark, sf))
+    names = S.profile_terms(member_rows(spark, sf).distinct(), entity_rows(spark, sf))
 
     def joined(kind: str) -> Column:
         return F.array_join(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("name")))), ",")
@@ -1208,14 +1206,7 @@ def rank_features(spark: SparkSession, sf: str) -> DataFrame:
         preferred_skills=F.array(F.element_at(brands, 1), F.lit("Brand#99")),
     )
     prepared, terms = _prepared(queries)
-    entities, members = entity_rows(spark, sf), member_rows(spark, sf)
-    # Required terms as preferred ones: every holder counts, not only those who meet all of them.
-    required = terms.filter("slot = 'competency'").withColumn("slot", F.lit("preference"))
     pair = ["query_id", "person_id"]
-    skills = S.term_hits(required, entities, members).select(*pair, F.col("preference_hits").alias("skill_hits"))
-    soft = S.term_hits(terms.filter("slot in ('domain_share', 'preference')"), entities, members)
-    hits = soft.select(*pair, "domain_hits", "preference_hits").join(skills, pair, "full")
-
     nation = table(spark, sf, "nation")
     customer = table(spark, sf, "customer").select(
         F.col("c_nationkey").alias("n_nationkey"), F.col("c_custkey").cast("string").alias("person_id")
@@ -1223,6 +1214,8 @@ def rank_features(spark: SparkSession, sf: str) -> DataFrame:
     near = customer.join(nation, "n_nationkey").select("n_regionkey", "person_id")
     asked = nation.select("n_regionkey", F.concat(F.lit("q"), key).alias("query_id"))
     pool = near.join(asked, "n_regionkey").select(*pair)
+    # Every holder of a required term counts, not only those who meet all of them.
+    hits = S.term_hits(terms, entity_rows(spark, sf), member_rows(spark, sf), pool)
     spent = table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("person_id")).agg(
         F.count("*").alias("n"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent")
     )

@@ -74,6 +74,30 @@ def pairs(corpus, queries, **kw):
     return {k: sorted(v) for k, v in out.items()}
 
 
+def test_term_hits_of_a_pool(spark):
+    """Pairs of a pool are counted whether or not they meet all hard terms; memberships may repeat."""
+    words = [f"w{i}" for i in range(150)]  # more than two words of bits
+    terms = spark.createDataFrame(
+        [("a", "competency", w, 1, i) for i, w in enumerate(words)] + [("a", "preference", "w7", 2, 900), ("b", "domain", "d", 1, 901)],
+        "query_id string, slot string, term string, weight long, term_no long",
+    )
+    entities = spark.createDataFrame(
+        [(k, f"{k}-{w}", w) for w in words for k in ("skill", "technology")] + [("domain", "d", "d")],
+        "kind string, entity_id string, term string",
+    )
+    members = spark.createDataFrame(
+        [(k, "p", f"{k}-{w}") for w in words[:100] for k in ("skill", "technology")] * 2
+        + [("skill", "all", f"skill-{w}") for w in words] + [("domain", "p", "d"), ("skill", "out", "skill-w7")],
+        "kind string, person_id string, entity_id string",
+    )
+    pool = spark.createDataFrame([("a", "p"), ("b", "p"), ("a", "all"), ("b", "all"), ("a", "none")], "query_id string, person_id string")
+    got = sorted(map(tuple, S.term_hits(terms, entities, members, pool).collect()))
+    assert got == [("a", "all", 150, 150, 0, 2), ("a", "p", 100, 100, 0, 2), ("b", "p", 1, 0, 0, 0)]
+    strict = {(r.query_id, r.person_id): r for r in S.term_hits(terms, entities, members).collect()}
+    assert strict["a", "all"].hard_hits == 150 and strict["b", "p"].hard_hits == 1
+    assert all(r.hard_hits < 150 for pair, r in strict.items() if pair != ("a", "all"))
+
+
 def test_structured_filters(spark, corpus):
     queries = table(
         spark,
