@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Mapping
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from evidex.functions import constants as K
+from evidex.functions.sequences import similar_pairs
 from evidex.functions.text import (
     bind,
     comparison_forms,
@@ -21,7 +20,7 @@ from evidex.functions.text import (
     split_words,
 )
 from evidex.operators.parse import Provider, complete
-from evidex.operators.structured import substring_pairs
+from evidex.operators.structured import substrings_by_text, text_digest
 from evidex.schemas import LIST_FIELDS, QUERY
 from evidex.session import cut_lineage
 
@@ -79,102 +78,46 @@ def parse_intents(queries: DataFrame, provider: Provider) -> tuple[DataFrame, Da
     return plain_intents(table), shaped.filter(~(ok & ages)).select("query_id", "text")
 
 
-@F.pandas_udf(DoubleType())
-def _sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series(
-        [difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)],
-        dtype="float64",
-    )
-
-
-def _gram_tokens(form: Column) -> Column:
-    """Letter pairs numbered by occurrence, sorted; a single letter stands for itself."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(form) - 1, F.lit(1)))
-
-    def numbered(grams: Column) -> Column:
-        return F.transform(
-            grams,
-            lambda g, i: F.concat(
-                g, F.size(F.filter(F.slice(grams, 1, i + 1), lambda h: h == g)).cast("string")
-            ),
-        )
-
-    return F.array_sort(bind(F.transform(starts, lambda i: F.substr(form, i, F.lit(2))), numbered))
+#: Phrases and keys that a task compares at once. Forms of a pair of such blocks meet in one call.
+PHRASES, KEYS = 1 << 14, 1 << 14
 
 
-def _common_grams(a: Column, b: Column, threshold: float) -> Column:
-    """Fewest letter pairs two similar forms of lengths ``a`` and ``b`` share.
+def similar_forms(left: DataFrame, right: DataFrame, threshold: float = K.FUZZY_RATIO) -> DataFrame:
+    """(phrase, key, ratio) of the rows whose forms have a sequence similarity at the threshold (Q4).
 
-    At most ``(1 - threshold) * (a + b)`` letters are unmatched in both together, and each
-    breaks at most two pairs.
+    ``left``: phrase, left_form; ``right``: key, right_form. Both are dealt to blocks by hash, and each
+    block of phrases meets each block of keys, so that a task holds two blocks whatever the tables'
+    sizes. Within blocks lengths, letters and common subsequences leave few pairs to compare.
     """
-    unmatched = F.floor((a + b) * (1 - threshold) + 1e-9)
-    return F.greatest(F.greatest(a, b) - 1 - unmatched * 2, F.lit(1)).cast("int")
-
-
-def _gram_rows(df: DataFrame, form: str, side: str, threshold: float) -> DataFrame:
-    """Each form's tokens that can be the first one shared with a similar form.
-
-    The signature has a bit per token, so tokens missing on the other side can be counted
-    from below without touching the arrays.
-    """
-    share = threshold / (2 - threshold)
-    size = F.length(form)
-    lengths = F.sequence(
-        F.ceil(size * share - 1e-9).cast("int"), F.floor(size / share + 1e-9).cast("int")
-    )
-    least = F.array_min(F.transform(lengths, lambda n: _common_grams(size, n, threshold)))
-    bit = F.lit(1).cast("long")
-    grams = (
-        df.select(form)
-        .filter(F.length(form) > 0)
-        .distinct()
-        .select(form, size.alias(f"{side}_len"), _gram_tokens(F.col(form)).alias("tokens"), least.alias("least"))
-        .withColumn(
-            f"{side}_sig",
-            F.aggregate(
-                "tokens", F.lit(0).cast("long"),
-                lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", bit, F.pmod(F.hash(t), F.lit(64)))),
-            ),
+    # Nearly all forms are the phrases themselves, which are written and moved once.
+    other = F.nullif("left_form", "phrase").alias("other")
+    asked = cut_lineage(left.filter("length(left_form) > 0").select("phrase", other))
+    known = cut_lineage(right.filter("length(right_form) > 0"))
+    parts = -(-asked.count() // PHRASES) or 1
+    blocks = -(-known.count() // KEYS) or 1
+
+    def block(n: int, *of: str) -> Column:
+        return F.pmod(F.xxhash64(*of), F.lit(n)).cast("int")
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    ours = asked.withColumn("part", block(parts, "phrase", "other")).withColumn("block", every(blocks))
+    theirs = known.withColumn("block", block(blocks, "key", "right_form")).withColumn("part", every(parts))
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        phrases, keys = a["phrase"].to_pylist(), b["key"].to_pylist()
+        forms = [form or phrase for form, phrase in zip(a["other"].to_pylist(), phrases, strict=True)]
+        pairs = similar_pairs(forms, b["right_form"].to_pylist(), threshold)
+        rows = [(phrases[i], keys[j], ratio) for i, j, ratio in pairs]
+        columns = zip(*rows, strict=True) if rows else ((), (), ())
+        types = (pa.string(), pa.string(), pa.float64())
+        return pa.Table.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["phrase", "key", "ratio"]
         )
-    )
-    return grams.select(
-        form, f"{side}_len", f"{side}_sig", F.col("tokens").alias(f"{side}_grams"),
-        F.posexplode(F.slice("tokens", 1, F.size("tokens") - F.col("least") + 1)).alias(
-            f"{side}_pos", "gram"
-        ),
-    )
 
-
-def similar_forms(
-    left: DataFrame, right: DataFrame, threshold: float = K.FUZZY_RATIO
-) -> DataFrame:
-    """Pairs (left_form, right_form, ratio) with sequence similarity at the threshold (Q4).
-
-    Similar forms share letter pairs, so pairs meet on their first common one, are bounded
-    by length and by the number of pairs shared, and only the rest is compared in Python.
-    """
-    share = threshold / (2 - threshold)
-    a = _gram_rows(left, "left_form", "left", threshold)
-    b = _gram_rows(right, "right_form", "right", threshold)
-    la, lb = F.col("left_len"), F.col("right_len")
-    near = (la >= lb * share - 1e-9) & (lb >= la * share - 1e-9)
-    common = _common_grams(la, lb, threshold)
-    ours, theirs = F.col("left_sig"), F.col("right_sig")
-    missing = (F.bit_count(ours.bitwiseAND(F.bitwise_not(theirs))) <= la - common) & (
-        F.bit_count(theirs.bitwiseAND(F.bitwise_not(ours))) <= lb - common
-    )
-    first_common = ~F.arrays_overlap(
-        F.slice("left_grams", 1, F.col("left_pos")), F.slice("right_grams", 1, F.col("right_pos"))
-    )
-    enough = F.size(F.array_intersect("left_grams", "right_grams")) >= common
-    candidates = (
-        a.join(b, "gram").filter(near & missing).filter(enough).filter(first_common)
-    )
-    scored = candidates.select("left_form", "right_form").withColumn(
-        "ratio", _sequence_ratio("left_form", "right_form")
-    )
-    return scored.filter(F.col("ratio") >= threshold)
+    together = ours.groupBy("part", "block").cogroup(theirs.groupBy("part", "block"))
+    return together.applyInArrow(compare, "phrase string, key string, ratio double")
 
 
 def fuzzy_pairs(
@@ -186,14 +129,7 @@ def fuzzy_pairs(
     """
     left = asked.select("phrase", F.explode(comparison_forms(F.col("phrase"))).alias("left_form"))
     right = known.select("key", F.explode(comparison_forms(F.col("key"))).alias("right_form"))
-    close = similar_forms(left, right, threshold)
-    # Exploded forms are many times what Spark guesses of them: they are never broadcast.
-    return (
-        left.hint("merge").join(close, "left_form")
-        .join(right, "right_form")
-        .groupBy("phrase", "key")
-        .agg(F.max("ratio").alias("ratio"))
-    )
+    return similar_forms(left, right, threshold).groupBy("phrase", "key").agg(F.max("ratio").alias("ratio"))
 
 
 def _alias_frame(df: DataFrame, aliases: Mapping[str, Mapping[str, str]]) -> DataFrame:
@@ -216,20 +152,21 @@ def detect_vocabulary(
     A value is found as a substring of the normalised text, through an alias phrase, or by a
     phrase of four letters or more that is similar enough. Texts and their phrases grow with the
     queries and are many times what Spark guesses of them: they are written once, and joined by
-    sorting, never sent through the driver.
+    sorting, never sent through the driver. Each part is written as it is found, so that the shuffle
+    files of one part are gone before the next.
     """
     dealt = queries.repartition(queries.sparkSession.sparkContext.defaultParallelism, "query_id")
     texts = cut_lineage(dealt.select("query_id", normalize_name(F.col("text"), unicode).alias("norm")))
-    known = vocabulary.select(
+    known = cut_lineage(vocabulary.select(
         "kind", "value", normalize_name(F.col("value"), unicode).alias("key")
-    ).filter("key <> ''")
+    ).filter("key <> ''"))
     spoken = cut_lineage(
         texts.withColumn("phrase", F.explode(phrases(F.col("norm")))).select("query_id", "phrase")
     )
     inside = (
-        substring_pairs(texts, known, "norm", "key")
-        .join(texts.hint("merge"), "norm")
-        .select("query_id", "key")
+        substrings_by_text(texts, known, "norm", "key")
+        .join(texts.select("query_id", text_digest("norm").alias("digest")).hint("merge"), "digest")
+        .select("query_id", F.explode("found").alias("key"))
         .join(known, "key")
     )
     parts = [inside]
@@ -237,8 +174,9 @@ def detect_vocabulary(
         named = spoken.join(F.broadcast(_alias_frame(queries, aliases)), "phrase")
         parts.append(named.select("query_id", "kind", "key").join(known, ["kind", "key"]))
     long_enough = spoken.filter(F.length("phrase") >= K.FUZZY_MIN_LENGTH)
-    close = fuzzy_pairs(long_enough.select("phrase").distinct(), known.select("key").distinct(),
-                        threshold)
+    close = cut_lineage(
+        fuzzy_pairs(long_enough.select("phrase").distinct(), known.select("key").distinct(), threshold)
+    )
     parts.append(
         long_enough.hint("merge").join(close, "phrase").select("query_id", "key").join(known, "key")
     )

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidex import empty_corpus
+from evidex.functions.sequences import similar_pairs
 from evidex.operators import infer as N
+from evidex.operators import understand as U
 from evidex.operators.claims import accept_answers, check_claims, unique_evidence
 from evidex.operators.embed import HashEmbedder
 from evidex.operators.export import profile_sections, write_profiles
@@ -144,6 +146,41 @@ def test_detect_sends_no_texts_or_phrases_through_the_driver(spark, vocabulary,
     assert {(r.query_id, r.value) for r in stored.collect()} == found and found
 
 
+def test_detect_compares_few_of_many_phrases_and_finds_terms_with_blanks(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeя") for _ in range(rng.randint(1, 7))) for _ in range(60)]
+    known = sorted({*words, *(f"{a} {b}" for a, b in zip(words[:20], words[20:])), "aaaa b cc", "dddd e abc"})
+    said = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(30)]
+    said += ["caaaa b ccd", "xdddd e abcx", "", "dddd e ab", said[0]]
+    asked = spark.createDataFrame([(f"q{i}", v) for i, v in enumerate(said)] + [(None, said[1])], "query_id string, text string")
+    vocabulary = spark.createDataFrame([("skill", v) for v in known], "kind string, value string")
+    want = set()
+    for i, text in [*enumerate(said), (None, said[1])]:
+        spoken = text.split()
+        heard = {" ".join(spoken[k : k + n]) for n in (1, 2, 3) for k in range(len(spoken) - n + 1)}
+        heard = {f for p in heard if len(p) >= 4 for f in forms(p)}
+        for v in known:
+            near = any(difflib.SequenceMatcher(None, f, g).ratio() >= 0.82 for f in heard for g in forms(v))
+            if v in text or near:
+                want.add((None if i is None else f"q{i}", v))
+    calls = []
+
+    class Counted(difflib.SequenceMatcher):
+        def ratio(self):
+            calls.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(U, "PHRASES", 64)
+    monkeypatch.setattr(U, "KEYS", 16)
+    got = detect_vocabulary(asked, vocabulary, aliases={}, unicode=False)
+    assert {(r.query_id, r.value) for r in got.collect()} == want and len(want) > 300
+    phrases = sorted({"".join(rng.choice("abcdeя ") for _ in range(rng.randint(4, 12))) for _ in range(400)})
+    right = {(p, k) for p in phrases for k in known if difflib.SequenceMatcher(None, p, k).ratio() >= 0.82}
+    monkeypatch.setattr(difflib, "SequenceMatcher", Counted)
+    assert {(phrases[i], known[j]) for i, j, _ in similar_pairs(phrases, known, 0.82)} == right
+    assert len(calls) <= 20 + 3 * len(right)
+
+
 def test_intent_provider(spark):
     def provider(prompts):
         return [
