@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidex.functions.bitmaps import Block, bitmap, possible_pairs
 from evidex.functions.text import normalize_name
 from evidex.operators.rank import supporting_chunks
 from evidex.session import cut_lineage
 
 KEY = ("person_id", "inference_type", "claim", "peer_id")
-#: Longs of a term set's bitmap.
+#: Longs of the bitmap of a term set of up to 511 terms, a power of two.
 BITMAP = 16
+#: Sets, and bytes of bitmaps, of a block; a task holds two blocks.
+BLOCK, BLOCK_BYTES = 1 << 14, 1 << 24
+#: Numbers of sets that are sent to all tasks at most.
+SENT = 1 << 18
 
 
 def infer_expertise(
@@ -83,71 +92,22 @@ def term_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def similar_sets(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Pairs of different sets with Jaccard similarity at the threshold.
 
-    Two such sets share a term among the rarest ``n - ceil(t n) + 1`` of each. Pairs meet on
-    that term and a size class, and are bounded by size and by the terms still to come. Each set
-    has a bitmap of its terms' hashes: a bit of one set that the other has not is a term that the
-    other has not, which bounds what both share without moving the sets. The bitmap lies in the
-    rows that meet, so a pair that it rules out is never written or moved. Pairs that are left are
-    verified exactly. Result: set_a < set_b, similarity.
+    Each set has a bitmap of its terms' hashes, as wide as its size class asks for: a bit of one set
+    that the other has not is a term that the other has not, which bounds what both share. Blocks of
+    sets whose sizes allow the threshold meet in tasks that hold two blocks of bitmaps, so neither
+    sets nor pairs are moved to find the few pairs left; no term, however common, makes a task or a
+    table larger. These pairs are verified exactly. Result: set_a < set_b, similarity.
     """
     # Terms stand as 64-bit hashes from here on: two terms of a pair of sets that fall together
     # by chance would need sets of billions of terms.
-    sets = sets.select("set_no", "set_id", F.transform("terms", lambda t: F.xxhash64(t)).alias("terms"))
-    spread = sets.select("set_no", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    rarity = spread.groupBy("term").agg(F.count("*").alias("df"))
-    # A term of one set alone brings no pair together.
-    ordered = cut_lineage(
-        spread.join(rarity, "term")
-        .groupBy("set_no", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("by_rarity"), *_bitmap())
-    )
-    keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    maps = [f"b{i}" for i in range(BITMAP)]
-    prefix = (
-        ordered.select(
-            "set_no", "n", *maps, F.posexplode(F.slice("by_rarity", 1, keep)).alias("pos", "entry")
-        )
-        .filter("entry.df > 1")
-        .select(
-            "set_no", "n", "pos", F.col("entry.term").alias("term"),
-            _size_class(F.col("n"), threshold).alias("cls"), *maps,
-        )
-    )
-    left = prefix.select(
-        F.col("set_no").alias("small"), F.col("n").alias("n_small"), F.col("pos").alias("p_small"),
-        "term", F.explode(F.array("cls", F.col("cls") + 1)).alias("cls"),
-        *(F.col(c).alias(f"small_{c}") for c in maps),
-    )
-    right = prefix.select(
-        F.col("set_no").alias("large"), F.col("n").alias("n_large"), F.col("pos").alias("p_large"),
-        "term", "cls", *(F.col(c).alias(f"large_{c}") for c in maps),
-    )
-    ordered_pair = (F.col("n_small") < F.col("n_large")) | (
-        (F.col("n_small") == F.col("n_large")) & (F.col("small") < F.col("large"))
-    )
-    needed = F.ceil((F.col("n_small") + F.col("n_large")) * (threshold / (1 + threshold)) - 1e-9)
-    possible = 1 + F.least(
-        F.col("n_small") - F.col("p_small") - 1, F.col("n_large") - F.col("p_large") - 1
-    )
-    # The bound on what is still to come holds for the rarest common term; it drops no pair
-    # because that term's own row always passes.
-    met = (
-        left.join(right, ["term", "cls"])
-        .filter(
-            ordered_pair
-            & (F.col("n_small") >= F.col("n_large") * threshold - 1e-9)
-            & (possible >= needed)
-            & (_shared_at_most() >= needed)
-        )
-        .select("small", "large")
-        .distinct()
-    )
-    met = cut_lineage(met)
+    hashes = F.transform("terms", lambda t: F.xxhash64(t))
+    met = cut_lineage(_possible_pairs(sets.select("set_no", hashes.alias("terms")), threshold))
+    numbers = met.select(F.explode(F.array("small", "large")).alias("set_no")).distinct()
+    few = numbers.count() <= SENT
+    some = sets.join(F.broadcast(numbers) if few else numbers, "set_no", "left_semi")
 
     def side(number: str, name: str, terms: str) -> DataFrame:
-        return sets.select(
-            F.col("set_no").alias(number), F.col("set_id").alias(name), F.col("terms").alias(terms)
-        )
+        return some.select(F.col("set_no").alias(number), F.col("set_id").alias(name), hashes.alias(terms))
 
     verified = met.join(side("small", "a_id", "a"), "small").join(
         side("large", "b_id", "b"), "large"
@@ -161,26 +121,55 @@ def similar_sets(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     ).filter(F.col("similarity") >= threshold)
 
 
-def _bitmap() -> list[Column]:
-    """The ``BITMAP`` longs of a set's bitmap, over its term hashes ``term``."""
-    word = F.pmod(F.shiftright("term", 6), F.lit(BITMAP))
-    bit = F.expr("shiftleft(1L, cast(term & 63 as int))")
-    return [F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0).cast("long")).alias(f"b{i}") for i in range(BITMAP)]
-
-
-def _shared_at_most() -> Column:
-    """As many terms as the bitmaps of a pair of sets, small and large, leave in common at most."""
-
-    def only(name: str, other: str) -> Column:
-        own = [F.bit_count(F.col(f"{name}_b{i}").bitwiseAND(F.bitwise_not(F.col(f"{other}_b{i}")))) for i in range(BITMAP)]
-        return F.col(f"n_{name}") - reduce(Column.__add__, own)
-
-    return F.least(only("small", "large"), only("large", "small"))
-
-
-def _size_class(n: Column, threshold: float) -> Column:
-    """Sets whose sizes differ by at most 1/threshold lie in the same or the next class."""
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")
+def _longs(size_class: int) -> int:
+    """Longs of the bitmaps of sets of 2 ** ``size_class`` terms and up to twice as many."""
+    return BITMAP << max(0, size_class - 8)
+
+
+def _possible_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(small, large): numbers of sets whose bitmaps leave a similarity at the threshold possible."""
+    schema = "set_no long, n long, class int, b0 binary"  # b0: the bitmap from its first long on
+    longs = [_longs(k) for k in range(32)]
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, terms = batch.column("set_no"), batch.column("terms")
+            sizes = [len(t) for t in terms]
+            classes = [n.bit_length() - 1 for n in sizes]
+            maps = [bitmap(t.values.to_numpy(), longs[k]) for t, k in zip(terms, classes, strict=True)]
+            columns = [numbers.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int32()), pa.array(maps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["set_no", "n", "class", "b0"])
+
+    maps = cut_lineage(sets.filter(F.size("terms") > 0).mapInArrow(mapped, schema))
+    counts = {r["class"]: r["count"] for r in maps.groupBy("class").count().collect()}
+    blocks = {k: -(-n // max(1, min(BLOCK, BLOCK_BYTES // (8 * longs[k])))) for k, n in counts.items()}
+    reach = math.ceil(1 + math.log2(1 / threshold) - 1e-9) - 1
+    places = [
+        ((k, i), (m, j)) for k in blocks for m in range(k, k + reach + 1) for i in range(blocks[k])
+        for j in range(i if m == k else 0, blocks.get(m, 0))
+    ]
+    spread = F.lit(1)
+    for k, n in blocks.items():
+        spread = F.when(F.col("class") == k, n).otherwise(spread)
+    dealt = maps.withColumn("block", F.pmod(F.xxhash64("set_no"), spread).cast("int"))
+
+    def side(own: int) -> DataFrame:
+        rows = [(t, *pair[own], pair[0] == pair[1]) for t, pair in enumerate(places)]
+        tasks = sets.sparkSession.createDataFrame(rows, "task int, class int, block int, same boolean")
+        # The blocks of one task meet themselves: they are sent once.
+        tasks = tasks if own == 0 else tasks.filter("not same")
+        names = [F.col(c).alias(f"{c}_{own}") for c in ("task", "same", "set_no", "n", "b0")]
+        held = dealt.join(F.broadcast(tasks), ["class", "block"]).select(*names)
+        return held.repartition(min(len(places), 1 << 10) or 1, f"task_{own}").groupBy(f"task_{own}")
+
+    def compare(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        a, b = (Block(*(c.to_pylist() for c in t.columns[2:])) if len(t) else None for t in (ours, theirs))
+        b = a if a and ours.column(1)[0].as_py() else b
+        found = [(a.numbers[i], b.numbers[j]) for i, j in possible_pairs(a, b, threshold)] if a and b else []
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 2
+        return pa.table(dict(zip(("small", "large"), columns, strict=True)))
+
+    return side(0).cogroup(side(1)).applyInArrow(compare, "small long, large long")
 
 
 def _both_ids(own: str, peer: str) -> Column:

@@ -1,6 +1,7 @@
 import difflib
 import json
 import random
+import re
 from datetime import datetime
 
 import pytest
@@ -228,6 +229,30 @@ def test_bitmaps_of_large_sets_lose_no_pair(spark, monkeypatch):
             assert got == want and want
 
 
+def test_similar_sets_move_no_row_per_term(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    base = [set(rng.sample(words, n)) for n in (1, 2, 5, 9, 30, 33, 64, 120, 128, 250) for _ in range(2)]
+    sets = [frozenset(b ^ set(rng.sample(words, n))) for b in base for n in (0, 1, 2, 4, 20, 30)] + [frozenset(words[:k]) for k in (127, 255)]
+    sets = [s for s in sets if s]
+    lists = [(f"p{i}", sorted(s)) for i, s in enumerate(sets)] + [(None, words[:3])]
+    members, groups = N.term_sets(spark.createDataFrame(lists, "person_id string, terms array<string>"))
+    of = {r.set_id: frozenset(r.terms) for r in groups.collect()}
+    plans, cut = [], N.cut_lineage
+    monkeypatch.setattr(N, "cut_lineage", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), cut(df))[1])
+    for block, sent, least in ((1 << 14, 1 << 18, 0.5), (3, 0, 0.5), (3, 0, 0.8), (7, 0, 0.3), (7, 0, 1.0)):
+        for name, value in (("BLOCK", block), ("SENT", sent)):
+            monkeypatch.setattr(N, name, value, raising=False)
+        got = sorted((r.set_a, r.set_b, round(r.similarity, 9)) for r in N.similar_sets(groups, least).collect())
+        want = sorted(
+            (a, b, round(len(of[a] & of[b]) / len(of[a] | of[b]), 9))
+            for a in of for b in of if a < b and len(of[a] & of[b]) >= least * len(of[a] | of[b])
+        )
+        assert got == want and (want or least == 1.0)
+    assert plans and not [p for p in plans if re.search(r"\bterm#", p)]
+    assert N.similar_sets(groups.filter("false")).count() == 0
+
+
 def test_similarity_against_brute_force(spark):
     rng = random.Random(2)
     base = [set(rng.sample("abcdefghijklmnop", rng.randint(1, 9))) for _ in range(25)]
