@@ -61,7 +61,7 @@ from evidex.session import cut_lineage, spread, work_folder
 from evidex.sources.buckets import BucketTable
 from evidex.sources.files import jsonl_documents, text_documents
 from evidex.streaming.stateful import delivery_outcomes as told_outcomes
-from evidex.streaming.stateful import ingest_delivery
+from evidex.streaming.stateful import documents_table, ingest_delivery
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -546,7 +546,8 @@ def delivery_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     root = f"{work_folder(spark)}/deliveries-{uuid.uuid4().hex}"
     for number, (source, rows) in enumerate((("crawl", labelled), ("crawl", later), ("mirror", labelled))):
         rows.write.option("header", True).option("escape", '"').csv(f"{root}/landing/{number}")
-        ingest_delivery(spark, f"{root}/landing", f"{root}/corpus", f"{root}/marks", source)
+        ingest_delivery(spark, f"{root}/landing", f"{root}/corpus", f"{root}/marks", source, clear=True)
+        documents_table(spark, f"{root}/corpus").vacuum()
     sources = F.explode(F.array(F.lit("crawl"), F.lit("mirror")))
     names = docs.select("id", sources.alias("source")).withColumn(
         "document_id", T.row_id("document", F.col("source"), F.col("id"))

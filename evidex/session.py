@@ -5,12 +5,16 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Write options of Parquet for tables of whole texts: about two thirds of the default's size.
+SMALL = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
+
+
 def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> SparkSession:
     """A local session for tests and benchmarks."""
     spark = (
@@ -78,8 +82,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The table lies in the shared folder of ``work_folder``, so it outlives executors. Unlike an
     RDD checkpoint the table has columns and a size the planner can use.
     """
-    spark = df.sparkSession
-    path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
-    with shuffles_dropped(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, f"{work_folder(df.sparkSession)}/{uuid.uuid4().hex}")
+
+
+def _written(df: DataFrame, path: str, **options: str) -> DataFrame:
+    with shuffles_dropped(df.sparkSession):
+        df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A ``cut_lineage`` whose tables are smaller and deleted at the end, for frames that no one reads later."""
+    folder = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    try:
+        yield lambda df: _written(df, f"{folder}/{uuid.uuid4().hex}", **SMALL)
+    finally:
+        delete_path(spark, folder)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in any store that Spark writes to."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

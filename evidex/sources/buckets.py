@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 
 from evidex.corpus import Corpus
 from evidex.schemas import TABLES
-from evidex.session import cut_lineage
+from evidex.session import SMALL, delete_path, passing_tables, shuffles_dropped
 
 _MANIFEST = "version long, bucket int, place long"
 _META = "keys array<string>, buckets int"
 BUCKETS = 64
+#: Parts in which a merge writes the buckets that it touches.
+ROUNDS = 16
 #: Key columns of the corpus tables; all of them where a table is a set of links.
 KEYS = {
     "people": ("person_id",),
@@ -107,29 +109,38 @@ class BucketTable:
         self._check_layout()
         names = self.spark.createDataFrame([], self.schema).columns
         latest, places = self.places()
-        fresh = cut_lineage(changes.select(*names).withColumn("bucket", self.bucket()))
-        gone = fresh.select(*self.keys, "bucket")
-        if deleted is not None:
-            gone = gone.unionByName(deleted.select(*self.keys).withColumn("bucket", self.bucket()))
-        gone = cut_lineage(gone.distinct())
-        touched = sorted(r.bucket for r in gone.select("bucket").distinct().collect())
         version = latest + 1
-        if touched:
-            old = self.read(latest, touched).withColumn("bucket", self.bucket()) if set(touched) & set(places) else None
-            rows = fresh
-            if old is not None:
-                same = [old[k].eqNullSafe(gone[k]) for k in (*self.keys, "bucket")]
-                condition = same[0]
-                for c in same[1:]:
-                    condition = condition & c
-                rows = old.join(gone, condition, "left_anti").unionByName(fresh)
-            rows.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/v={version}")
+        with passing_tables(self.spark) as cut:
+            fresh = cut(changes.select(*names).withColumn("bucket", self.bucket()))
+            gone = fresh.select(*self.keys, "bucket")
+            if deleted is not None:
+                gone = gone.unionByName(deleted.select(*self.keys).withColumn("bucket", self.bucket()))
+            gone = cut(gone.distinct())
+            touched = sorted(r.bucket for r in gone.select("bucket").distinct().collect())
+            # The rows of a few buckets are moved at a time, and their shuffle files go before the next.
+            step = -(-len(touched) // ROUNDS) or 1
+            for at in range(0, len(touched), step):
+                self._rewrite(fresh, gone, touched[at : at + step], latest, places, "append" if at else "overwrite")
         left = {r.bucket for r in self._stored(version, touched)}
         now = {b: p for b, p in places.items() if b not in touched} | dict.fromkeys(left, version)
         mark = [(version, b, p) for b, p in sorted(now.items())] or [(version, -1, version)]
         self.spark.createDataFrame(mark, _MANIFEST).coalesce(1).write.mode("errorifexists").json(f"{self.path}/manifest/v={version}")
         return Merge(version, tuple(touched))
 
+    def _rewrite(self, fresh: DataFrame, gone: DataFrame, buckets: Sequence[int], latest: int, places: Mapping[int, int], mode: str) -> None:
+        """The given buckets as files of the version after ``latest``."""
+        rows, gone = (df.filter(F.col("bucket").isin(*buckets)) for df in (fresh, gone))
+        if set(buckets) & set(places):
+            old = self.read(latest, buckets).withColumn("bucket", self.bucket())
+            same = [old[k].eqNullSafe(gone[k]) for k in (*self.keys, "bucket")]
+            condition = same[0]
+            for c in same[1:]:
+                condition = condition & c
+            rows = old.join(gone, condition, "left_anti").unionByName(rows)
+        dealt = rows.repartition(len(buckets), "bucket")
+        with shuffles_dropped(self.spark):
+            dealt.write.mode(mode).options(**SMALL).partitionBy("bucket").parquet(f"{self.path}/data/v={latest + 1}")
+
     def _stored(self, version: int, touched: Sequence[int]) -> list:
         """Buckets that a version's files hold: a touched bucket is empty if all its rows were deleted."""
         if not touched:
@@ -155,11 +166,11 @@ class BucketTable:
             own = [c for c in _children(self.spark, folder) if "bucket=" in c]
             unused = [c for c in own if (version, int(c.rsplit("bucket=", 1)[1])) not in used]
             for child in [folder] if len(unused) == len(own) else unused:
-                _delete(self.spark, child)
+                delete_path(self.spark, child)
             removed += len(unused)
         for folder in _children(self.spark, f"{self.path}/manifest"):
             if int(folder.rsplit("v=", 1)[1]) < kept[0]:
-                _delete(self.spark, folder)
+                delete_path(self.spark, folder)
         return removed
 
 
@@ -171,11 +182,6 @@ def _children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().toString() for s in files.listStatus(place) if "=" in s.getPath().getName())
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 class CorpusStore:
     """The corpus tables as bucketed tables below one root."""
 

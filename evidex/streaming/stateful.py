@@ -30,14 +30,15 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from evidex.functions.text import checksum, row_id
 from evidex.operators.resolve import classify, ingestion_report
 from evidex.schemas import DOCUMENT, TABLES
-from evidex.session import cut_lineage
+from evidex.session import SMALL, cut_lineage, delete_path, passing_tables
 from evidex.sources.buckets import BUCKETS, BucketTable
 from evidex.sources.files import QUARANTINE, SUPPORTED_SUFFIXES, merge_documents, read_csv, read_json, read_jsonl, read_text
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _FACT = "kind string, key string, value string, version long"
-_LOG = DOCUMENT + ", delivery long, document_id string, checksum string"
+#: A payload that is the raw text again, as CSV rows have it, is not kept twice.
+_LOG = DOCUMENT + ", delivery long, document_id string, checksum string, payload_is_text boolean"
 _ANSWER = "kind string, key string, value string, version long, asked boolean, document_id string, checksum string, delivery long"
 
 
@@ -114,8 +115,11 @@ def read_files(spark: SparkSession, paths: Sequence[str], source_name: str | Non
     return merge_documents(documents), reduce(DataFrame.unionByName, rejected)
 
 
-def _log_delivery(spark: SparkSession, landing: str, to: Delivery, checkpoint: str, source_name: str | None, max_files: int) -> None:
+def _log_delivery(
+    spark: SparkSession, landing: str, to: Delivery, checkpoint: str, source_name: str | None, max_files: int, clear: bool
+) -> None:
     """New files of the landing folder into the log; a batch lists at most ``max_files`` paths."""
+    logged: list[str] = []
     listing = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length long, content binary")
@@ -133,13 +137,24 @@ def _log_delivery(spark: SparkSession, landing: str, to: Delivery, checkpoint: s
                 "delivery": F.lit(batch_id).cast("long"),
                 "document_id": row_id("document", F.col("source"), F.col("external_id")),
                 "checksum": checksum(F.col("raw_text")),
+                "payload_is_text": F.coalesce(F.col("payload") == F.col("raw_text"), F.lit(False)),
             }
-        )
+        ).withColumn("payload", F.when(~F.col("payload_is_text"), F.col("payload")))
         rejected.write.mode("overwrite").parquet(f"{to.quarantine}/batch={batch_id}")
-        keyed.write.mode("overwrite").parquet(f"{to.log}/batch={batch_id}")
+        keyed.write.mode("overwrite").options(**SMALL).parquet(f"{to.log}/batch={batch_id}")
+        logged.extend(paths)
 
     query = listing.writeStream.foreachBatch(parse).option("checkpointLocation", f"{checkpoint}/log").trigger(availableNow=True).start()
     query.awaitTermination()
+    for path in logged if clear else ():
+        delete_path(spark, path)
+
+
+def _read_log(spark: SparkSession, to: Delivery, deliveries: Sequence[int]) -> DataFrame:
+    """The documents of some deliveries as they were parsed."""
+    rows = spark.read.schema(_LOG).parquet(*[f"{to.log}/batch={d}" for d in deliveries])
+    payload = F.when(F.col("payload_is_text"), F.col("raw_text")).otherwise(F.col("payload"))
+    return rows.withColumn("payload", payload).drop("payload_is_text")
 
 
 @contextmanager
@@ -160,9 +175,10 @@ def _answers(spark: SparkSession, to: Delivery) -> DataFrame:
         F.struct(F.lit("document").alias("kind"), F.col("document_id").alias("key")),
         F.struct(F.lit("checksum").alias("kind"), F.col("checksum").alias("key")),
     )
-    asked = log.select(F.explode(keys).alias("k"), "document_id", "checksum", "delivery").select(
+    # A question carries its key alone: the stream's shuffle files stay longer than those of a query.
+    asked = log.select(F.explode(keys).alias("k"), "delivery").select(
         "k.kind", "k.key", none.alias("value"), F.lit(None).cast("long").alias("version"),
-        F.lit(True).alias("asked"), "document_id", "checksum", "delivery",
+        F.lit(True).alias("asked"), none.alias("document_id"), none.alias("checksum"), "delivery",
     )
     known = spark.readStream.schema(_FACT).parquet(f"{to.facts}/*").select(
         "kind", "key", "value", "version", F.lit(False).alias("asked"),
@@ -214,45 +230,55 @@ def ingest_delivery(
     max_files: int = 1000,
     buckets: int = BUCKETS,
     on_changes: Callable[[DataFrame, int], None] | None = None,
+    clear: bool = False,
 ) -> None:
     """Ingest what arrived in ``landing`` since the last run, then stop.
 
     Below ``root``: ``outcomes`` (delivery, document_id, seq, checksum, outcome), ``quarantine``,
     ``log`` (every document as parsed) and the bucketed table ``raw_documents``. ``on_changes`` gets
     the created and updated documents of a batch, with their outcome, for the steps that follow.
+    With ``clear`` landed files are deleted when the log holds them.
     """
     to = Delivery(root.rstrip("/"))
     spark.createDataFrame([], _LOG).write.mode("ignore").parquet(f"{to.log}/batch=-1")
     spark.createDataFrame([], _FACT).write.mode("ignore").parquet(f"{to.facts}/batch=-1")
-    _log_delivery(spark, landing, to, checkpoint, source_name, max_files)
+    _log_delivery(spark, landing, to, checkpoint, source_name, max_files, clear)
     table = documents_table(spark, root, buckets)
 
     def settle(batch: DataFrame, batch_id: int) -> None:
+        with passing_tables(batch.sparkSession) as cut:
+            settle_with(cut, batch, batch_id)
+
+    def settle_with(cut: Callable[[DataFrame], DataFrame], batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        answers = cut_lineage(batch)  # the state is asked once
+        answers = cut(batch)  # the state is asked once
         deliveries = sorted(r.delivery for r in answers.filter("asked").select("delivery").distinct().collect())
         if not deliveries:
             return
-        before = stored = cut_lineage(stored_facts(answers))
+        before = stored = cut(stored_facts(answers))
         parts = []
         for delivery in deliveries:
-            documents = session.read.schema(_LOG).parquet(f"{to.log}/batch={delivery}")
-            outcomes = classify(documents, stored).withColumn("delivery", F.lit(delivery).cast("long"))
-            parts.append(cut_lineage(outcomes))
-            stored = cut_lineage(apply_outcomes(stored, parts[-1]))
+            outcomes = classify(_read_log(session, to, [delivery]), stored).withColumn("delivery", F.lit(delivery).cast("long"))
+            parts.append(cut(outcomes))
+            stored = cut(apply_outcomes(stored, parts[-1]))
         outcomes = reduce(DataFrame.unionByName, parts)
         accepted = outcomes.filter(F.col("outcome").isin("created", "updated"))
-        last = accepted.groupBy("document_id").agg(F.max_by(F.struct("delivery", "seq", "outcome"), F.struct("delivery", "seq")).alias("a"))
-        log = session.read.schema(_LOG).parquet(*[f"{to.log}/batch={d}" for d in deliveries])
-        changed = log.join(last.select("document_id", "a.*"), ["document_id", "delivery", "seq"])
-        rows = cut_lineage(changed.withColumn("person_id", F.lit(None).cast("string")))
+        last = cut(
+            accepted.groupBy("document_id")
+            .agg(F.max_by(F.struct("delivery", "seq", "outcome"), F.struct("delivery", "seq")).alias("a"))
+            .select("document_id", "a.*")
+        )
+        changed = _read_log(session, to, deliveries).join(last, ["document_id", "delivery", "seq"])
+        rows = changed.withColumn("person_id", F.lit(None).cast("string"))
+        # Without a callback the merge alone reads them, and writes what it reads.
+        rows = rows if on_changes is None else cut_lineage(rows)
         table.merge(rows)
         if on_changes is not None:
             on_changes(rows, batch_id)
-        outcomes.write.mode("overwrite").parquet(f"{to.outcomes}/batch={batch_id}")
-        facts = cut_lineage(new_facts(before, stored, batch_id))
+        outcomes.write.mode("overwrite").options(**SMALL).parquet(f"{to.outcomes}/batch={batch_id}")
+        facts = cut(new_facts(before, stored, batch_id))
         if facts.head(1):
-            facts.write.mode("overwrite").parquet(f"{to.facts}/batch={batch_id}")
+            facts.write.mode("overwrite").options(**SMALL).parquet(f"{to.facts}/batch={batch_id}")
 
     with _rocksdb(spark):
         query = _answers(spark, to).writeStream.foreachBatch(settle).option("checkpointLocation", f"{checkpoint}/state").start()

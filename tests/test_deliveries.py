@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import Row
 
 from evidex.schemas import TABLES
+from evidex.session import work_folder
 from evidex.sources.buckets import BucketTable, CorpusStore
 from evidex.streaming import stateful
 from evidex.streaming.stateful import delivery_outcomes, delivery_report, documents_table, ingest_delivery
@@ -64,6 +65,38 @@ def test_state_is_read_not_the_corpus(spark, tmp_path, monkeypatch):
     assert documents_table(spark, root, 16).read().count() == 40
 
 
+def test_a_delivery_leaves_no_copies_of_its_texts(spark, tmp_path):
+    landing, root, marks = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "marks")
+    landing.mkdir()
+
+    def scratch():
+        return {p.name for p in Path(work_folder(spark)).iterdir() if any(p.rglob("*.parquet"))}
+
+    def log(delivery):
+        return sorted(Path(root, "log", f"batch={delivery}").glob("*.parquet"))
+
+    (landing / "a.csv").write_text("id,t\n1,one\n2,two\n3,\n")
+    (landing / "b.jsonl").write_text('{"t": "x", "id": "7"}\n')
+    (landing / "c.txt").write_text("plain words")
+    spark.createDataFrame([(0,)], "n int").write.mode("ignore").parquet(f"{work_folder(spark)}/kept")
+    before, changes = scratch(), []
+    ingest_delivery(spark, str(landing), root, marks, "x", buckets=16, clear=True)
+    ingest_delivery(spark, str(landing), root, marks, "x", buckets=16, clear=True)
+    stored = {c for r in spark.read.parquet(*map(str, log(0))).collect() for c in [(r.document_type, r.payload)] if r.document_type == "csv"}
+    assert stored == {("csv", None)}  # the raw text is the payload
+    # What is classified needs tables of its own, which hold ids and checksums alone.
+    assert not [p for p in scratch() - before if "raw_text" in spark.read.parquet(f"{work_folder(spark)}/{p}").columns]
+    assert list(landing.glob("*.*")) == [] and documents_table(spark, root, 16).read().count() == 5
+    (landing / "d.csv").write_text("id,t\n1,new\n2,two\n")
+    (landing / "e.jsonl").write_text('{"t": "y", "id": "7"}\n')
+    seen = lambda rows, n: changes.extend((r.external_id, r.raw_text, r.payload, r.outcome) for r in rows.collect())
+    ingest_delivery(spark, str(landing), root, marks, "x", buckets=16, on_changes=seen)
+    assert {c[0]: c[3] for c in changes} == {"1": "updated", "7": "updated"}
+    assert {c[0]: (c[1], c[2]) for c in changes}["1"] == ('{"id":"1","t":"new"}',) * 2
+    assert json.loads({c[0]: c[2] for c in changes}["7"]) == {"t": "y", "id": "7"}
+    assert sorted(p.name for p in landing.glob("*.*")) == ["d.csv", "e.jsonl"]  # kept unless asked
+
+
 def test_facts_of_several_deliveries_in_one_batch(spark):
     stored = spark.createDataFrame([("a", "c1", ""), ("b", "c2", "")], "document_id string, checksum string, person_id string")
     outcomes = spark.createDataFrame(
